@@ -17,12 +17,15 @@ own row. Texts are never cut. An empty table gives an empty result. Other column
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +37,15 @@ HEAD_WORDS = 200_000
 #: UTF-8 bytes of text in a block of documents.
 BLOCK_BYTES = 6_000_000
 #: Words that one worker counts before it hands its counts on.
-COUNTED_WORDS = 200_000
+COUNTED_WORDS = 400_000
+#: Characters that a task bundles by block before it hands them on.
+BUNDLE_CHARS = 40_000_000
 
 #: ASCII and Latin-1 letters but for `<|`, which may begin a special token: there a word is what the pattern below takes.
 PLAIN = re.compile(r"(?:[\t-\r -;=-~À-ÖØ-öø-ÿŒœ]|<(?!\|))*")
 #: The vocabulary's own pattern, after lower-casing, for plain characters.
-PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[!-/:-@\[-`{-~]+").findall
+PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[!-/:-@\[-`{-~]+")
+PIECES, SINGLE = PIECE.findall, PIECE.fullmatch
 RUNS = re.compile(r"[^\t-\r ]+").findall
 
 
@@ -71,9 +77,33 @@ def tokenizer(path: str):
     return made
 
 
-def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    made = tokenizer(path)
-    return lambda words: [x.ids for x in made.encode_batch(words, add_special_tokens=False)]
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes plain letters: each UTF-8 byte as a printable character, others from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (k for k in range(256) if k not in shown)
+    letter = {k: chr(k) for k in shown} | {k: chr(256 + n) for n, k in enumerate(others)}
+    return {k: "".join(letter[x] for x in chr(k).encode()) for k in (*range(0xC0, 0x100), 0x152, 0x153)}
+
+
+def word_encoder(path: str) -> Callable[[str], bytes]:
+    """A word's ids as little-endian unsigned 32-bit numbers. A single lower-case pre-token goes to the library's model at
+    once; any other word through the library's whole chain."""
+    made, letters = tokenizer(path), byte_letters()
+    model, whole = made.model, made.encode
+
+    def encode(word: str) -> bytes:
+        if SINGLE(word) and "<|" not in word:
+            ids = [x.id for x in model.tokenize(word if word.isascii() else word.translate(letters))]
+        else:
+            ids = whole(word, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+    return encode
+
+
+def code(word: str) -> int:
+    """A word's 64-bit code, by which the rare words of a block are joined; 2 ** -64 is the chance that two words share it."""
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -102,12 +132,13 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     columns = [f.name for f in words.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = word_encoder(path)
         for batch in batches:
-            ids = [np.array(x, np.uint32).tobytes() for x in encode(batch.column(columns.index("word")).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=[*columns, "ids"])
+            ws = batch.column(columns.index("word")).to_pylist()
+            ids = [encode(w) for w in ws]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([code(w) for w in ws], pa.int64()), pa.array(ids, pa.binary())], names=[*columns, "code", "ids"])
 
-    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("ids", T.BinaryType())]))
+    return words.mapInArrow(run, T.StructType([*words.schema.fields, T.StructField("code", T.LongType()), T.StructField("ids", T.BinaryType())]))
 
 
 def head_bound(words: DataFrame, most: int) -> int:
@@ -132,33 +163,56 @@ def encode(docs: DataFrame, path: str, finish: Callable[[list[np.ndarray]], list
     heads = spark.sparkContext.broadcast(dict(zip(head["word"], map(bytes, head["ids"]), strict=True)))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(64, -(-size // block_bytes))
-    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = heads.value
         for batch in batches:
-            found = {(b, w) for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for w in words_of(text) if w not in known}
-            if found:
-                b, w = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(w, pa.string())], names=["block", "word"])
+            found: dict[int, set] = {}
+            for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text:
+                    found.setdefault(b, set()).update([w for w in set(words_of(text)) if w not in known])
+            b = np.repeat(np.array(list(found), np.int32), [len(x) for x in found.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array([code(w) for x in found.values() for w in x], pa.int64())], names=["block", "code"])
 
-    pairs = blocked.select("block", "text").mapInArrow(rare, "block long, word string")
-    tail = words.where(F.col("n") < least).select("word", "ids")
-    blockwise = pairs.join(tail, "word").select("block", "word", "ids").repartition("block")
+    pairs = blocked.select("block", "text").mapInArrow(rare, "block int, code long").distinct()
+    tail = words.where(F.col("n") < least).select("code", "ids")
+    blockwise = pairs.join(tail, "code").select("block", "code", "ids")
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for batch in batches:
+            for doc, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                held.setdefault(b, []).append((doc, text or ""))
+                size += len(text or "")
+            if size > BUNDLE_CHARS:
+                yield bundles(held)
+                held, size = {}, 0
+        if held:
+            yield bundles(held)
+
+    def bundles(held: dict[int, list]) -> pa.RecordBatch:
+        press = zstandard.ZstdCompressor(level=3).compress
+        blobs = [press(pickle.dumps(x, protocol=5)) for x in held.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bundle"])
 
     def meet(texts, found):
         known = heads.value
-        own = dict(zip(found["word"].to_pylist(), found["ids"].to_pylist(), strict=True))
-        out = []
-        for batch in texts.to_batches(max_chunksize=500):
-            ids = [np.frombuffer(b"".join([known[w] if w in known else own[w] for w in words_of(text or "")]), np.uint32) for text in batch["text"].to_pylist()]
-            out.append(pa.RecordBatch.from_arrays([batch["doc_id"], *finish(ids)], names=names))
+        own = dict(zip(found["code"].to_pylist(), found["ids"].to_pylist(), strict=True))
+        lift, out = zstandard.ZstdDecompressor().decompress, []
+        for bundle in texts["bundle"].to_pylist():
+            docs = pickle.loads(lift(bundle))
+            for at in range(0, len(docs), 200):
+                part = docs[at : at + 200]
+                ids = [np.frombuffer(b"".join([known[w] if w in known else own[code(w)] for w in words_of(text)]), np.uint32) for _, text in part]
+                out.append(pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), *finish(ids)], names=names))
         return pa.Table.from_batches(out, schema=None if out else empty)
 
     schema = f"doc_id long, {fields}"
     names = [x.split()[0] for x in schema.split(", ")]
     empty = pa.schema([("doc_id", pa.int64()), *zip(names[1:], [x.type for x in finish([])], strict=True)])
-    return blocked.select("doc_id", "text", "block").repartition("block").groupBy("block").cogroup(blockwise.groupBy("block")).applyInArrow(meet, schema)
+    texts = blocked.select("doc_id", "block", "text").mapInArrow(bundled, "block int, bundle binary")
+    return texts.groupBy("block").cogroup(blockwise.groupBy("block")).applyInArrow(meet, schema)
 
 
 def pieces_table(path: str) -> list[str]:

@@ -21,45 +21,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import PIECES, PLAIN, encoder, vocabulary_path
+from .bpe import vocabulary_path, word_encoder, words_of
 from .common import saved, table
 
-#: Runs and words whose ids a worker remembers.
-RUN_CACHE, WORD_CACHE = 300_000, 300_000
+#: Words whose ids a worker remembers.
+WORD_CACHE = 300_000
 #: Pieces of one (length, bucket) that a task ranks at a time, about.
 BUCKET_ROWS = 50_000
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
-class RunIds(dict):
-    """The ids of a run between white space, as bytes; runs are put together from words, which the library encodes."""
+class WordIds(dict):
+    """The ids of a word as little-endian unsigned 32-bit numbers; a worker encodes a word when it first meets it."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.encode = encoder(path)
-        self.words: dict[str, bytes] = {}
+        self.encode = word_encoder(path)
 
-    def learn(self, runs: set[str]) -> None:
-        if len(self) > RUN_CACHE:
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+    def of(self, text: str) -> bytes:
+        if len(self) > WORD_CACHE:
             self.clear()
-            runs = runs | self.wanted
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
-        cut = {run: PIECES(run.lower()) if PLAIN.fullmatch(run) else [run] for run in runs}
-        new = list({w for ws in cut.values() for w in ws if w not in self.words})
-        self.words.update(zip(new, (np.array(x, "<u4").tobytes() for x in self.encode(new)), strict=True))
-        words = self.words
-        for run, ws in cut.items():
-            self[run] = b"".join([words[w] for w in ws])
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [text.split(" ") if not text or any(c in text for c in SEPARATORS) else text.split() for text in texts]
-        self.wanted = set().union(*split)
-        if new := {run for run in self.wanted if run not in self}:
-            self.learn(new)
-        get = self.__getitem__
-        return [b"".join(map(get, runs)) for runs in split]
+        return b"".join(map(self.__getitem__, words_of(text)))
 
 
 def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
@@ -67,11 +52,11 @@ def pieces(docs: DataFrame, path: str, size: int, end_id: int) -> DataFrame:
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = RunIds(path)
+        known = WordIds(path)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), known.of([x or "" for x in batch.column(1).to_pylist()]), strict=True):
-                ids += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids = known.of(text or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, size):
                     length = min(size, n - start)
