@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, rules, topk
+from . import bpe, neardup, packing, rules, suffixes, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1,
         "op2_bpe": bpe.op2,
         "op3_packing": packing.op3,
+        "op4_minhash": neardup.op4,
         "op5_quality_rules": rules.op5,
         "op6_topk": topk.op6,
+        "op8_suffixes": suffixes.op8,
     }
 
 
