@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, neardup, packing, rules, suffixes, topk, toxicity
+from . import bpe, licenses, neardup, packing, pages, quality, rules, suffixes, topk, toxicity
 
 
 def queries() -> dict:
@@ -13,7 +13,10 @@ def queries() -> dict:
         "op4_minhash": neardup.op4,
         "op5_quality_rules": rules.op5,
         "op6_topk": topk.op6,
+        "op7_quality": quality.op7,
         "op8_suffixes": suffixes.op8,
+        "op9_licenses": licenses.op9,
+        "op10_pages": pages.op10,
     }
 
 
