@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .plans import registry
+from .queries import consensus, corpus, relational, retrieval  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
