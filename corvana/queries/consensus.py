@@ -69,12 +69,12 @@ def g22(t):
     return c.by_hash(t.documents.select("doc_id", "text"), "doc_id", F.col("text")).select("doc_id", (F.col("owner") != F.col("doc_id")).alias("is_duplicate"))
 
 
-@query("g24_packing", """with recursive r as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber) as i, l_linenumber, cast(l_quantity as bigint) as s from lineitem),
-p as (select l_orderkey, i, l_linenumber, s as used, 0 as part from r where i = 1 union all
-select r.l_orderkey, r.i, r.l_linenumber, case when p.used > 0 and p.used + r.s > 60 then r.s else p.used + r.s end, case when p.used > 0 and p.used + r.s > 60 then p.part + 1 else p.part end from p join r on r.l_orderkey = p.l_orderkey and r.i = p.i + 1)
-select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, part from p""")
+@query("g24_packing", """with recursive r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as i, cast(floor(value) as bigint) as s from events),
+p as (select user_id, i, event_id, s as used, 0 as part from r where i = 1 union all
+select r.user_id, r.i, r.event_id, case when p.used > 0 and p.used + r.s > 90 then r.s else p.used + r.s end, case when p.used > 0 and p.used + r.s > 90 then p.part + 1 else p.part end from p join r on r.user_id = p.user_id and r.i = p.i + 1)
+select user_id, event_id, part from p""")
 def g24(t):
-    return c.packed(t.lineitem, "l_orderkey", "l_linenumber", "l_quantity", 60)
+    return c.packed(t.events.select("user_id", "event_id", F.floor("value").alias("s")), "user_id", "event_id", "s", 90)
 
 
 @query("g25_tokens", "select doc_id, cast(ceil(strlen(text) / 3.0) as bigint) as tokens from documents")

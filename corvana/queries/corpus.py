@@ -59,7 +59,7 @@ def f02(t):
     return audit.dead(edges(t), ids(t)).groupBy("src").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("dst")), " ").alias("dead"))
 
 
-@query("f03_degrees", f"select id, (select count(distinct src) from {EDGES} e where e.dst = i.id) as inlinks, (select count(distinct dst) from {EDGES} e where e.src = i.id) as outlinks from {IDS} i")
+@query("f03_degrees", f"select id, coalesce(i.n, 0) as inlinks, coalesce(o.n, 0) as outlinks from {IDS} left join (select dst as id, count(distinct src) as n from {EDGES} group by 1) i using (id) left join (select src as id, count(distinct dst) as n from {EDGES} group by 1) o using (id)")
 def f03(t):
     return audit.degrees(edges(t), ids(t))
 
