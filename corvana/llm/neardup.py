@@ -276,7 +276,7 @@ def large_links(held: DataFrame, size: int, percent: int) -> DataFrame:
     share = held.where(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("n")) < PIVOTS)
     pivots = share.withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1))).select(F.struct("loose", "x", F.lit(0).alias("y")).alias("group"), F.lit(False).alias("asks"), "rep", "text")
     own = held.select(F.struct("loose", block.alias("x"), F.lit(0).alias("y")).alias("group"), F.lit(False).alias("asks"), "rep", "text")
-    first = saved(grouped_links(own.union(pivots).dropDuplicates(["group", "rep"]), size, percent), "links")
+    first = saved(grouped_links(own.unionByName(pivots).dropDuplicates(["group", "rep"]), size, percent), "links")
     roots = components(first)
     classed = saved(held.select("rep", "loose", "n").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("rep", "loose", "n", F.coalesce("root", "rep").alias("root")), "classes")
     largest = classed.groupBy("loose", "root").agg(F.count("*").alias("k")).groupBy("loose").agg(F.max_by("root", "k").alias("largest"))
@@ -286,7 +286,7 @@ def large_links(held: DataFrame, size: int, percent: int) -> DataFrame:
     asks = chunked.join(chunks, "loose").withColumn("y", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("chunks")).cast("int"))
     asks = asks.withColumn("x", F.explode(F.sequence(F.lit(0), blocks - 1))).select(F.struct("loose", "x", "y").alias("group"), F.lit(True).alias("asks"), "rep", "text")
     told = held.join(chunks, "loose").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(F.struct("loose", block.alias("x"), "y").alias("group"), F.lit(False).alias("asks"), "rep", "text")
-    return first.union(grouped_links(asks.union(told.join(outside, "rep", "left_anti")), size, percent)).union(grouped_links_among(asks, size, percent))
+    return first.union(grouped_links(asks.unionByName(told.join(outside, "rep", "left_anti")), size, percent)).union(grouped_links_among(asks, size, percent))
 
 
 def grouped_links_among(asks: DataFrame, size: int, percent: int) -> DataFrame:
