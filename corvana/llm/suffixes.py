@@ -8,7 +8,7 @@ reach that depth by digits, and suffixes that stand alone after a pass are never
    about one in 85. Anchors that occur once in all texts drop out.
 2. The second digit is all that surrounds an anchor (the union of its windows). Where that is equal, all its windows repeat.
 3. The last digit is the window itself, for what still shares an anchor but differs around it. Groups up to `GROUP`
-   contexts are told apart in a task; larger ones window by window, by a count of codes which tasks sum up first.
+   contexts are told apart in a task; larger ones by passes over blocks of windows, down to the single window.
 
 Groups that are equal through the last digit are exactly the repeated windows; digits are compared by 64-bit codes.
 
@@ -34,6 +34,8 @@ GRAM = 32
 SEGMENT = 400_000
 #: Distinct contexts of an anchor that one task compares.
 GROUP = 256
+#: Windows of a block in each pass over larger anchors; the last is the window itself.
+BLOCKS = (64, 16, 4, 1)
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 LETTERS = mixed(np.arange(1, 257, dtype=np.uint64)) | U(1)
@@ -174,25 +176,57 @@ def compared(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("gram", "rid", "loc", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid long, low long, high long")
 
 
-def counted(contexts: DataFrame, length: int) -> DataFrame:
-    """As compared, for anchors of any number of contexts: window codes are counted over all tasks."""
+def digits(rows: DataFrame, size: int, length: int) -> DataFrame:
+    """Rows (gram, rid, loc, near, far, bytes), whose windows begin `near` to `far` bytes before the anchor, cut into aligned
+    blocks of `size` windows: digit is what all windows of a block share, whole is what the row's own windows cover together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                grams, rids, locs = (batch.column(k).to_numpy() for k in range(3))
-                owner, start, code = window_codes(grams, locs, batch.column(3).to_pylist(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(rids[owner]), pa.array(start)], names=["code", "rid", "low"])
+            if not batch.num_rows:
+                continue
+            grams, _, locs, near, far = (batch.column(k).to_numpy() for k in range(5))
+            contexts = batch.column(5).to_pylist()
+            n = far // size - near // size + 1
+            owner = np.repeat(np.arange(len(n)), n)
+            least = ((near // size)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
+            most = np.minimum(least + size - 1, length - GRAM)
+            own_near, own_far = np.maximum(near[owner], least), np.minimum(far[owner], most)
+            sizes = np.array([len(x) for x in contexts], np.int64)
+            anchor = (np.cumsum(sizes) - sizes + (locs >> 10 & 1023))[owner]
+            codes = Codes(b"".join(contexts))
+            shared = mixed(codes.of(anchor - least, anchor + length - most) + mixed(grams.view(np.uint64)[owner] + least.astype(np.uint64)))
+            whole = mixed(codes.of(anchor - own_far, anchor + length - own_near) + (own_near << 10 | own_far).astype(np.uint64))
+            kept = [batch.column(k).take(pa.array(owner)) for k in (0, 1, 2, 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), *kept[:3], pa.array(own_near), pa.array(own_far), kept[3]], names=["digit", "whole", "gram", "rid", "loc", "near", "far", "bytes"])
+
+    return rows.select("gram", "rid", "loc", "near", "far", "bytes").mapInArrow(run, "digit long, whole long, gram long, rid long, loc long, near long, far long, bytes binary")
+
 
-    windows = contexts.select("gram", "rid", "loc", "bytes").mapInArrow(run, "code long, rid long, low long")
-    twice = windows.groupBy("code").agg(F.count("*").alias("n")).where("n > 1").select("code")
-    return windows.join(twice, "code").select("rid", "low", F.col("low").alias("high"))
+def counted(contexts: DataFrame, length: int) -> DataFrame:
+    """As compared, for anchors of any number of contexts: passes over ever smaller blocks of windows. A block that stands
+    alone by its digit drops out; blocks that are equal as a whole are repeated; one of each kind goes on where a digit has
+    several, cut finer. No pass needs the rows of a digit together."""
+    apart, n = F.shiftright("loc", 10).bitwiseAND(F.lit(1023)), F.col("loc").bitwiseAND(F.lit(1023))
+    rows, found = contexts.select("gram", "rid", "loc", (apart - n + 1).alias("near"), apart.alias("far"), "bytes"), []
+    for size in BLOCKS:
+        level = saved(digits(rows, size, length), "digits")
+        kinds = level.groupBy("digit", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc", "near", "far", "gram", "bytes")).alias("one"))
+        kinds = saved(kinds, "kinds")
+        equal = level.join(kinds.where("n > 1").select("digit", "whole"), ["digit", "whole"])
+        begin = F.shiftright("loc", 20) + apart
+        found.append(equal.select("rid", (begin - F.col("far")).alias("low"), (begin - F.col("near")).alias("high")))
+        split = kinds.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1").select("digit")
+        rows = kinds.join(saved(split, "split"), "digit").select("one.*")
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """docs(rid, row, text) to (rid, ranges): the starts of all windows that occur elsewhere too, as ranges; absent if none."""
     rows = anchor_rows(docs, length)
-    shared = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    shared = saved(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     matched = saved(rows.join(shared, "gram"), "anchors")
     around = matched.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc")).alias("one"))
     around = saved(around.select("gram", "context", "n", "one.rid", "one.loc"), "contexts")
