@@ -42,7 +42,7 @@ COUNTED_WORDS = 400_000
 BUNDLE_CHARS = 40_000_000
 
 #: ASCII and Latin-1 letters but for `<|`, which may begin a special token: there a word is what the pattern below takes.
-PLAIN = re.compile(r"(?:[\t-\r -;=-~À-ÖØ-öø-ÿŒœ]|<(?!\|))*")
+PLAIN = re.compile(r"[\t-\r -;=-~À-ÖØ-öø-ÿŒœ]*+(?:<(?!\|)[\t-\r -;=-~À-ÖØ-öø-ÿŒœ]*+)*+")
 #: The vocabulary's own pattern, after lower-casing, for plain characters.
 PIECE = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿœ]+|[0-9]|[!-/:-@\[-`{-~]+")
 PIECES, SINGLE = PIECE.findall, PIECE.fullmatch
@@ -106,6 +106,18 @@ def code(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word) - (1 << 63)
 
 
+class Joined(dict):
+    """Words to ids: the broadcast words, and the rare words of a block by their codes."""
+
+    def __init__(self, known: dict[str, bytes], own: dict[int, bytes]):
+        super().__init__(known)
+        self.own = own
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.own[code(word)]
+        return found
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; counted in each task first."""
 
@@ -171,7 +183,7 @@ def encode(docs: DataFrame, path: str, finish: Callable[[list[np.ndarray]], list
             found: dict[int, set] = {}
             for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    found.setdefault(b, set()).update([w for w in set(words_of(text)) if w not in known])
+                    found.setdefault(b, set()).update(set(words_of(text)).difference(known))
             b = np.repeat(np.array(list(found), np.int32), [len(x) for x in found.values()])
             yield pa.RecordBatch.from_arrays([pa.array(b), pa.array([code(w) for x in found.values() for w in x], pa.int64())], names=["block", "code"])
 
@@ -197,14 +209,14 @@ def encode(docs: DataFrame, path: str, finish: Callable[[list[np.ndarray]], list
         return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "bundle"])
 
     def meet(texts, found):
-        known = heads.value
         own = dict(zip(found["code"].to_pylist(), found["ids"].to_pylist(), strict=True))
+        ids_of = Joined(heads.value, own).__getitem__
         lift, out = zstandard.ZstdDecompressor().decompress, []
         for bundle in texts["bundle"].to_pylist():
             docs = pickle.loads(lift(bundle))
             for at in range(0, len(docs), 200):
                 part = docs[at : at + 200]
-                ids = [np.frombuffer(b"".join([known[w] if w in known else own[code(w)] for w in words_of(text)]), np.uint32) for _, text in part]
+                ids = [np.frombuffer(b"".join(map(ids_of, words_of(text))), np.uint32) for _, text in part]
                 out.append(pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), *finish(ids)], names=names))
         return pa.Table.from_batches(out, schema=None if out else empty)
 
