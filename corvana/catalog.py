@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import registry
-from .queries import consensus, corpus, relational, retrieval  # noqa: F401
+from .queries import consensus, corpus, relational, retrieval, reviews  # noqa: F401
 
 
 def queries() -> dict:
