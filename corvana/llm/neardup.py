@@ -4,8 +4,8 @@ Equal shingle sets are one vertex from the start. Every other document carries `
 tree sends it down chosen paths: at each node one or two positions are drawn from the node's own seed, and a document goes
 on to the child named by its token there (1.25 children on average, one over the threshold: pairs at the threshold or above
 survive, others die out). A path depends only on its node and the document, so each document finds its own paths, in
-`TREES` independent trees. Nodes that hold more than `NODE` documents at a depth branch on; the others are compared
-exhaustively, by signature.
+`TREES` independent trees. Nodes that hold more than `NODE` documents at a depth branch on, in `AGAIN` independent subtrees
+each; the others are compared exhaustively, by signature.
 
 What comes out of the nodes is a loose graph (a spanning forest of all pairs in a node whose signatures agree enough; in a
 node that is still large at the last depth, all with its smallest). Its components hold every pair that met. Within a
@@ -14,8 +14,9 @@ inequality of the Jaccard distance excludes. A large component is dealt over sub
 which are then still outside its largest class are compared with all of the component, in blocks. So no cap on partners
 loses a link of documents that met.
 
-Recall: a pair at the threshold survives three levels of one tree with probability 0.64, eight trees with over 0.999;
-higher similarity does better. `tests/llm` hold the result against brute force.
+Recall: a pair of similarity 0.8 meets with probability 0.9998 where its nodes of depth 3 are small, 0.9995 where it has to
+reach depth 6 and 0.9993 where it has to reach depth 9, by the branching and with the spread of the one signature that all
+trees share; higher similarity does better. `tests/llm` hold the result against brute force.
 
 Defined results: texts that are null, empty or without words have no shingle and link with nothing. A text with fewer
 words than a shingle is one shingle of all its words. Repeated rows and equal texts are in one class. Rows with a null
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import WordCodes, ascii_words, mixed, saved, shingles, table, text_bytes
 from .components import components
 
-SIGNATURE, TREES, DEPTHS = 64, 8, (3, 6, 9)
+SIGNATURE, TREES, AGAIN, DEPTHS = 64, 10, 3, (3, 6, 9)
 #: Documents of a node that are compared exhaustively, and of a component that one task confirms.
 NODE, TASK, PIVOTS = 128, 1500, 24
 #: Signature positions that must agree for a loose edge: five standard deviations under the threshold.
@@ -85,7 +86,8 @@ def deeper(sig: np.ndarray, owner: np.ndarray, node: np.ndarray, levels: int) ->
 
 
 def paths(rows: DataFrame, levels: int) -> DataFrame:
-    """(node, rep) after `levels` more levels, from (rep, sig) at the roots or (rep, sig, node) further down."""
+    """(node, rep) after `levels` more levels, from (rep, sig) at the roots or (rep, sig, node) further down, where each node
+    is the root of `AGAIN` subtrees: pairs that die out in one of them have the others."""
     below = "node" in rows.columns
     rows = rows.select("rep", "sig", "node") if below else rows.select("rep", "sig")
 
@@ -96,7 +98,8 @@ def paths(rows: DataFrame, levels: int) -> DataFrame:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SIGNATURE)
             reps = batch.column(0).to_numpy()
             if below:
-                owner, node = np.arange(len(reps)), batch.column(2).to_numpy().view(np.uint64)
+                roots = mixed(np.arange(1, AGAIN + 1, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+                owner, node = np.tile(np.arange(len(reps)), AGAIN), mixed(batch.column(2).to_numpy().view(np.uint64)[None, :] ^ roots[:, None]).ravel()
             else:
                 owner, node = np.repeat(np.arange(len(reps)), TREES), np.tile(mixed(np.arange(1, TREES + 1, dtype=np.uint64)), len(reps))
             owner, node = deeper(sig, owner, node, levels)
