@@ -1,9 +1,10 @@
 """License scan by conditional compression.
 
 Lines with a cue are candidate blocks, with adjoining lines in one block where they form one notice. Each block is compressed
-alone and with each template as zstandard raw dictionary; the templates are ranked by how much smaller that makes it. The
-best are then confirmed by exact wording: words of the template that the block lacks or changes, and the other way round.
-A template is confirmed if its required words are all there and enough of the wording agrees.
+alone and with each template whose required words it has as zstandard raw dictionary, and must become smaller by that. The
+template is confirmed by exact wording: enough of the words of the block, or else of its best-aligned span, agree with the
+template in order; a span must hold the required words in what agrees. So a notice within a long sentence counts as one on
+a line of its own does. All confirmed templates of a block are named, but those whose wording another explains better.
 
 Defined results: null and empty texts have no license. Texts without a cue word are never compressed. Repeated rows each give
 their row. Blocks of any length are taken whole.
@@ -38,8 +39,11 @@ TEMPLATES: dict[str, tuple[str, tuple[str, ...]]] = {
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal. Dedicated to the public domain.", ("cc0|waived all copyright|public domain",)),
     "Proprietary": ("Copyright. All rights reserved. No part of this work may be reproduced without permission.", ("all rights reserved",)),
 }
-NEAREST, LEAST_GAIN, LEAST_AGREED = 3, 0.2, 0.6
-WORDS = re.compile(r"[\w.+-]*\w").findall
+LEAST_GAIN, LEAST_AGREED = 0.2, 0.6
+#: Words of a span that must agree (fewer are no notice), and what a skipped word of the template costs against one that agrees.
+LEAST_SPAN, SKIPPED = 3, 0.2
+WORD = re.compile(r"[\w.+-]*\w")
+WORDS = WORD.findall
 
 
 class Scanner:
@@ -51,34 +55,63 @@ class Scanner:
         self.given = {k: zstandard.ZstdCompressor(level=9, dict_data=raw(t)).compress for k, (t, _) in TEMPLATES.items()}
         self.words = {k: WORDS(t.lower()) for k, (t, _) in TEMPLATES.items()}
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """(share of its size that a block saves by the template, template), best first."""
-        data = block.encode()
-        size = len(self.alone(data))
-        return sorted(((1 - len(c(data)) / size, k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, block: str, name: str) -> tuple[float, list[str]]:
-        """Share of the block's words that agree with the template in order, and the words that do not."""
-        own = WORDS(block.lower())
-        match = difflib.SequenceMatcher(None, self.words[name], own, autojunk=False)
-        changed = [w for op, _, _, a, b in match.get_opcodes() if op != "equal" for w in own[a:b]]
-        return 1 - len(changed) / max(len(own), 1), changed
-
-    def verdict(self, block: str) -> tuple[str, float, float] | None:
-        """(template, gain, agreement) of a block, if a template is confirmed."""
+    def gain(self, part: str, name: str) -> float:
+        """Share of its size that a text saves by the template."""
+        data = part.encode()
+        return 1 - len(self.given[name](data)) / len(self.alone(data))
+
+    def agreement(self, own: list[str], name: str) -> tuple[int, int, float, list[str]] | None:
+        """(first, end, share that agrees, words that agree) of all words, or of the best-aligned span if all agree too little."""
+        match = difflib.SequenceMatcher(None, self.words[name], own, autojunk=False).get_matching_blocks()
+        same = [m.b + k for m in match for k in range(m.size)]
+        there = [m.a + k for m in match for k in range(m.size)]
+        if not same:
+            return None
+        if len(same) >= LEAST_AGREED * len(own):
+            return same[0], same[-1] + 1, len(same) / len(own), own
+        # Words that agree weigh what makes a span of LEAST_AGREED come out at nothing: the heaviest span agrees at least as much.
+        best, weight, first, last, before = (0.0, 0, 0), 0.0, same[0], same[0] - 1, there[0] - 1
+        for k, t in zip(same, there, strict=True):
+            weight -= LEAST_AGREED * (k - last - 1) + SKIPPED * (t - before - 1)
+            if weight <= 0:
+                weight, first = 0.0, k
+            weight, last, before = weight + 1 - LEAST_AGREED, k, t
+            if weight > best[0] + 1e-9:
+                best = (weight, first, k + 1)
+        _, first, end = best
+        held = [own[k] for k in same if first <= k < end]
+        return (first, end, len(held) / (end - first), held) if len(held) >= LEAST_SPAN else None
+
+    def verdicts(self, block: str) -> list[tuple[str, float, float]]:
+        """(template, gain, agreement) of each template that is confirmed, best first."""
         low = " ".join(block.lower().split())
-        best = None
-        for gain, name in self.ranked(block)[:NEAREST]:
-            if gain < LEAST_GAIN or not all(re.search(x, low) for x in TEMPLATES[name][1]):
+        named = [k for k, (_, needed) in TEMPLATES.items() if all(re.search(x, low) for x in needed)]
+        if not named:
+            return []
+        at = list(WORD.finditer(block))
+        own = [m.group().lower() for m in at]
+        found = []
+        for name in named:
+            if (best := self.agreement(own, name)) is None:
                 continue
-            agreed, _ = self.differences(block, name)
-            if agreed >= LEAST_AGREED and (best is None or agreed > best[2]):
-                best = (name, gain, agreed)
-        return best
+            first, end, agreed, held = best
+            whole = held is own
+            if not whole and not all(re.search(x, " ".join(held)) for x in TEMPLATES[name][1]):
+                continue
+            gain = self.gain(block if whole else block[at[first].start() : at[end - 1].end()], name)
+            if gain >= LEAST_GAIN:
+                found.append((agreed * (end - first), agreed, gain, name, first, end))
+        out, taken = [], []
+        for _, agreed, gain, name, first, end in sorted(found, key=lambda x: (-x[0], -x[1], -x[2], x[3])):
+            if all(2 * (min(end, y) - max(first, x)) <= min(end - first, y - x) for x, y in taken):
+                out.append((name, gain, agreed))
+                taken.append((first, end))
+        return out
 
     def scan(self, text: str | None) -> dict:
-        found = [v for b in candidates(text or "") if (v := self.verdict(b))]
-        return {"licenses": ",".join(sorted({v[0] for v in found})), "n_blocks": len(found), "best_gain": round(max((v[1] for v in found), default=0.0), 6)}
+        found = [v for b in candidates(text or "") if (v := self.verdicts(b))]
+        every = [x for v in found for x in v]
+        return {"licenses": ",".join(sorted({x[0] for x in every})), "n_blocks": len(found), "best_gain": round(max((x[1] for x in every), default=0.0), 6)}
 
 
 def candidates(text: str) -> list[str]:

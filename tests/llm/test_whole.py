@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corvana.llm import neardup
+from corvana.llm import licenses, neardup
 
 
 def test_neardup_meets_through_large_nodes(spark, monkeypatch):
@@ -16,3 +16,17 @@ def test_neardup_meets_through_large_nodes(spark, monkeypatch):
     found = neardup.loose_edges(spark.createDataFrame(rows, "rep long, sig binary"), 0.8)
     met = {(min(r), max(r)) for r in found.collect()}
     assert sum((2 * k, 2 * k + 1) in met for k in range(n)) >= 0.998 * n
+
+
+def test_licenses_in_sentences(spark):
+    """A notice within a long sentence, and several licenses in one."""
+    cases = {
+        "The source code that goes with this article is released under the MIT License.": "MIT",
+        "This dataset and its documentation are made available under the Apache License, Version 2.0.": "Apache-2.0",
+        "Dual-licensed under the MIT License and the Apache License, Version 2.0.": "Apache-2.0,MIT",
+        "You may choose the GNU General Public License, version 2, the Mozilla Public License, Version 2.0, the MIT License or the Apache License, Version 2.0, as you like.": "Apache-2.0,GPL-2.0,MIT,MPL-2.0",
+        "Copyright 2023 by us. The code is free software under the GNU General Public License, version 3, and the book of it is sold in shops.": "GPL-3.0",
+        "please submit your license to the permit office": "",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert [r["licenses"] for r in licenses.scan(frame).orderBy("doc_id").collect()] == list(cases.values())
