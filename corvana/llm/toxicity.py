@@ -98,6 +98,15 @@ def learned_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, l
     return {r[0]: [float(x) for x in r[1:6]] for r in rows.collect()}, sizes  # at most `most` rows
 
 
+def least_distance(a: list[int], b: list[int], most: int = 99) -> int:
+    """Least distance of a position of a to one of b, both sorted; `most` if either is empty."""
+    if not a or not b:
+        return most
+    x, y = np.array(a), np.array(b)
+    after = np.searchsorted(y, x)
+    return int(np.minimum(np.abs(y[np.minimum(after, len(y) - 1)] - x), np.abs(x - y[np.maximum(after - 1, 0)])).min())
+
+
 class Scales:
     """Words to features, by a lexicon that leaves one fold out."""
 
@@ -131,7 +140,7 @@ class Scales:
         start = np.array([h[2] for h in hits] or [0.0])
         strong = [h[0] for h in hits if h[1] > 2 or h[2] > 2.5 or h[3]]
         second = [h[0] for h in hits if h[4]]
-        near = min((abs(a - b) for a in strong for b in second), default=99) if len(strong) * len(second) <= 10_000 else 1
+        near = least_distance(strong, second)
         upper = len(CAPITALS(text))
         odd = sum(1 for w in set(words) if not w.isalpha() and plain(w) != w and not w.isdigit())
         insults = sum(h[3] for h in hits)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from corvana.llm import licenses, neardup
+from corvana.llm import licenses, neardup, toxicity
 
 
 def test_neardup_meets_through_large_nodes(spark, monkeypatch):
@@ -30,3 +30,16 @@ def test_licenses_in_sentences(spark):
     }
     frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     assert [r["licenses"] for r in licenses.scan(frame).orderBy("doc_id").collect()] == list(cases.values())
+
+
+def test_toxicity_near_is_exact_for_long_texts():
+    """The least distance of an insult to a second person does not depend on the number of hits."""
+    scales = toxicity.Scales({}, 0)
+    insult, second = sorted(toxicity.INSULTS)[0], sorted(toxicity.SECOND_PERSON)[0]
+    for times in (5, 150):
+        text = " ".join([second, *["rivers"] * 16, insult, *["rivers"] * 40] * times)
+        assert scales.features(text)[11] == 17
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a, b = (np.flatnonzero(rng.random(300) < p).tolist() for p in (0.02, 0.05))
+        assert toxicity.least_distance(a, b) == min((abs(x - y) for x in a for y in b), default=99)
