@@ -11,14 +11,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; long texts make larger batches too heavy for a Python worker.
-ARROW_ROWS = 1000
+#: Bounds of an Arrow batch to a Python worker, in rows and in bytes: 1,000 long texts would be too heavy for one.
+ARROW_ROWS, ARROW_BYTES = 1000, "16m"
+#: Keys that a lookup broadcasts at most: those with over 1 / HEAVY of all rows, of which there cannot be more.
+HEAVY = 10_000
 #: Words whose code a Python worker remembers before it starts afresh.
 WORD_CACHE = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the inputs. Python workers get batches bounded in rows and bytes from here on; the session keeps that."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,7 +40,28 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.saved_path = path
+    return found
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and (name := getattr(t, "saved_path", None)):
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def lookup(rows: DataFrame, key: str, pairs: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to pairs (key, values.., n), where n is about how many of the `total` rows have the key.
+
+    Keys with over 1 / HEAVY of all rows are broadcast, at most HEAVY of them by that count; the others are joined by a
+    shuffle in which none is hot."""
+    hot = pairs.where(F.col("n") > max(total // HEAVY, 1000)).drop("n")
+    light = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(pairs.drop("n"), key, how)
+    return light.unionByName(rows.join(F.broadcast(hot), key).select(*light.columns))
 
 
 def with_row_key(docs: DataFrame, name: str = "_rid") -> DataFrame:
@@ -44,12 +69,16 @@ def with_row_key(docs: DataFrame, name: str = "_rid") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce(F.col("text"), F.lit(""))))
 
 
+def text_key():
+    """128 bits that stand for a whole text, whatever row it is in."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Texts of an Arrow column as UTF-8; null is the empty text."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-
 class WordCodes(dict):
     """Word to its 64-bit code; bounded by `settle`."""
 

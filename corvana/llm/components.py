@@ -5,33 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import drop, lookup, saved
+
+
+def moves(edges: DataFrame, turn: int, total: int) -> DataFrame:
+    """(v, m, n): where each vertex of edges goes, and its degree.
+
+    A vertex takes the first of itself and its neighbours, then what that one took. First is the smallest id in turn 0 (one
+    turn does for stars of the smallest), later by a hash of the turn: then few vertices, by chance, come first among
+    their neighbours, so that chains and any other shape shrink by a constant factor a turn."""
+    rank = lambda x: F.lit(0).cast("long") if not turn else F.xxhash64(x, F.lit(turn))
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("m"))).alias("near"), F.count("*").alias("n"))
+    taken = near.select(F.col("a").alias("v"), F.least(F.struct(rank(F.col("a")).alias("r"), F.col("a").alias("m")), "near").getField("m").alias("m"), "n")
+    return lookup(taken, "m", taken.select(F.col("v").alias("m"), F.col("m").alias("to"), "n"), 2 * total).select("v", F.col("to").alias("m"), "n")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) for every end of edges (a, b): root is the smallest vertex of v's component.
 
-    Each round every vertex takes the smallest of itself and its neighbours, and edges are redrawn between what their ends
-    took, until none is left. Minima are summed in each task first, so a vertex with most edges costs one row a task.
-    """
+    Each turn redraws the edges between what their ends took, until none is left; the number of turns grows with the
+    logarithm of the vertices. Then the turns' moves are followed from the last to the first. Vertices with a large share of
+    the edges are looked up by broadcast of at most `HEAVY` of them, so stars are no hot keys."""
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = None
-    while edges.limit(1).count():
-        taken = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).select(F.col("a").alias("v"), "m"), "taken")
-        labels = taken.withColumnRenamed("m", "root") if labels is None else follow(labels, taken)
-        labels = saved(labels, "labels")
-        left = taken.select(F.col("v").alias("a"), F.col("m").alias("ma"))
-        right = taken.select(F.col("v").alias("b"), F.col("m").alias("mb"))
-        drawn = edges.join(left, "a").join(right, "b").where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-        edges = saved(drawn, "edges")
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if labels is None:
+    turns: list[tuple[DataFrame, int]] = []
+    while total := edges.count():
+        taken = saved(moves(edges, len(turns), total), "taken")
+        turns.append((taken, total))
+        ends = edges
+        for end in ("a", "b"):
+            ends = lookup(ends, end, taken.select(F.col("v").alias(end), F.col("m").alias(f"m{end}"), "n"), 2 * total)
+        drawn = ends.where("ma <> mb").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
+        drawn, old = saved(drawn, "edges"), edges
+        edges = drawn
+        drop(old)
+    if not turns:
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    return labels
-
-
-def follow(labels: DataFrame, taken: DataFrame) -> DataFrame:
-    """Roots that a later round has moved take its move."""
-    moved = taken.select(F.col("v").alias("root"), "m")
-    return labels.join(moved, "root", "left").select("v", F.coalesce("m", "root").alias("root"))
+    labels, total = turns[-1][0], turns[-1][1]
+    for taken, total in reversed(turns[:-1]):
+        # How many vertices came to a place: a bound for the rows that look it up.
+        came = taken.groupBy("m").agg(F.count("*").alias("n"))
+        onward = came.join(labels.select(F.col("v").alias("m"), F.col("m").alias("to")), "m", "left").select("m", F.coalesce("to", "m").alias("to"), "n")
+        labels = saved(lookup(taken.select("v", "m"), "m", onward, 2 * total).select("v", F.col("to").alias("m")), "labels")
+    least = labels.groupBy("m").agg(F.min("v").alias("root"), F.count("*").alias("n"))
+    out = saved(lookup(labels.select("v", "m"), "m", least, 2 * total).select("v", "root"), "roots")
+    drop(edges, *(t for t, _ in turns))
+    return out
