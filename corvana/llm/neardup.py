@@ -131,6 +131,12 @@ def forest(similar) -> list[tuple[int, int]]:
     return out
 
 
+def root(up: dict[int, int], x: int) -> int:
+    while (y := up.get(x, x)) != x:
+        x = y
+    return x
+
+
 def settled(large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Rows (node, rep, sig, n) of larger nodes against the pivots of each: links (a, b), and (rep, sig, node) left to branch."""
     done = int(SIGNATURE * SETTLED)
@@ -140,12 +146,17 @@ def settled(large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, left = [], [], []
+            a, b, left, up = [], [], [], {}
             for k, (rep, sig, ids, sigs) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
                 agree = (np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, SIGNATURE) == np.frombuffer(sig, np.uint32)).sum(1) if ids else np.zeros(0, np.int64)
                 linked = [ids[x] for x in np.flatnonzero(agree >= near) if ids[x] != rep]
-                a += linked
-                b += [rep] * len(linked)
+                # One link for the document; its other pivots are linked to the first where the batch has not done so.
+                for x in linked:
+                    one, other = root(up, linked[0]), root(up, x)
+                    if x == linked[0] or one != other:
+                        up[other] = one
+                        a.append(linked[0])
+                        b.append(rep if x == linked[0] else x)
                 if not (agree >= done).any():
                     left.append(k)
             n = len(a)

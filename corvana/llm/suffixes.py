@@ -1,20 +1,25 @@
 """Removal of repeated byte windows: a depth-limited radix sort of suffixes, most significant digits first.
 
 Which windows of `length` bytes occur twice is what an order of all suffixes through that depth would show. The passes here
-reach that depth by digits, and suffixes that stand alone after a pass are never looked at again:
-
-1. The first digit is a window's anchor: of its 32-byte strings, the one with the smallest code, the leftmost of equals.
-   Equal windows have equal anchors at equal places, so one suffix for each anchor stands for all windows that share it,
-   about one in 85. Anchors that occur once in all texts drop out.
-2. The second digit is all that surrounds an anchor (the union of its windows). Where that is equal, all its windows repeat.
-3. The last digit is the window itself, for what still shares an anchor but differs around it. Groups up to `GROUP`
-   contexts are told apart in a task; larger ones by passes over blocks of windows, down to the single window.
-
-Groups that are equal through the last digit are exactly the repeated windows; digits are compared by 64-bit codes.
+deal suffixes by one digit after the other; a suffix that stands alone after a pass is never looked at again, and what is
+equal through the last digit is repeated. Suffixes travel in runs, not byte by byte:
+
+1. The first digit is a suffix's anchor: of the 32-byte strings in its window, the one with the smallest code, the leftmost
+   of equals. Equal windows have equal anchors at equal places. The suffixes that share an anchor are neighbours in the text,
+   about 85 of them, and form one run. Runs whose anchor occurs at one place only drop out.
+2. The second digit is all that the windows of a run cover. Where that is equal, all of them repeat.
+3. Of runs that share an anchor and differ around it, one of each kind goes on, cut into aligned blocks of 64, then 16, 4 and 1
+   suffixes. The digit is what all windows of a block share. Blocks that stand alone by it drop out, blocks that cover equal
+   bytes are repeated, and one of each other kind goes on, cut finer. Blocks of one suffix are equal through `length` bytes
+   or alone.
+
+No pass needs the rows of a digit together: rows of a kind are counted, and hot digits are looked up by broadcast of a bounded
+number of them. Digits are compared by 64-bit codes, texts by 128 bits. A text that several rows have is all repeated if it has
+a window, and sorted as one.
 
 Defined results: null text is the empty text and has no window, as have texts shorter than `length`. Matches never cross
 documents. Repeated rows are copies of each other, and all their windows repeat. Texts of any size are taken whole. An empty
-table gives an empty result.
+table gives an empty result. Other columns of the input pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, saved, table, text_bytes, with_row_key
+from .common import drop, lookup, mixed, saved, table, text_bytes, text_key
 
 GRAM = 32
 #: Bytes of text that a worker takes at a time; a longer text is taken whole.
 SEGMENT = 400_000
-#: Distinct contexts of an anchor that one task compares.
-GROUP = 256
+#: Texts whose repetition a task remembers before it starts afresh.
+SEEN = 1_000_000
 #: Windows of a block in each pass over larger anchors; the last is the window itself.
 BLOCKS = (64, 16, 4, 1)
 U = np.uint64
@@ -109,143 +114,121 @@ def segments(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, context, rid, loc): loc packs the first window, the anchor's distance from it and the number of windows."""
+    """(gram, context, key, loc) of each run: loc packs the first window, the anchor's distance from it and the number of
+    windows. A task gives the runs of equal texts once, or seldom more often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            rids = batch.column(0).to_numpy()
-            for at, texts in segments(text_bytes(batch.column(1))):
+            every = batch.column(0).to_pylist()
+            new = [k for k, key in enumerate(every) if key not in seen and not seen.add(key)]
+            keys, known = batch.column(0).take(pa.array(new, pa.int64())), text_bytes(batch.column(1).take(pa.array(new, pa.int64())))
+            if len(seen) > SEEN:
+                seen.clear()
+            for at, texts in segments(known):
                 text, gram, context, low, apart, n = anchors(texts, length)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), pa.array(rids[at + text]), pa.array(low << 20 | apart << 10 | n)], names=["gram", "context", "rid", "loc"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(context), keys.take(pa.array(at + text)), pa.array(low << 20 | apart << 10 | n)], names=["gram", "context", "key", "loc"])
 
-    return docs.select("rid", "text").mapInArrow(run, "gram long, context long, rid long, loc long")
+    return docs.select("key", "text").mapInArrow(run, "gram long, context long, key binary, loc long")
 
 
-def context_rows(wanted: DataFrame, length: int) -> DataFrame:
-    """(gram, rid, loc, bytes) from rows (row, rid, places): the text around each wanted anchor."""
+def runs(wanted: DataFrame, length: int) -> DataFrame:
+    """(gram, key, place, near, far, bytes) from rows (key, text, places): an anchor's place in the text, its windows, which begin
+    `near` to `far` bytes before it, and what they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_bytes(batch.column(0).field("text"))
-            out: list[list] = [[], [], [], []]
-            for text, rid, places in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for key, text, places in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 for p in places:
-                    low, n = p["loc"] >> 20, p["loc"] & 1023
-                    for column, x in zip(out, (p["gram"], rid, p["loc"], text[low : low + n - 1 + length]), strict=True):
+                    low, far, n = p["loc"] >> 20, p["loc"] >> 10 & 1023, p["loc"] & 1023
+                    for column, x in zip(out, (p["gram"], key, low + far, far - n + 1, far, text[low : low + n - 1 + length]), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], names=["gram", "rid", "loc", "bytes"])
-
-    return wanted.select("row", "rid", "places").mapInArrow(run, "gram long, rid long, loc long, bytes binary")
-
-
-def window_codes(grams: np.ndarray, locs: np.ndarray, contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, window start, code) of each window; the code holds the anchor, its place and the window's bytes."""
-    apart, n = locs >> 10 & 1023, locs & 1023
-    sizes = np.array([len(x) for x in contexts], np.int64)
-    begins = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(contexts)), n)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    begin = begins[owner] + step
-    own = Codes(b"".join(contexts)).of(begin, begin + length)
-    return owner, (locs >> 20)[owner] + step, mixed(own + mixed(grams.view(np.uint64)[owner] + (apart[owner] - step).astype(np.uint64)))
-
-
-def compared(contexts: DataFrame, length: int) -> DataFrame:
-    """(rid, low, high): runs of repeated windows in anchors of up to GROUP contexts; rows stream in by anchor."""
+            types = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["gram", "key", "place", "near", "far", "bytes"])
 
-    def repeats(held: list[tuple]) -> pa.RecordBatch:
-        grams, rids, locs = (np.array([x[k] for x in held], np.int64) for k in range(3))
-        owner, start, code = window_codes(grams, locs, [x[3] for x in held], length)
-        _, inverse, counts = np.unique(code, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero(counts[inverse] > 1)
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(twice) != 1) | (np.diff(owner[twice]) != 0)])) if len(twice) else twice
-        low, high = twice[new], twice[np.concatenate([new[1:], [len(twice)]]) - 1] if len(twice) else twice
-        return pa.RecordBatch.from_arrays([pa.array(rids[owner[low]]), pa.array(start[low]), pa.array(start[high])], names=["rid", "low", "high"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if len(held) >= 4 * GROUP and row[0] != held[-1][0]:
-                    yield repeats(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield repeats(held)
-
-    return contexts.select("gram", "rid", "loc", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "rid long, low long, high long")
+    return wanted.select("key", "text", "places").mapInArrow(run, "gram long, key binary, place long, near long, far long, bytes binary")
 
 
 def digits(rows: DataFrame, size: int, length: int) -> DataFrame:
-    """Rows (gram, rid, loc, near, far, bytes), whose windows begin `near` to `far` bytes before the anchor, cut into aligned
-    blocks of `size` windows: digit is what all windows of a block share, whole is what the row's own windows cover together."""
+    """rows of `runs`, cut into aligned blocks of `size` suffixes: digit is what all windows of a block share, whole is what the
+    row's own windows in it cover together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grams, _, locs, near, far = (batch.column(k).to_numpy() for k in range(5))
-            contexts = batch.column(5).to_pylist()
+            grams, _, _, near, far = (batch.column(k) if k == 1 else batch.column(k).to_numpy() for k in range(5))
+            covered = batch.column(5).to_pylist()
             n = far // size - near // size + 1
             owner = np.repeat(np.arange(len(n)), n)
             least = ((near // size)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
             most = np.minimum(least + size - 1, length - GRAM)
             own_near, own_far = np.maximum(near[owner], least), np.minimum(far[owner], most)
-            sizes = np.array([len(x) for x in contexts], np.int64)
-            anchor = (np.cumsum(sizes) - sizes + (locs >> 10 & 1023))[owner]
-            codes = Codes(b"".join(contexts))
+            sizes = np.array([len(x) for x in covered], np.int64)
+            anchor = (np.cumsum(sizes) - sizes + far)[owner]
+            codes = Codes(b"".join(covered))
             shared = mixed(codes.of(anchor - least, anchor + length - most) + mixed(grams.view(np.uint64)[owner] + least.astype(np.uint64)))
-            whole = mixed(codes.of(anchor - own_far, anchor + length - own_near) + (own_near << 10 | own_far).astype(np.uint64))
-            kept = [batch.column(k).take(pa.array(owner)) for k in (0, 1, 2, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), *kept[:3], pa.array(own_near), pa.array(own_far), kept[3]], names=["digit", "whole", "gram", "rid", "loc", "near", "far", "bytes"])
+            whole = mixed(shared + codes.of(anchor - own_far, anchor + length - own_near) + (own_near << 10 | own_far).astype(np.uint64))
+            begin, end = far[owner] - own_far, far[owner] + length - own_near
+            parts = [covered[o][i:j] for o, i, j in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True)]
+            kept = [batch.column(k).take(pa.array(owner)) for k in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), *kept, pa.array(own_near), pa.array(own_far), pa.array(parts, pa.binary())], names=["digit", "whole", "gram", "key", "place", "near", "far", "bytes"])
 
-    return rows.select("gram", "rid", "loc", "near", "far", "bytes").mapInArrow(run, "digit long, whole long, gram long, rid long, loc long, near long, far long, bytes binary")
+    return rows.select("gram", "key", "place", "near", "far", "bytes").mapInArrow(run, "digit long, whole long, gram long, key binary, place long, near long, far long, bytes binary")
 
 
-def counted(contexts: DataFrame, length: int) -> DataFrame:
-    """As compared, for anchors of any number of contexts: passes over ever smaller blocks of windows. A block that stands
-    alone by its digit drops out; blocks that are equal as a whole are repeated; one of each kind goes on where a digit has
-    several, cut finer. No pass needs the rows of a digit together."""
-    apart, n = F.shiftright("loc", 10).bitwiseAND(F.lit(1023)), F.col("loc").bitwiseAND(F.lit(1023))
-    rows, found = contexts.select("gram", "rid", "loc", (apart - n + 1).alias("near"), apart.alias("far"), "bytes"), []
+def passes(rows: DataFrame, length: int) -> list[DataFrame]:
+    """Ranges (key, low, high) of repeated windows among the rows of `runs`, pass by pass."""
+    found = []
     for size in BLOCKS:
         level = saved(digits(rows, size, length), "digits")
-        kinds = level.groupBy("digit", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc", "near", "far", "gram", "bytes")).alias("one"))
+        kinds = level.groupBy("digit", "whole").agg(F.count("*").alias("n"), F.min(F.struct("key", "place", "near", "far", "gram", "bytes")).alias("one"))
         kinds = saved(kinds, "kinds")
-        equal = level.join(kinds.where("n > 1").select("digit", "whole"), ["digit", "whole"])
-        begin = F.shiftright("loc", 20) + apart
-        found.append(equal.select("rid", (begin - F.col("far")).alias("low"), (begin - F.col("near")).alias("high")))
-        split = kinds.groupBy("digit").agg(F.count("*").alias("k")).where("k > 1").select("digit")
-        rows = kinds.join(saved(split, "split"), "digit").select("one.*")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+        equal = lookup(level.select("whole", "key", "place", "near", "far"), "whole", kinds.where("n > 1").select("whole", "n"), level.count())
+        found.append(saved(equal.select("key", (F.col("place") - F.col("far")).alias("low"), (F.col("place") - F.col("near")).alias("high")), "ranges"))
+        drop(level)
+        split = kinds.groupBy("digit").agg(F.count("*").alias("n")).where("n > 1")
+        rows = lookup(kinds.select("digit", "one"), "digit", split, kinds.count()).select("one.*")
+    return found
 
 
 def repeated(docs: DataFrame, length: int) -> DataFrame:
-    """docs(rid, row, text) to (rid, ranges): the starts of all windows that occur elsewhere too, as ranges; absent if none."""
-    rows = anchor_rows(docs, length)
-    shared = saved(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
-    matched = saved(rows.join(shared, "gram"), "anchors")
-    around = matched.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("rid", "loc")).alias("one"))
-    around = saved(around.select("gram", "context", "n", "one.rid", "one.loc"), "contexts")
-    equal = matched.join(around.where("n > 1").select("gram", "context"), ["gram", "context"])
-    ranges = equal.select("rid", F.shiftright("loc", 20).alias("low"), (F.shiftright("loc", 20) + F.col("loc").bitwiseAND(F.lit(1023)) - 1).alias("high"))
-    kinds = around.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    places = around.join(kinds, "gram").select("gram", "rid", "loc", (F.col("kinds") > GROUP).alias("many"))
-    for many, way in ((False, compared), (True, counted)):
-        chosen = places.where(F.col("many") == F.lit(many))
-        if many and not chosen.limit(1).count():
-            continue
-        wanted = docs.select("rid", "row").join(chosen.groupBy("rid").agg(F.collect_list(F.struct("gram", "loc")).alias("places")), "rid")
-        contexts = context_rows(wanted, length)
-        ranges = ranges.union(way(saved(contexts, "around") if many else contexts, length))
-    return ranges.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-
-
-def cut(text: bytes, ranges: list[dict] | None, length: int) -> tuple[bytes, int, int]:
+    """docs(key, text) to (key, ranges, whole, n), absent if nothing of a text repeats: the starts of windows that occur
+    elsewhere too, as ranges; or whole, where n rows have the text and it has a window."""
+    times = docs.groupBy("key").agg(F.count("*").alias("n"), F.max(F.octet_length("text")).alias("size"))
+    copies = saved(times.where((F.col("n") > 1) & (F.col("size") >= length)).select("key", "n"), "copies")
+    spot = F.xxhash64("key", "loc")
+    every = saved(anchor_rows(docs, length), "anchors")
+    n = every.count()
+    shared = every.groupBy("gram").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("n")).where("a <> b").select("gram", "n")
+    matched = saved(lookup(every, "gram", saved(shared, "grams"), n).select("gram", F.xxhash64("gram", "context").alias("run"), "key", "loc"), "matched")
+    drop(every)
+    around = matched.groupBy("run").agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.count("*").alias("n"), F.min(F.struct("key", "loc", "gram")).alias("one"))
+    around = saved(around, "around")
+    equal = lookup(matched.select("run", "key", "loc"), "run", around.where("a <> b").select("run", "n"), n)
+    low = F.shiftright("loc", 20)
+    found = [equal.select("key", low.alias("low"), (low + F.col("loc").bitwiseAND(F.lit(1023)) - 1).alias("high"))]
+    kinds = around.groupBy("one.gram").agg(F.count("*").alias("n")).where("n > 1")
+    left = lookup(around.select("one.gram", "one.key", "one.loc"), "gram", kinds, n)
+    wanted = saved(left.groupBy("key").agg(F.collect_list(F.struct("gram", "loc")).alias("places"), F.lit(1).alias("n")), "wanted")  # at most a text's own runs
+    total = docs.count()
+    texts = wanted.join(copies.select("key", F.col("n").alias("rows")), "key", "left").select("key", "places", F.coalesce("rows", "n").alias("n"))
+    held = lookup(docs.select("key", "text"), "key", texts, total)
+    found += passes(runs(held, length).dropDuplicates(["gram", "key", "place"]), length)
+    ranges = found[0]
+    for more in found[1:]:
+        ranges = ranges.union(more)
+    # A text that several rows have needs no ranges, and there may be very many rows of it.
+    few = ranges.join(copies, "key", "left_anti").groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("ranges"))
+    whole = copies.select("key", F.lit(None).cast("array<struct<low:bigint,high:bigint>>").alias("ranges"), F.lit(True).alias("whole"), "n")
+    return saved(few.select("key", "ranges", F.lit(False).alias("whole"), F.lit(1).cast("long").alias("n")).union(whole), "found")
+
+
+def cut(text: bytes, ranges: list[dict] | None, length: int, whole: bool = False) -> tuple[bytes, int, int]:
     """What stays of a text, bytes removed, and maximal removed runs."""
+    if whole:
+        return b"", len(text), 1
     if not ranges:
         return text, 0, 0
     edges = np.zeros(len(text) + 1, np.int64)
@@ -257,18 +240,18 @@ def cut(text: bytes, ranges: list[dict] | None, length: int) -> tuple[bytes, int
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept): each row of docs as a struct, and what is left of its text's UTF-8 bytes."""
-    keyed = with_row_key(docs, "rid").select("rid", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = repeated(keyed.withColumn("text", F.col("row.text")), length)
+    found = repeated(docs.select(text_key().alias("key"), "text"), length)
+    keyed = docs.select(text_key().alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = T.StructType([keyed.schema["row"], *(T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = text_bytes(batch.column(0).field("text"))
-            done = [cut(t, r, length) for t, r in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            done = [cut(t, r, length, bool(w)) for t, r, w in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             kept, removed, spans = zip(*done, strict=True) if done else ([], [], [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return keyed.join(found, "rid", "left").select("row", "ranges").mapInArrow(run, schema)
+    return lookup(keyed, "key", found, docs.count(), "left").select("row", "ranges", "whole").mapInArrow(run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -125,9 +125,7 @@ def test_topk(spark):
     assert topk.top_k(frame.where("false"), frame, 10).count() == 0
 
 
-@pytest.mark.parametrize("group", [256, 1])
-def test_suffixes(docs, rows, none, monkeypatch, group):
-    monkeypatch.setattr(suffixes, "GROUP", group)
+def test_suffixes(docs, rows, none):
     texts = [(r[1] or "").encode() for r in rows]
     seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     want = collections.Counter()
@@ -143,6 +141,30 @@ def test_suffixes(docs, rows, none, monkeypatch, group):
     assert suffixes.without_repeats(none, 200).count() == 0
 
 
+def test_suffixes_of_many_copies(spark):
+    """Copies cost no ranges; passages with differences all around them; matches within one text; neighbours of a copy."""
+    rng = np.random.default_rng(9)
+    text = lambda n: "".join(rng.choice(list("abcdefgh ij"), n))
+    copy, passage = text(900), text(450)
+    rows = [(k, copy) for k in range(60)] + [(100 + k, text(150) + passage[k : 450 - 2 * k] + text(100)) for k in range(40)]
+    rows += [(200, passage[:199]), (201, copy[:300] + text(50)), (202, "ab" * 300), (203, passage[:200]), (204, None), (1, copy)]
+    texts = [(t or "").encode() for _, t in rows]
+    seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    got = collections.defaultdict(list)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranges = suffixes.repeated(frame.select(suffixes.text_key().alias("key"), "text"), 200)
+    assert ranges.where("whole").count() == 1 and ranges.where("whole").first()["ranges"] is None
+    for r in suffixes.without_repeats(frame, 200).collect():
+        got[r["row"]["doc_id"]].append((r["n_removed"], r["n_spans"], bytes(r["kept"])))
+    for (k, _), t in zip(rows, texts, strict=True):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (int(gone.sum()), spans, np.frombuffer(t, np.uint8)[~gone].tobytes()) in got[k]
+
+
 def test_toxicity(spark, docs, rows, none):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(docs, labels)
