@@ -2,12 +2,20 @@
 
 A page is read once into blocks of text between block-level tags, with the elements each lies in. First pass: a block is bad
 in a boilerplate element (by tag, role, class or id) or with many links; good in an article, or long with enough stop words;
-bad if long without them; and else undecided. Second pass: an undecided block takes the label of its nearest decided
-neighbour, of its own container before others and, at equal distance, of the one that follows if it is a heading.
+bad if long without them; and else undecided. Names decide alone where all their words say boilerplate (`cookie-notice-box`);
+where a name has other words too (`legal analysis`), or in an article only words that may as well name a part of it
+(`tags`, `legal`), density, length and links decide. Second pass: an undecided block takes the label of its nearest
+decided neighbour, of its own container before others and, at equal distance, of the one that follows if it is a heading.
+An article's long blocks are good whatever their stop words: they may be code, tables or another language.
+
+Both passes are linear in the page: tags are found by one scan, open elements are counted, and nearest neighbours come from
+a sweep in each direction.
 
 Defined results: null and empty html give the empty text. Broken markup is read as far as it goes: unknown or unmatched end
-tags are skipped, open elements end with the page, scripts and styles end at their own end tag only. Repeated rows each give
-their row. Nothing is cut or capped. Other columns of the input are ignored.
+tags are skipped, open elements end with the page, scripts and styles end at their own end tag only, and from a tag on whose
+quotes never close, tags end at the next `>`. Repeated rows each give their row. Nothing is cut or capped, whatever a page's
+size. An empty table gives an empty result. `extract` puts its result in place of a column of the same name; other columns
+pass through.
 """
 
 from __future__ import annotations
@@ -21,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.DOTALL)
+#: What follows `<` in a tag, and the rest of it up to `>` with its quotes.
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+REST = re.compile(r"(?>[^>\"']+|\"[^\"]*\"|'[^']*')*+>")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 RAW = {x: re.compile(rf"</{x}\s*>", re.IGNORECASE) for x in ("script", "style", "textarea", "noscript", "template", "title", "svg", "iframe")}
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -31,10 +41,13 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 BAD_TAGS = frozenset("nav footer aside form head button select dialog menu fieldset legend".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar".split())
 BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advert(?:isement|ising|s)?|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|side-?bars?|widgets?|navs?|navbar|navigation|menus?|breadcrumbs?|"
-    r"comments?|comment-?list|respond|replies|discussion|disqus|footers?|masthead|site-?header|page-?header|topbar|toolbar|shar(?:e|ing)|social|newsletter|subscri(?:be|ption)|sign-?up|login|popups?|modal|overlay|related|recommend(?:ed|ations)?|pagination|pager|copyright|legal|disclaimer|search|tags|toc)(?:$|[\s_-])",
+    r"(?:^|(?<=[\s_-]))(?:ads?|adverts?|advert(?:isement|ising|s)?|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|notices?|notifications?|alerts?|side-?bars?|widgets?|navs?|navbar|navigation|menus?|breadcrumbs?|"
+    r"comments?|comment-?list|respond|replies|discussion|disqus|footers?|masthead|site-?header|page-?header|topbar|toolbar|shar(?:e|ing)|social|newsletter|subscri(?:be|ption)|sign-?up|login|popups?|modal|overlay|related|recommend(?:ed|ations)?|pagination|pager|copyright|legal|disclaimer|search|tags?|toc)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+#: Bad names that also name a part of an article, and words of a name that say nothing.
+WEAK = frozenset("legal tag tags search discussion toc related alert alerts overlay disclaimer".split())
+NEUTRAL = frozenset("box block list wrapper wrap section area container content item items bar panel inner outer row col column left right top bottom main site page global primary secondary small large sticky fixed floating inline links link button buttons icons text title heading header body module component group the and of".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Frequent words of the four languages.
 STOP_WORDS = frozenset("""the of and to a in is that it for was on as be with by this are at from or an he his not have they you which had were but we her she there been their has will would all if can who
@@ -46,34 +59,83 @@ WORD = re.compile(r"[^\W\d_]+").findall
 
 
 class Block:
-    __slots__ = ("bad", "container", "heading", "in_article", "label", "linked", "parts")
+    __slots__ = ("bad", "container", "heading", "in_article", "label", "linked", "parts", "text")
 
-    def __init__(self, bad: bool, in_article: bool, container: int, heading: bool):
-        self.parts, self.linked = [], 0
+    def __init__(self, bad: int, in_article: bool, container: int, heading: bool):
+        self.parts, self.linked, self.text = [], 0, ""
         self.bad, self.in_article, self.container, self.heading, self.label = bad, in_article, container, heading, None
 
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+
+def named(name: str, in_article: bool) -> int:
+    """What a class or id says of a block: 0 nothing, 1 a word among others, 2 a word that an article may use, 3 boilerplate."""
+    found = [m.group().lower() for m in BAD_NAMES.finditer(name)]
+    if not found:
+        return 0
+    others = [w for w in re.split(r"[\s_-]+", BAD_NAMES.sub(" ", name).lower()) if w and not w.isdigit() and w not in NEUTRAL]
+    if others:
+        return 1
+    return 2 if in_article and WEAK.issuperset(found) else 3
 
 
-def is_bad(tag: str, attributes: str, in_article: bool) -> bool:
+def badness(tag: str, attributes: str, in_article: bool) -> int:
     if tag in BAD_TAGS or tag == "header" and not in_article:
-        return True
+        return 3
     if not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+        return 0
     found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
     if found.get("role", "").lower() in BAD_ROLES or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return True
+        return 3
     if re.search(r"(?:^|\s)hidden(?:\s|$)", re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*')", " ", attributes)):
-        return True
-    return any(BAD_NAMES.search(found.get(k, "")) for k in ("class", "id"))
+        return 3
+    return max(named(found.get(k, ""), in_article) for k in ("class", "id"))
+
+
+class Open:
+    """Open elements: how many of each tag, and where the block-level ones are."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, bool, int]] = []  # tag, badness, in article, container
+        self.counts: dict[str, int] = {}
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, bad: int, in_article: bool, container: int) -> None:
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, bad, in_article, container))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.counts[tag] -= 1
+        if self.blocks and self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        return tag
+
+    def close(self, tag: str) -> None:
+        if self.counts.get(tag):
+            while self.pop() != tag:
+                pass
+
+    def end(self, tags: frozenset | set) -> None:
+        """Close the innermost blocks as long as they are of these tags."""
+        while self.blocks and self.stack[at := self.blocks[-1]][0] in tags:
+            while len(self.stack) > at:
+                self.pop()
+
+    def now(self) -> tuple[int, bool, int]:
+        return self.stack[-1][1:] if self.stack else (0, False, 0)
+
+
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+CONTAINERS = frozenset("article main section div nav aside header footer form body".split())
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, bad, in article, container
-    links = containers = at = 0
+    held = Open()
+    containers, at, size, quotes = 0, 0, len(page), True
+    endless: set[str] = set()
     now: Block | None = None
 
     def add(text: str) -> None:
@@ -81,78 +143,107 @@ def blocks(page: str) -> list[Block]:
         if not text or now is None and text.isspace():
             return
         if now is None:
-            _, bad, article, container = stack[-1] if stack else ("", False, False, 0)
-            now = Block(bad, article, container, any(t[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for t in stack))
+            now = Block(*held.now(), any(held.counts.get(h) for h in HEADINGS))
             out.append(now)
         text = html.unescape(text)
         now.parts.append(text)
-        if links:
+        if held.counts.get("a"):
             now.linked += len(text.strip())
 
-    while at < len(page):
-        m = TAG.search(page, at)
-        if not m:
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        m = NAME.match(page, begin + 1)
+        if not m and page[begin + 1 : begin + 2] not in ("!", "?"):
+            add(page[at : begin + 1])
+            at = begin + 1
+            continue
+        add(page[at:begin])
+        if not m:
+            end = "-->" if page.startswith("<!--", begin) else ">"
+            found = page.find(end, begin + 2)
+            at = found + len(end) if found >= 0 else size
             continue
-        tag = m[2].lower()
+        rest = REST.match(page, m.end()) if quotes else None
+        if rest:
+            at = rest.end()
+        else:
+            quotes = False
+            found = page.find(">", m.end())
+            at = found + 1 if found >= 0 else size
+        tag, attributes = m[2].lower(), page[m.end() : at - 1]
         if m[1]:
             if tag in BLOCKS:
                 now = None
-            if any(t[0] == tag for t in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                links = sum(t[0] == "a" for t in stack)
+            held.close(tag)
             continue
-        if tag in RAW:
+        if tag in RAW and tag not in endless:
             end = RAW[tag].search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if end or tag in ("script", "style", "textarea", "title"):
+                at = end.end() if end else size
+                continue
+            endless.add(tag)
         if tag in BLOCKS:
             now = None
-            ends = ENDS.get(tag, ())
-            top = [t[0] for t in stack]
-            for k in range(len(top) - 1, -1, -1):
-                if top[k] in ends:
-                    del stack[k:]
-                elif top[k] in BLOCKS:
-                    break
-            links = sum(t[0] == "a" for t in stack)
+            held.end(ENDS.get(tag, frozenset()))
         elif tag == "br":
             add(" ")
         if tag in VOID:
             continue
-        _, bad, article, container = stack[-1] if stack else ("", False, False, 0)
-        bad = bad or is_bad(tag, m[3], article)
-        if tag in ("article", "main", "section", "div", "nav", "aside", "header", "footer", "form", "body"):
+        bad, article, container = held.now()
+        bad = max(bad, badness(tag, attributes, article))
+        if tag in CONTAINERS:
             containers += 1
             container = containers
-        stack.append((tag, bad, article or tag in ("article", "main"), container))
-        links += tag == "a"
-    return [b for b in out if b.text()]
+        held.push(tag, bad, article or tag in ("article", "main"), container)
+    for b in out:
+        b.text = " ".join("".join(b.parts).split())
+    return [b for b in out if b.text]
+
+
+def first_pass(b: Block) -> bool | None:
+    words = WORD(b.text.lower())
+    linked = b.linked / len(b.text)
+    stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
+    if b.bad == 3 or linked > LINKS_HIGH:
+        return False
+    if len(b.text) >= LONG:
+        if b.bad:
+            return stops >= STOPS_HIGH and linked <= LINKS_HIGH / 2
+        return b.in_article or stops >= STOPS_HIGH
+    return False if b.bad == 2 else None
+
+
+def sweep(found: list[Block], order: range) -> list[tuple[int | None, int | None, int | None]]:
+    """For each block the last decided one before it in the order: of its container, of its side of the article, of all."""
+    last: dict = {}
+    near = [(None, None, None)] * len(found)
+    for k in order:
+        b = found[k]
+        keys = (("c", b.container), ("a", b.in_article), ("all",))
+        near[k] = tuple(last.get(x) for x in keys)
+        if b.label is not None and b.bad != 3:
+            for x in keys:
+                last[x] = k
+    return near
 
 
 def decide(found: list[Block]) -> None:
     """Both passes over the blocks of a page."""
     for b in found:
-        text = b.text()
-        words = WORD(text.lower())
-        linked = b.linked / len(text)
-        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-        if b.bad or linked > LINKS_HIGH:
-            b.label = False
-        elif len(text) >= LONG:
-            b.label = b.in_article or stops >= STOPS_HIGH
-    decided = [k for k, b in enumerate(found) if b.label is not None and not b.bad]
+        b.label = first_pass(b)
+    before, after = sweep(found, range(len(found))), sweep(found, range(len(found) - 1, -1, -1))
     labels = {}
     for k, b in enumerate(found):
         if b.label is None:
-            same = [j for j in decided if found[j].container == b.container] or [j for j in decided if found[j].in_article == b.in_article] or decided
-            nearest = min(same, key=lambda j: (abs(j - k), (j < k) == b.heading), default=None)
-            labels[k] = b.in_article if nearest is None else found[nearest].label
+            labels[k] = b.in_article
+            for x, y in zip(before[k], after[k], strict=True):
+                if x is not None or y is not None:
+                    nearer = y if x is None else x if y is None else x if k - x < y - k or k - x == y - k and not b.heading else y
+                    labels[k] = found[nearer].label
+                    break
     for k, label in labels.items():
         found[k].label = label
 
@@ -160,7 +251,7 @@ def decide(found: list[Block]) -> None:
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
     decide(found)
-    return "\n\n".join(b.text() for b in found if b.label)
+    return "\n\n".join(b.text for b in found if b.label)
 
 
 def extract(pages: DataFrame, column: str = "html", to: str = "text") -> DataFrame:
