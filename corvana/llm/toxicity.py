@@ -3,13 +3,14 @@
 Learning takes a bounded sample of labelled rows (`SAMPLE`, the smallest hashes of doc_id), never those of the held-out
 fold (crc32(doc_id) mod 5 = 0). Words and word beginnings of the sample are counted by fold and label in Spark; the ones
 that lean to one label are the learned lexicon, beside a short fixed one. Features of the sample's rows use a lexicon that
-was counted without their own fold. Trees are grown on folds 2 to 4 by histogram, the calibration comes from fold 1 by
-pooling adjacent violators. The model (trees, knots, at most `LEXICON` entries) is small and fixed in size, so it is
-broadcast; scoring is one pass over all texts without a shuffle.
+was counted without their own fold. Trees are grown by histogram, on all of the sample; for the calibration every row is
+scored by trees grown without its fold, and adjacent violators are pooled. The sample bounds the model (trees, knots,
+lexicon), which is broadcast; scoring is one pass over all texts without a shuffle.
 
 Defined results: null and empty text get the score of a text without words. Label rows with null are ignored; of several
 labels of a document the largest holds. A table without labelled rows of both kinds scores by the fixed lexicon alone.
-Repeated rows get equal scores. Rows with a null doc_id count as held out. Texts are read whole.
+Repeated rows get equal scores. Rows with a null doc_id count as held out. Texts are read whole. An empty table gives an
+empty result. `score` puts its result in place of a column `score`; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
-SAMPLE, LEXICON, CACHE = 12_000, 20_000, 200_000
+SAMPLE, CACHE = 12_000, 200_000
 TREES, DEPTH, BINS, RATE, LEAST_LEAF = 60, 3, 32, 0.2, 5
 #: Insults, and the second person, in the corpus's four languages.
 INSULTS = """idiot idiots moron morons stupid dumb loser losers pathetic scum worthless trash garbage clown disgusting vermin filth filthy
@@ -78,7 +79,7 @@ def gram_counts(sample: DataFrame) -> DataFrame:
     return sample.select("fold", "label", "text").mapInArrow(run, "gram string, fold int, label int, n long").groupBy("gram", "fold", "label").agg(F.sum("n").alias("n"))
 
 
-def learned_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, list[float]], dict]:
+def learned_lexicon(sample: DataFrame) -> tuple[dict[str, list[float]], dict]:
     """Gram: its leaning without fold 0, 1, .. 4 (without fold 0: in the whole sample); and rows by (fold, label)."""
     sizes = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}  # at most 8 rows
     total = {y: sum(n for (_, l), n in sizes.items() if l == y) for y in (0, 1)}
@@ -94,8 +95,7 @@ def learned_lexicon(sample: DataFrame, most: int = LEXICON) -> tuple[dict[str, l
         return F.log((of(1, out) + smooth) / (n[1] + 2 * smooth)) - F.log((of(0, out) + smooth) / (n[0] + 2 * smooth))
 
     rows = sums.where(of(1, 0) + of(0, 0) >= 2).select("gram", *(leaning(f).alias(f"l{f}") for f in range(5)), (of(1, 0) + of(0, 0)).alias("n"))
-    rows = rows.where(F.col("l0") > 0.7).orderBy(F.desc(F.col("l0") * F.sqrt("n")), "gram").limit(most)
-    return {r[0]: [float(x) for x in r[1:6]] for r in rows.collect()}, sizes  # at most `most` rows
+    return {r[0]: [float(x) for x in r[1:6]] for r in rows.where(F.col("l0") > 0.7).collect()}, sizes  # grams of the sample only
 
 
 def least_distance(a: list[int], b: list[int], most: int = 99) -> int:
@@ -156,7 +156,9 @@ class Scales:
 def grow(x: np.ndarray, y: np.ndarray) -> tuple[list, list, float]:
     """(bin edges, trees, bias): logistic boosting of histogram trees."""
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
+    bins, n = BINS + 1, x.shape[1]
     binned = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], 1)
+    cells = binned + np.arange(n) * bins
     bias = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     raw, trees = np.full(len(y), bias), []
     for _ in range(TREES):
@@ -166,23 +168,23 @@ def grow(x: np.ndarray, y: np.ndarray) -> tuple[list, list, float]:
         for depth in range(DEPTH):
             for at in range(2**depth - 1, 2 ** (depth + 1) - 1):
                 rows = np.flatnonzero(node == at)
-                best = (1e-6, None, None)
-                if len(rows) >= 2 * LEAST_LEAF:
-                    gs, hs = g[rows].sum(), h[rows].sum()
-                    for k in range(x.shape[1]):
-                        b = binned[rows, k]
-                        gl, hl, nl = (np.cumsum(np.bincount(b, w, BINS + 1)) for w in (g[rows], h[rows], None))
-                        gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                        gain[(nl < LEAST_LEAF) | (len(rows) - nl < LEAST_LEAF)] = 0
-                        if gain.max() > best[0]:
-                            best = (gain.max(), k, int(gain.argmax()))
-                if best[1] is None:
+                if len(rows) < 2 * LEAST_LEAF:
                     continue
-                tree[at] = (best[1], best[2])
-                node[rows] = 2 * at + 1 + (binned[rows, best[1]] > best[2])
-        leaves = {int(k): float(RATE * g[node == k].sum() / (h[node == k].sum() + 1)) for k in np.unique(node)}
-        raw += np.array([leaves[int(k)] for k in node])
-        trees.append((tree, leaves))
+                flat = cells[rows].ravel()
+                total = lambda w: np.cumsum(np.bincount(flat, None if w is None else np.repeat(w[rows], n), n * bins).reshape(n, bins), 1)  # noqa: B023, E731
+                gl, hl, nl = total(g), total(h), total(None)
+                gs, hs = g[rows].sum(), h[rows].sum()
+                gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
+                gain[(nl < LEAST_LEAF) | (len(rows) - nl < LEAST_LEAF)] = 0
+                k, cut = np.unravel_index(int(gain.argmax()), gain.shape)
+                if gain[k, cut] <= 1e-6:
+                    continue
+                tree[at] = (int(k), int(cut))
+                node[rows] = 2 * at + 1 + (binned[rows, k] > cut)
+        sums, weights = np.bincount(node, g), np.bincount(node, h)
+        worth = RATE * sums / (weights + 1)
+        raw += worth[node]
+        trees.append((tree, {int(k): float(worth[k]) for k in np.unique(node)}))
     return edges, trees, bias
 
 
@@ -232,11 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:
     rows = sample.mapInArrow(measured, "fold int, label int, x array<double>").toPandas()  # at most `most` rows of FEATURES numbers
     rows = rows.iloc[np.lexsort(np.array(rows["x"].tolist()).T)]
     x, y, f = np.array(rows["x"].tolist()), (rows["label"].to_numpy() > 0).astype(float), rows["fold"].to_numpy()
-    few = min(y[f == 1].sum(), (1 - y[f == 1]).sum()) < 15  # too few to calibrate apart: then on all rows
-    grown = f > 1 if not few else f > 0
-    model = grow(x[grown], y[grown])
-    held = f == 1 if not few else f > 0
-    return {"lexicon": lexicon, "trees": model, "knots": isotonic(raw_scores(model, x[held]), y[held])}
+    return {"lexicon": lexicon, "trees": grow(x, y), "knots": isotonic(out_of_fold(x, y, f), y)}
+
+
+def out_of_fold(x: np.ndarray, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Raw scores of each row, by trees grown without its fold; a fold that holds all rows is scored by its own."""
+    raw = np.zeros(len(y))
+    for k in np.unique(f):
+        others = f != k if (f != k).any() else f == k
+        raw[f == k] = raw_scores(grow(x[others], y[others]), x[f == k])
+    return raw
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -257,7 +264,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return docs.withColumn("score", scored("text"))
 
 
-
 def op1(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = score(docs, fit(docs, table(spark, sf_dir, "labels")))
