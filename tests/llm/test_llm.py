@@ -125,6 +125,40 @@ def test_topk(spark):
     assert topk.top_k(frame.where("false"), frame, 10).count() == 0
 
 
+def test_topk_repeated_rows_and_clashing_columns(spark):
+    """Equal candidates each count, one of equal queries asks, scores of 64 bits are exact, other columns do not matter."""
+    big = [3_000_000_000.0, 1.0]
+    rows = [(100, [1.0, 2.0], 0, 0), (100, [1.0, 2.0], 1, 1), (3, [5.0, 5.0], 2, 2), (3, [5.0, 5.0], 3, 3), (4, [5.0, 5.0], 4, 4), (200, big, 5, 5), (5, big, 6, 6)]
+    frame = topk.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int, q int"), 1)
+    got = collections.defaultdict(list)
+    for r in topk.top_k(frame.where("vec_id % 100 = 0"), frame, 4).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got[100] == [(5, 3_000_000_002), (200, 3_000_000_002), (3, 15), (3, 15)]
+    assert got[200] == [(5, 9 * 10**18 + 1), (3, 15_000_000_005), (3, 15_000_000_005), (4, 15_000_000_005)]
+
+
+def work_share(vectors, k=10):
+    """Share of the dimension work done, and the result against brute force."""
+    v = np.floor(1024 * vectors).astype(np.int64)
+    ids = np.arange(len(v))
+    search = topk.Search(ids[::100], v[::100].T, k)
+    for at in range(0, len(v), 1024):
+        search.meet(ids[at : at + 1024], v[at : at + 1024].T)
+    whole = v[::100] @ v.T
+    for j, q in enumerate(ids[::100]):
+        order = [x for x in np.lexsort((ids, -whole[j])) if x != q][:k]
+        assert list(search.best[j][0]) == order and list(search.best[j][1]) == list(whole[j][order])
+    return search.done / search.full
+
+
+def test_topk_prunes():
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centers = unit(rng.normal(size=(20, 64)))
+    assert work_share(unit(centers[rng.integers(0, 20, 8000)] + 0.05 * rng.normal(size=(8000, 64)))) < 0.5
+    assert work_share(unit(rng.normal(size=(8000, 64)))) < 1
+
+
 def test_suffixes(docs, rows, none):
     texts = [(r[1] or "").encode() for r in rows]
     seen = collections.Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
