@@ -214,7 +214,33 @@ def test_toxicity(spark, docs, rows, none):
 def test_quality(docs, rows, none):
     got = quality.classify(docs, 50).collect()
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 and 0 <= r["posterior"] <= 1 for r in got)
-    assert quality.classify(none).count() == 0
+    empty = [r["posterior"] for r in got if r["doc_id"] in (7, 8)]
+    assert len(empty) >= 2 and quality.classify(none).count() == 0
+
+
+def test_quality_estimates_planted_accuracies():
+    """Votes drawn from known chances: each labeller's chance of a bad vote and the share of good documents are found again."""
+    rng, n, k = np.random.default_rng(6), 60_000, len(quality.LABELLERS)
+    seen, false = rng.uniform(0.3, 0.9, k), rng.uniform(0.0, 0.015, k)
+    good = rng.random(n) < 0.8
+    bad_vote = rng.random((n, k)) < np.where(good[:, None], false, seen)
+    vote = np.where(bad_vote, 0, np.where(rng.random((n, k)) < 0.9, 2, 1))
+    patterns, counts = np.unique(vote @ 3 ** np.arange(k), return_counts=True)
+    post, chance, share = quality.estimate(patterns, counts.astype(float))
+    assert abs(share - 0.8) < 0.01
+    assert np.abs(chance[:, 0, 0] - seen).max() < 0.03 and np.abs(chance[:, 1, 0] - false).max() < 0.01
+    found = dict(zip(patterns.tolist(), post, strict=True))
+    right = np.array([found[p] >= 0.5 for p in (vote @ 3 ** np.arange(k)).tolist()]) == good
+    assert right.mean() > 0.99
+
+
+def test_quality_finds_each_way_to_be_bad(spark):
+    rng = np.random.default_rng(1)
+    prose = lambda k: "the people of the town and the river have a bridge that is old " + " ".join(f"word{x}" if x % 3 else "and" for x in rng.integers(0, 5000, 60)) + f" it is {k}."
+    bad = ["Was Was Was " * 60, "### $$$ &&& " + "noise%%% more### words$$$ " * 40, "A | menu | of | many | links | " * 20, "BUY NOW!!! " * 40, ""]
+    rows = [(k, prose(k)) for k in range(400)] + [(1000 + k, f"{bad[k % 5]} {k}" if k % 5 < 4 else "") for k in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), 300).collect()}
+    assert all(got[k] for k in range(400)) and not any(got[1000 + k] for k in range(100) if k % 5 < 4)
 
 
 def test_licenses(spark):
