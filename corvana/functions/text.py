@@ -52,7 +52,7 @@ def formulas(s: Column) -> Column:
 
 def links(s: Column) -> Column:
     """Stems of wikilink targets, before any anchor or alias."""
-    return F.transform(F.regexp_extract_all(s, F.lit(r"\[\[([^\]|#]+)"), 1), lambda x: F.regexp_replace(F.regexp_extract(F.trim(x), r"([^/]+)$", 1), r"\.md$", ""))
+    return F.transform(F.regexp_extract_all(s, F.lit(r"\[\[([^\]|#\n]+)(?:#[^\]|\n]+)?(?:\|[^\]]+)?\]\]"), 1), lambda x: F.regexp_replace(F.regexp_extract(F.replace(F.trim(x), F.lit("\\"), F.lit("/")), r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", ""))
 
 
 def number(s: Column) -> Column:
@@ -126,8 +126,15 @@ def unescaped_dollars(s: Column) -> Column:
 
 def repetition(s: Column) -> Column:
     """Share of the most frequent token."""
-    tokens = F.regexp_extract_all(F.lower(s), F.lit(r"(\w+)"), 1)
-    most = F.array_max(F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t))))
+    tokens = F.array_sort(F.regexp_extract_all(F.lower(s), F.lit(r"(\w+)"), 1))
+    # The longest run of equals in the sorted list.
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most"))
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(a["most"], run).alias("most"))
+
+    most = F.aggregate(tokens, start, step, lambda a: a["most"])
     return F.when(F.size(tokens) > 0, most / F.size(tokens)).otherwise(0.0)
 
 

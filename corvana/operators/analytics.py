@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FORBIDDEN = ("real_name", "student_name", "name", "school_number", "student_code", "phone", "guardian_contact", "id_card", "address")
+from .sizes import small
+
+#: Columns that no query shows.
+FORBIDDEN = ("real_name", "school_number", "guardian_contact", "notes", "teacher_note", "teacher_comment", "class_rank", "grade_rank", "score_band")
 LIMITS = (1, 500)
 MASTERY = ((0.85, "solid"), (0.60, "basic"))
 
@@ -49,9 +52,11 @@ def audit_row(spark, actor: str, action: str, target: str, rows: int) -> DataFra
 
 
 def with_class_average(items: DataFrame, item: str, score: str, most: str) -> DataFrame:
-    """Each row with the mean rate of its item over all rows, by a window instead of a self-join."""
+    """Each row with the mean rate of its item over all rows: summed in each task before the shuffle, then joined. A null item is
+    an item too."""
     rate = F.when(F.col(score).isNotNull() & (F.col(most) > 0), F.col(score) / F.col(most))
-    return items.withColumn("class_rate", F.avg(rate).over(Window.partitionBy(item)))
+    means = items.groupBy(F.col(item).alias("_item")).agg(F.avg(rate).alias("class_rate"))
+    return items.join(means, items[item].eqNullSafe(means._item), "left").drop("_item")
 
 
 def knowledge_rollup(items: DataFrame) -> DataFrame:
@@ -103,5 +108,5 @@ def exam_profile(rows: DataFrame) -> DataFrame:
 
 def top_errors(rows: DataFrame, column: str, labels: DataFrame, k: int = 3) -> DataFrame:
     """Most frequent labels of codes; ties by label. labels is a small code table."""
-    named = rows.where(F.coalesce(column, F.lit("")) != "").join(F.broadcast(labels), F.col(column) == labels.code, "left")
+    named = rows.where(F.coalesce(column, F.lit("")) != "").join(small(labels), F.col(column) == labels.code, "left")
     return named.groupBy(F.coalesce("label", F.col(column)).alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(k)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 
 def dead(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """Edges (src, dst) whose dst is no page (id)."""
@@ -90,7 +92,7 @@ def buckets(rows: DataFrame, key: str, begin: str, text: str, seconds: int = 120
 
 def cues(rows: DataFrame, terms: DataFrame, key: str, text: str, most: int) -> DataFrame:
     """(term, key, n, overflow): the first hits of each term, and how many more there are. terms is a small list."""
-    hit = rows.join(F.broadcast(terms), F.contains(F.col(text), F.col("term"))).select("term", key)
+    hit = rows.join(small(terms), F.contains(F.col(text), F.col("term"))).select("term", key)
     counts = hit.groupBy("term").agg(F.count("*").alias("n"))
     first = hit.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_r") <= most).drop("_r")
     return first.join(counts, "term").withColumn("overflow", F.greatest(F.col("n") - most, F.lit(0)))

@@ -22,7 +22,8 @@ def segments(rows: DataFrame, key: str, boundary: Column) -> DataFrame:
 
 def joined(rows: DataFrame, key: str, least: int = LEAST, *more: Column) -> DataFrame:
     """(key, seg, text, index): lines of each segment in order; short segments go and take no index."""
-    text = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    text = F.regexp_replace(whole, r"^\s+|\s+$", "")
     out = rows.groupBy(key, "seg").agg(text.alias("text"), *more).where(F.length("text") >= least)
     return out.withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy("seg")) - 1)
 

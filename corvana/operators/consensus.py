@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 
@@ -48,16 +52,26 @@ def spread_conflicts(rows: DataFrame, key: str, score: str, confidence: str, spr
 
 
 def packed(rows: DataFrame, key: str, order: str, size: str, cap: int) -> DataFrame:
-    """rows with `part`: greedy groups in order, a new one where the cap would be passed. One key's rows make one array."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s"))))
-    start = F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,part:int>>").alias("out"))
-
-    def step(a, x):
-        new = (a["used"] > 0) & (a["used"] + x["s"] > cap)
-        part = F.when(new, a["part"] + 1).otherwise(a["part"])
-        return F.struct(part.alias("part"), F.when(new, x["s"]).otherwise(a["used"] + x["s"]).alias("used"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), part.alias("part")))).alias("out"))
-
-    return rows.groupBy(key).agg(F.aggregate(entries, start, step)["out"].alias("parts")).select(key, F.inline("parts")).withColumnRenamed("o", order)
+    """(key, order, part): greedy groups in order, a new one where the cap would be passed. Rows stream by key and order; a key's
+    groups depend on each other, so they are one task's, but nothing of a key is held but its last group's size."""
+    plain = rows.select(key, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias("_size"))
+    schema = T.StructType([plain.schema[key], plain.schema[order], T.StructField("part", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, part, used = object(), 0, 0
+        for batch in batches:
+            parts = []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                x = x or 0
+                if k != now:
+                    now, part, used = k, 0, 0
+                if used and used + x > cap:
+                    part, used = part + 1, 0
+                used += x
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int32())], names=[key, order, "part"])
+
+    return plain.repartition(key).sortWithinPartitions(key, order, "_size").mapInArrow(run, schema)
 
 
 def islands(rows: DataFrame, key: str, at: str, gap: int) -> DataFrame:

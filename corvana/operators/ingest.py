@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .sizes import small
 
 SCORE = re.compile(r"Q[0-9A-Za-z_]+_score")
-FORBIDDEN_IDENTITY = frozenset("real_name student_name name school_number student_code guardian_contact guardian_name phone id_card address email wechat qq birthday".split())
+#: Columns that a roster must not have.
+FORBIDDEN_IDENTITY = frozenset("real_name name 姓名 school_number school_no 学号 exam_number exam_no 考号 student_status_number student_registry_number 学籍号 guardian_contact student_code".split())
 
 
 def score_columns(columns: list[str]) -> list[str]:
@@ -29,8 +31,9 @@ def observed_max(rows: DataFrame, item: str, score: str) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """By min_by, which sums up in each task before the shuffle."""
+    others = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
 def last_wins(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -82,5 +85,5 @@ def forward_filled(cells: DataFrame, column: str, order: str, *by: str) -> DataF
 
 def leaks(files: DataFrame, terms: DataFrame) -> DataFrame:
     """(path, term): the longest term found in each file. terms is a stated small list."""
-    hit = files.join(F.broadcast(terms), F.contains(F.col("text"), F.col("term")))
+    hit = files.join(small(terms), F.contains(F.col("text"), F.col("term")))
     return hit.groupBy("path").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 #: Mode: chunks by dense and by sparse score, and tokens of context.
 DEPTHS = {"light": (0, 0, 4000), "standard": (5, 5, 8000), "deep": (10, 10, 12000), "extreme": (10, 10, 16000)}
-#: Query vectors that may be broadcast; beyond, queries and vectors meet in blocks.
+#: Query vectors that may be broadcast; more meet the vectors in blocks.
 BROADCAST_QUERIES = 2000
-BLOCKS = 64
+#: Asked tokens that may be broadcast (about 30 MB), and salts of the join beyond.
+MOST_TOKENS, SALTS = 500_000, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -21,15 +31,22 @@ def normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
+def in_blocks(rows: DataFrame, key: str) -> list[DataFrame]:
+    """A stated set of rows in blocks that may each be broadcast."""
+    n = -(-rows.count() // BROADCAST_QUERIES) or 1
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
 def scored(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, score) of each query (qid, q) with each vector (id, v). A query set too large to broadcast meets the vectors
-    in blocks: both sides are shuffled by block pair, so no task holds more than a block of each."""
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = vectors.join(F.broadcast(queries))
-    else:
-        block = F.pmod(F.xxhash64("qid"), F.lit(BLOCKS))
-        pairs = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).cast("long")).join(queries.withColumn("_b", block), "_b").drop("_b")
-    return pairs.select("qid", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    """(qid, id, score) of each query (qid, q), a stated set, with each vector (id, v): all of them, block of queries by block."""
+    found = [vectors.join(F.broadcast(b)).select("qid", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score")) for b in in_blocks(queries, "qid")]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best vectors of each query. The limit by rank is taken within each task first, so at most k rows a query and task are
+    shuffled, whatever the vectors."""
+    return functools.reduce(DataFrame.unionByName, [best(scored(b, vectors), k) for b in in_blocks(queries, "qid")])
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:
@@ -37,21 +54,29 @@ def best(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, token, weight): counts of tokens, summed in each task first."""
+def postings(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+    """(id, token, weight): counts of tokens, summed in each task first; of the tokens of `only` (token), if given."""
     tokens = docs.select(F.col(key).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]{3,})"), 1)).alias("token"))
+    if only is not None:
+        tokens = tokens.join(small(only.select("token").distinct(), MOST_TOKENS), "token", "left_semi")
     return tokens.groupBy("id", "token").agg(F.count("*").cast("double").alias("weight"))
 
 
 def sparse(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, id, score) over common tokens of queries (qid, token, weight) and postings (id, token, weight)."""
+    """(qid, id, score) over common tokens of queries (qid, token, weight) and postings (id, token, weight). Asked tokens of a
+    checked number are broadcast, so that a frequent token is no hot key; beyond, the join is salted."""
     asked = queries.select("qid", "token", F.col("weight").alias("w"))
-    return index.join(asked, "token").groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
+    if len(asked.select(F.lit(1)).limit(MOST_TOKENS + 1).take(MOST_TOKENS + 1)) <= MOST_TOKENS:
+        joined = index.join(F.broadcast(asked), "token")
+    else:
+        salted = asked.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = index.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["token", "_salt"])
+    return joined.groupBy("qid", "id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("score"))
 
 
-def merged(dense: DataFrame, other: DataFrame, source: str = "source") -> DataFrame:
-    """Union of two result lists, the best row of each source, by score."""
-    w = Window.partitionBy(source).orderBy(F.desc("score"), "id")
+def merged(dense: DataFrame, other: DataFrame, source: list[str]) -> DataFrame:
+    """Union of two result lists, the best row of each source (and query), by score."""
+    w = Window.partitionBy(*source).orderBy(F.desc("score"), "id")
     return dense.unionByName(other).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -79,7 +104,72 @@ def contaminated(source: Column, roots: tuple[str, ...] = ("skills/", "studentda
 
 
 def coverage(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """keys(key) with found: whether any text contains it. Keys are a small stated list."""
-    few = F.broadcast(keys) if keys.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else keys
-    hit = texts.join(few, F.contains(F.col("text"), F.col("key"))).select("key").distinct().withColumn("found", F.lit(True))
+    """keys(key) with found: whether any text contains it. Keys are a stated list, and go over the texts in blocks."""
+    hits = [texts.join(F.broadcast(b), F.contains(F.col("text"), F.col("key"))).select("key").distinct() for b in in_blocks(keys, "key")]
+    hit = functools.reduce(DataFrame.union, hits).withColumn("found", F.lit(True))
     return keys.join(hit, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def depths(mode: str) -> tuple[int, int, int]:
+    """(dense chunks, sparse chunks, tokens of context) of a mode."""
+    if mode not in DEPTHS:
+        raise ValueError(f"mode is none of {', '.join(DEPTHS)}")
+    return DEPTHS[mode]
+
+
+def hashed_encoder(dimensions: int = 1024, most_tokens: int = 1024):
+    """A deterministic stand-in for an encoder model: hashed tokens, L2-normalised, and token weights. Any function of texts that
+    gives (dense, weights) pairs may take its place."""
+
+    def encode(texts: list[str]) -> list[tuple[np.ndarray, dict[str, float]]]:
+        out = []
+        for text in texts:
+            tokens = re.findall(r"\w+", text.lower())[:most_tokens]
+            dense, weights = np.zeros(dimensions), {}
+            for x in tokens:
+                code = zlib.crc32(x.encode())
+                dense[code % dimensions] += 1 if code & 1 << 31 else -1
+                weights[x] = weights.get(x, 0.0) + 1.0
+            norm = float(np.sqrt((dense**2).sum()))
+            out.append((dense / (norm or 1.0), {k: v / len(tokens) for k, v in weights.items()}))
+        return out
+
+    return encode
+
+
+def encoded(chunks: DataFrame, encoder=None, batch: int = 16) -> DataFrame:
+    """chunks (.., text) with dense and weights, by a vectorised encoder in batches. `max_length` is the encoder's own."""
+
+    @F.pandas_udf("dense array<float>, weights map<string,float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = encoder or hashed_encoder()
+        for part in parts:
+            texts = [x or "" for x in part]
+            found = [y for at in range(0, len(texts), batch) for y in model(texts[at : at + batch])]
+            yield pd.DataFrame({"dense": [d.astype("float32").tolist() for d, _ in found], "weights": [w for _, w in found]})
+
+    return chunks.withColumn("_e", run("text")).select("*", "_e.*").drop("_e")
+
+
+class Session:
+    """A search session: `mode NAME`, `k N` or a query; errors are answers and do not end it."""
+
+    def __init__(self, search, mode: str = "dense", k: int = 5, modes: tuple[str, ...] = ("dense", "sparse", "hybrid")):
+        self.search, self.mode, self.k, self.modes = search, mode, k, modes
+
+    def answer(self, line: str):
+        command, _, rest = line.strip().partition(" ")
+        if command == "mode" and rest:
+            if rest not in self.modes:
+                return f"mode is none of {', '.join(self.modes)}"
+            self.mode = rest
+            return f"mode {rest}"
+        if command == "k" and rest:
+            if not rest.isdigit() or not int(rest):
+                return "k is a whole number over 0"
+            self.k = int(rest)
+            return f"k {self.k}"
+        try:
+            return self.search(line.strip(), self.mode, self.k) if line.strip() else ""
+        except Exception as error:  # noqa: BLE001 a session outlives a failed search
+            return f"error: {error}"

@@ -5,17 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import MOST, small
+
 
 def lexical(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, rec, score): weights of the terms (rec, term, weight) that a query (qid, text) contains. terms is a small registry."""
-    hit = queries.join(F.broadcast(terms), F.contains(F.lower("text"), F.lower(F.trim("term"))))
+    """(qid, rec, score): weights of the terms (rec, term, weight) that a query (qid, text) contains. A registry of a checked size
+    goes over each lowered text in one pass; a larger one is joined."""
+    plain = terms.select("rec", F.lower(F.trim("term")).alias("term"), F.col("weight").cast("long").alias("weight"))
+    low = queries.select("qid", F.lower("text").alias("low"))
+    held = plain.limit(MOST + 1).collect()
+    if len(held) > MOST:
+        hit = low.join(plain, F.contains("low", "term"))
+    else:
+        registry = F.array(*(F.struct(F.lit(r["rec"]).alias("rec"), F.lit(r["term"]).alias("term"), F.lit(r["weight"]).alias("weight")) for r in held)) if held else F.array().cast("array<struct<rec:string,term:string,weight:bigint>>")
+        hit = low.select("qid", F.explode(F.filter(registry, lambda x: F.contains(F.col("low"), x["term"]))).alias("t")).select("qid", "t.*")
     return hit.groupBy("qid", "rec").agg(F.sum("weight").cast("long").alias("score"))
 
 
 def stage(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(qid, stage): the first rule (ordinal, stage, term, unless) that fits each query."""
     fits = F.contains(F.lower("text"), F.lower("term")) & ~(F.coalesce(F.col("unless"), F.lit("")).cast("string") != "") | (F.contains(F.lower("text"), F.lower("term")) & ~F.contains(F.lower("text"), F.lower("unless")))
-    return queries.join(F.broadcast(rules), fits).groupBy("qid").agg(F.min_by("stage", "ordinal").alias("stage"))
+    return queries.join(small(rules), fits).groupBy("qid").agg(F.min_by("stage", "ordinal").alias("stage"))
 
 
 def semantic(cosine: Column) -> Column:
@@ -37,5 +47,31 @@ def confidence(top: Column, runner_up: Column, staged: Column) -> Column:
 
 def follow_ups(primary: DataFrame, queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(qid, queued): next records by rules (rec, term, next, ordinal), in order, each once."""
-    hit = queries.join(primary.select("qid", "rec"), "qid").join(F.broadcast(rules), "rec").where(F.contains(F.lower("text"), F.lower("term")))
+    hit = queries.join(primary.select("qid", "rec"), "qid").join(small(rules), "rec").where(F.contains(F.lower("text"), F.lower("term")))
     return hit.groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "next"))), lambda x: x["next"])).alias("queued"))
+
+
+def terms(s: Column) -> Column:
+    """Parts between commas, semicolons and enumeration commas, trimmed, without backticks and blanks."""
+    parts = F.filter(F.split(s, "[,，;；、]"), lambda x: F.trim(x) != "")
+    return F.transform(parts, lambda x: F.regexp_replace(F.trim(x), "^`+|`+$", ""))
+
+
+def content_hash(records: DataFrame, key: str) -> DataFrame:
+    """One row: a hash of all records in canonical form, in key order: of each record's hash, by the order of keys."""
+    own = F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), own.alias("h"))))  # one pair a record of a registry
+    return records.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), ""), 256).alias("sha256"))
+
+
+def stale(records: DataFrame, key: str, cached: str | None) -> bool:
+    return content_hash(records, key).first()[0] != cached
+
+
+def failures(cases: DataFrame, routed: DataFrame, least: float = 0.55) -> DataFrame:
+    """Cases (qid, primary, queued, min_confidence) that routed (qid, rec, queued, confidence) does not meet."""
+    got = routed.select("qid", "rec", F.col("queued").alias("_queued"), "confidence")
+    rows = cases.join(got, "qid", "left")
+    lacking = F.array_except(F.coalesce("queued", F.array().cast("array<string>")), F.coalesce("_queued", F.array().cast("array<string>")))
+    bad = ~F.col("rec").eqNullSafe(F.col("primary")) | (F.size(lacking) > 0) | (F.coalesce("confidence", F.lit(0.0)) < F.coalesce("min_confidence", F.lit(least)))
+    return rows.where(bad).select("qid", "primary", "rec", lacking.alias("missing_queued"), "confidence")

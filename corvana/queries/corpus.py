@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import audit, chunking
+from ..operators import audit, chunking, scans, wiki
 from ..plans.registry import query
 
 LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents)"
 SEGS = f"(select *, cast(sum(case when length(line) < 30 then 1 else 0 end) over (partition by doc_id order by pos) as bigint) as seg from {LINES})"
-CHUNKS = f"(select doc_id, seg, trim(string_agg(line, chr(10) order by pos), ' ') as text from {SEGS} group by 1, 2)"
+CHUNKS = f"(select doc_id, seg, regexp_replace(string_agg(line, chr(10) order by pos), '^\s+|\s+$', '', 'g') as text from {SEGS} group by 1, 2)"
 
 
 def parted(t):
@@ -22,9 +22,25 @@ def a04(t):
     return chunking.joined(parted(t), "doc_id").select("doc_id", "seg", "index", F.sha2("text", 256).alias("sha"))
 
 
-@query("a05_path", "select page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) || ' - ' || regexp_extract(html, '<title>([^<]*)</title>', 1) as path from pages")
+FLAT = "(select doc_id, lang, regexp_replace(text, '[#\\x00-\\x20]+', ' ', 'g') as x from documents)"
+HALVES = f"(select doc_id, lang, x, 0 as k, 'Doc ' || doc_id || ' - ' || lang as title from {FLAT} union all select doc_id, lang, x, 1, 'Doc ' || doc_id || ' - ' || lang || ' - Deeper' from {FLAT})"
+
+
+def headed(t):
+    """Each document as a page with a title, a second- and a third-level heading."""
+    flat = F.regexp_replace("text", r"[#\x00-\x20]+", " ")
+    page = F.concat(F.lit("---\nid: x\n---\n# Doc "), F.col("doc_id").cast("string"), F.lit("\n\n## "), F.col("lang"), F.lit("\n"), flat, F.lit("\n### Deeper\n"), flat, F.lit("\n"))
+    return t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), page.alias("text"))
+
+
+@query("a04_textbook", f"select 'd' || doc_id as path, title, k as chunk_index, sha256(trim(x)) as sha from {HALVES} where length(trim(x)) >= 20")
+def a04_textbook(t):
+    return chunking.textbook(headed(t)).select("path", "title", "chunk_index", F.sha2("text", 256).alias("sha"))
+
+
+@query("a05_path", f"select title, count(*) as n from {HALVES} where length(trim(x)) >= 20 group by 1")
 def a05(t):
-    return t.pages.select("page_id", F.concat_ws(" - ", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("path"))
+    return chunking.textbook(headed(t)).groupBy("title").agg(F.count("*").alias("n"))
 
 
 @query("a10_strip", r"select doc_id, sha256(regexp_replace(text, '!\[[^\]]*\]\([^)]+\)', '', 'g')) as sha from documents")
@@ -37,12 +53,14 @@ def a14(t):
     return t.documents.groupBy("source").agg(F.count("*").alias("n"))
 
 
-EDGES = "(select url as src, 'https://' || unnest(regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1)) as dst from pages)"
+EDGES = "(select url as src, 'https://' || unnest(regexp_extract_all(html, '<a href=\"/([^\"#|]*)\"', 1)) as dst from pages)"
 IDS = "(select distinct 'https://' || regexp_extract(html, '<title>([^ <]*)', 1) as id from pages)"
 
 
 def edges(t):
-    return t.pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), 1)).alias("d")).select("src", F.concat(F.lit("https://"), "d").alias("dst"))
+    """Links of each page, written as wiki links with an anchor and an alias, and read again by the operator."""
+    wiki = F.regexp_replace("html", r'<a href="/([^"#|]*)"', r"[[x/$1.md#part|alias]]")
+    return t.pages.select(F.col("url").alias("src"), F.explode(tx.links(wiki)).alias("d")).select("src", F.concat(F.lit("https://"), "d").alias("dst"))
 
 
 def ids(t):
@@ -79,9 +97,9 @@ def f06(t):
     return t.documents.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 8000")
 
 
-@query("f09_completeness", "select user_id as id, array_to_string(list_sort(list_filter(['click', 'purchase', 'signup', 'view'], lambda x: not list_contains(l, x))), ',') as missing from (select user_id, list(distinct event_type) as l from events group by 1) where missing <> ''")
+@query("f09_completeness", "select user_id as id, array_to_string(list_sort(list_filter(['click', 'purchase', 'signup', 'view'], lambda x: not list_contains(l, x))), ',') as missing from (select user_id, list(distinct event_type) as l from events where event_id % 3 > 0 group by 1) where missing <> ''")
 def f09(t):
-    rows = audit.incomplete(t.events, "user_id", "event_type", ["click", "purchase", "signup", "view"])
+    rows = audit.incomplete(t.events.where("event_id % 3 > 0"), "user_id", "event_type", ["click", "purchase", "signup", "view"])
     return rows.select(F.col("user_id").alias("id"), F.array_join("missing", ",").alias("missing"))
 
 
@@ -91,9 +109,9 @@ def f13(t):
     return t.documents.select("doc_id", n.cast("long").alias("dollars")).where("dollars % 2 = 1")
 
 
-@query("f15_gaps", "select b + 1 as low, n - 1 as high from (select n, lag(n) over (order by n) as b from (select distinct o_orderkey as n from orders where o_orderstatus = 'O')) where n - b > 1")
+@query("f15_gaps", "select b + 1 as low, n - 1 as high from (select n, lag(n) over (order by n) as b from (select distinct o_orderkey as n from orders)) where n - b > 1")
 def f15(t):
-    return audit.gaps(t.orders.where("o_orderstatus = 'O'"), "o_orderkey")
+    return audit.gaps(t.orders, "o_orderkey")
 
 
 @query("f15_duplicates", "select user_id, count(*) as n from events group by 1 having count(*) > 1")
@@ -101,10 +119,11 @@ def f15_duplicates(t):
     return audit.duplicates(t.events, "user_id")
 
 
-@query("f17_level_jump", f"select doc_id, pos, level, before from (select *, lag(level) over (partition by doc_id order by pos) as before from (select doc_id, cast(pos as integer) as pos, cast(length(line) % 4 as integer) as level from {LINES})) where level - before > 1")
+@query("f17_level_jump", f"select doc_id, pos, level, before from (select *, lag(level) over (partition by doc_id order by pos) as before from (select doc_id, cast(pos as integer) as pos, cast(length(line) % 4 + 1 as integer) as level from {LINES})) where level - before > 1")
 def f17(t):
-    rows = chunking.lines(t.documents, "doc_id", F.col("text")).select("doc_id", "pos", (F.length("line") % 4).alias("level"))
-    return audit.level_jumps(rows, "doc_id", "pos", "level")
+    """Each line as a heading of a level that its length gives."""
+    rows = chunking.lines(t.documents, "doc_id", F.col("text")).select(F.col("doc_id").alias("path"), "pos", F.concat(F.repeat(F.lit("#"), F.length("line") % 4 + 1), F.lit(" title")).alias("line"))
+    return wiki.gaps_in_headings(rows).withColumnRenamed("path", "doc_id")
 
 
 @query("f18_repeat")
@@ -113,9 +132,10 @@ def f18(t):
     return t.documents.where(audit.repeated_noise(F.col("text"))).select("doc_id")
 
 
-@query("f26_bucket", "select user_id, cast(floor(epoch(ts) / 120) as bigint) as bucket, count(*) as n, round(sum(value), 3) as total from events group by 1, 2")
+@query("f26_bucket", """select user_id, bucket, text from (select *, row_number() over (partition by user_id order by bucket) as n from
+(select user_id, cast(floor(s / 86400) as bigint) as bucket, substr(string_agg(event_type, ' ' order by s, event_type), 1, 1600) as text from (select user_id, event_type, cast(floor(epoch(ts)) as bigint) as s from events) group by 1, 2)) where n <= 80""")
 def f26(t):
-    return t.events.groupBy("user_id", F.floor(F.unix_timestamp("ts") / 120).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    return audit.buckets(t.events.select("user_id", "event_type", F.unix_timestamp("ts").alias("s")), "user_id", "s", "event_type", 86400)
 
 
 @query("f28_rollup", "select count(*) as total, count(*) filter (value > 50) as ok, count(*) filter (not value > 50) as failed from events")
@@ -131,7 +151,8 @@ def f30(t):
     return audit.manifest_diff(d.where("doc_id % 5 > 0"), actual, "doc_id")
 
 
-@query("q10_classify", "select source, round(avg(case when n_chars < 300 then 1.0 else 0 end), 6) as short_ratio, case when avg(case when n_chars < 300 then 1.0 else 0 end) > 0.5 then 'image' when avg(case when n_chars < 300 then 1.0 else 0 end) > 0.1 then 'mixed' else 'text' end as kind from documents group by 1")
+@query("q10_classify", """select doc, pages, chars, round(scan_share, 6) as scan_share, case when scan_share >= 0.8 then 'image' when text_share >= 0.8 then 'text' else 'mixed' end as kind from
+(select source as doc, count(*) as pages, cast(sum(n_chars) as bigint) as chars, avg(case when n_chars < 20 and doc_id % 10 > 5 then 1.0 else 0 end) as scan_share, avg(case when n_chars >= 200 then 1.0 else 0 end) as text_share from documents group by 1)""")
 def q10(t):
-    r = F.avg(F.when(F.col("n_chars") < 300, 1.0).otherwise(0.0))
-    return t.documents.groupBy("source").agg(F.round(r, 6).alias("short_ratio"), F.when(r > 0.5, "image").when(r > 0.1, "mixed").otherwise("text").alias("kind"))
+    metrics = t.documents.select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.col("n_chars").alias("chars"), F.lit(0).alias("images"), (F.col("doc_id") % 10 / 10.0).alias("image_area"))
+    return scans.page_kind(metrics).select("doc", "pages", "chars", F.round("scan_share", 6).alias("scan_share"), "kind")

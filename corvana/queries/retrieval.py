@@ -21,40 +21,42 @@ def asked(t, condition):
     return t.embeddings.where(condition).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
 
 
-@query("b03_dense_topk", f"select * from ({RANKED} ({TOP} = 0)) where rank <= 5")
+@query("b03_dense_topk", f"select * from ({RANKED} ({TOP} % 50 = 0)) where rank <= 5")
 def b03(t):
-    return r.best(r.scored(asked(t, "vec_id = 0"), vectors(t)), 5)
+    return r.nearest(asked(t, "vec_id % 50 = 0"), vectors(t), 5)
 
 
-@query("b06_hybrid_compat", f"select * from ({RANKED} ({TOP} = 1)) where rank <= 5")
+@query("b06_hybrid_compat", f"select * from ({RANKED} ({TOP} % 50 = 1)) where rank <= 5")
 def b06(t):
-    return r.best(r.scored(asked(t, "vec_id = 1"), vectors(t)), 5)
+    return r.nearest(asked(t, "vec_id % 50 = 1"), vectors(t), 5)
 
 
-@query("b10_multi_query_topk", f"select * from ({RANKED} ({TOP} < 6)) where rank <= 3")
+@query("b10_multi_query_topk", f"select * from ({RANKED} ({TOP} % 50 = 0)) where rank <= 3")
 def b10(t):
-    return r.best(r.scored(asked(t, "vec_id < 6"), vectors(t)), 3)
+    return r.nearest(asked(t, "vec_id % 50 = 0"), vectors(t), 3)
 
 
-@query("b11_pairwise", f"{TOP} in (0, 1)")
+@query("b11_pairwise", f"{TOP} % 50 = 0")
 def b11(t):
-    return r.scored(asked(t, "vec_id in (0, 1)"), vectors(t))
+    return r.scored(asked(t, "vec_id % 50 = 0"), vectors(t))
 
 
-@query("b12_normalize", "select vec_id, round(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)) / greatest(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x)), 1e-300), 6) as norm2 from embeddings")
+@query("b12_normalize", """select vec_id, i, round(x / case when n = 0 then 1 else n end, 6) as x from (select vec_id, unnest(e) as x, unnest(range(1, len(e) + 1)) as i, sqrt(list_sum(list_transform(e, lambda y: y * y))) as n
+from (select vec_id, list_transform(cast(embedding as double[]), lambda y: y * (vec_id % 3)) as e from embeddings))""")
 def b12(t):
-    n = r.normalized(F.col("embedding"))
-    return t.embeddings.select("vec_id", F.round(r.dot(n, n), 6).alias("norm2"))
+    e = t.embeddings.select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (F.col("vec_id") % 3)).alias("e"))
+    rows = e.select("vec_id", F.posexplode(r.normalized(F.col("e"))).alias("i", "x"))
+    return rows.select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 POSTINGS = "(select doc_id as id, token, cast(count(*) as double) as weight from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as token from documents) group by 1, 2)"
-ASKED = "(select item_id as qid, token, cast(count(*) as double) as w from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as token from benchmark where item_id < 5) group by 1, 2)"
+ASKED = "(select item_id as qid, token, cast(count(*) as double) as w from (select item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) as token from benchmark) group by 1, 2)"
 SPARSE = f"(select qid, id, round(sum(w * weight), 6) as score from {POSTINGS} join {ASKED} using (token) group by qid, id)"
 
 
 def sparse(t):
-    queries = r.postings(t.benchmark.where("item_id < 5"), "item_id", "text").withColumnRenamed("id", "qid")
-    return r.sparse(queries, r.postings(t.documents, "doc_id", "text"))
+    queries = r.postings(t.benchmark, "item_id", "text").withColumnRenamed("id", "qid")
+    return r.sparse(queries, r.postings(t.documents, "doc_id", "text", only=queries))
 
 
 @query("b04_sparse_topk", f"select * from ({RANKED} {SPARSE}) where rank <= 5")
@@ -62,12 +64,12 @@ def b04(t):
     return r.best(sparse(t), 5)
 
 
-@query("b07_union_dedup", f"""with d as (select id, score from ({RANKED} ({TOP} = 0)) where rank <= 5), s as (select id, score from ({RANKED} {SPARSE}) where qid = 0 and rank <= 5),
+@query("b07_union_dedup", f"""with d as (select qid, id, score from ({RANKED} ({TOP} % 50 = 0)) where rank <= 5), s as (select qid, id, score from ({RANKED} {SPARSE}) where rank <= 5),
 u as (select *, 'src' || cast(id % 20 as varchar) as source from (select * from d union all select * from s))
-select id, score, source from (select *, row_number() over (partition by source order by score desc, id) as n from u) where n = 1""")
+select qid, id, score, source from (select *, row_number() over (partition by qid, source order by score desc, id) as n from u) where n = 1""")
 def b07(t):
-    with_source = lambda x: x.select("id", "score", F.concat(F.lit("src"), (F.col("id") % 20).cast("string")).alias("source"))
-    return r.merged(with_source(b03(t)), with_source(r.best(sparse(t).where("qid = 0"), 5)))
+    with_source = lambda x: x.select("qid", "id", "score", F.concat(F.lit("src"), (F.col("id") % 20).cast("string")).alias("source"))
+    return r.merged(with_source(b03(t)), with_source(r.best(sparse(t), 5)), ["qid", "source"])
 
 
 @query("b09_budget", f"""select qid, id, rank, tokens, used from (select *, cast(sum(tokens) over (partition by qid order by rank) as bigint) as used from
@@ -77,9 +79,9 @@ def b09(t):
     return r.within_budget(top, 1000).select("qid", "id", "rank", "tokens", "used")
 
 
-@query("b14_contamination", "select doc_id, source from documents where source in ('src3', 'src7') or contains(source, 'skills/')")
+@query("b14_contamination", "select doc_id, source from documents where contains(lower(source), 'src3') or contains(lower(source), 'src7') or contains(lower(source), 'skills/')")
 def b14(t):
-    return t.documents.where(r.contaminated(F.col("source"), ("src3", "src7", "skills/")) & F.col("source").isin("src3", "src7")).select("doc_id", "source")
+    return t.documents.where(r.contaminated(F.col("source"), ("src3", "src7", "skills/"))).select("doc_id", "source")
 
 
 @query("b15_parity", "select (select count(*) from documents) as total_chunks, (select count(*) from embeddings) as total_vectors, (select max(len(embedding)) from embeddings) as dim")
@@ -87,9 +89,9 @@ def b15(t):
     return t.documents.agg(F.count("*").alias("total_chunks")).join(t.embeddings.agg(F.count("*").alias("total_vectors"), F.max(F.size("embedding")).cast("long").alias("dim")))
 
 
-@query("b16_coverage", "select substr(text, 1, 40) as key, exists (select 1 from documents d where contains(d.text, substr(b.text, 1, 40))) as found from (select distinct text from benchmark) b")
+@query("b16_coverage", "select text as key, exists (select 1 from documents d where contains(d.text, b.text)) as found from (select distinct text from benchmark) b")
 def b16(t):
-    return r.coverage(t.benchmark.select("text").distinct().select(F.substring("text", 1, 40).alias("key")), t.documents.select("text"))
+    return r.coverage(t.benchmark.select(F.col("text").alias("key")).distinct(), t.documents.select("text"))
 
 
 TERMS = [("en", "the", 28), ("en", " and ", 14), ("de", "der", 28), ("de", " und ", 14), ("fr", "les", 28), ("es", "ción", 28), ("junk", "%%%", 40), ("junk", "!!", 14), ("en", "%%%", -35)]
@@ -120,6 +122,6 @@ def h08(t):
     return routing.ranked(lexical(t), "none").select("qid", F.round(routing.confidence(F.col("score"), F.col("runner_up"), F.lit(False)), 1).alias("confidence"))
 
 
-@query("h05_semantic", f"select qid, id, cast(floor(greatest(0, score) * 15) as bigint) as bonus from ({TOP} = 2)")
+@query("h05_semantic", f"select qid, id, cast(floor(greatest(0, score) * 15) as bigint) as bonus from ({TOP} % 50 = 0)")
 def h05(t):
-    return r.scored(asked(t, "vec_id = 2"), vectors(t)).select("qid", "id", routing.semantic(F.col("score")).alias("bonus"))
+    return r.scored(asked(t, "vec_id % 50 = 0"), vectors(t)).select("qid", "id", routing.semantic(F.col("score")).alias("bonus"))
