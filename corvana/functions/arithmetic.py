@@ -6,6 +6,7 @@ import math
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LONGEST, MOST_POWER, MOST_BASE, MOST_RESULT = 200, 8, 1_000_000, 1e100
@@ -85,7 +86,11 @@ def safe(text: str) -> float | None:
         return None
 
 
-@F.pandas_udf("double")
-def evaluated(expressions: pd.Series) -> pd.Series:
+def evaluated(expressions: Column) -> Column:
     """Null where the text is no expression."""
-    return expressions.map(safe).astype(float)
+
+    @F.pandas_udf("double")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(safe).astype(float)
+
+    return run(expressions)

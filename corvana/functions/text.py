@@ -62,7 +62,7 @@ def number(s: Column) -> Column:
 
 
 def whole(s: Column) -> Column:
-    return F.when(F.abs(number(s)) < 2**63, number(s).try_cast("long"))
+    return F.when(F.abs(number(s)) < float(2**63), number(s).try_cast("long"))
 
 
 def answer(s: Column) -> Column:

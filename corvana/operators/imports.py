@@ -49,8 +49,9 @@ def identified(roster: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def json_issue(s: Column) -> Column:
-    """Whether a text that is not blank fails to be JSON."""
-    return (F.coalesce(F.trim(s), F.lit("")) != "") & F.try_parse_json(s).isNull()
+    """Whether a text that is not blank fails to be one JSON value, with nothing after it."""
+    alone = F.concat(F.lit("["), s, F.lit("]"))
+    return (F.coalesce(F.trim(s), F.lit("")) != "") & (F.try_parse_json(alone).isNull() | (F.coalesce(F.json_array_length(alone), F.lit(0)) != 1))
 
 
 def header(cells: DataFrame) -> DataFrame:

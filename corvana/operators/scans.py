@@ -31,7 +31,7 @@ def filled_lines(s: Column) -> Column:
 
 
 def candidate_score(s: Column, engine: Column, status: Column, confidence: Column, quality: Column, region: Column, flags: Column) -> Column:
-    share = lambda c: F.coalesce((F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 30).cast("int"), F.lit(0))
+    share = lambda c: F.when(c.isNull(), 0).otherwise((F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)) * 30).cast("int"))
     return (
         filled_lines(s) * 2 + F.least(F.floor(F.length(s) / 20), F.lit(200))
         + F.coalesce(literal_map(ENGINES)[engine], F.lit(0)) + F.coalesce(literal_map(STATES)[status], F.lit(0)) + share(confidence) + share(quality)

@@ -113,7 +113,7 @@ def safe_fixes(s: Column) -> Column:
     """The text with format-only repairs: line ends, empty and too deep headings, bold in headings, captions, blank runs."""
 
     def fixed(line: Column) -> Column:
-        flat = F.rtrim(line)
+        flat = F.regexp_replace(line, r"\s+$", "")
         level, title = F.length(F.regexp_extract(flat, HEADING, 1)), F.trim(F.replace(F.regexp_extract(flat, HEADING, 2), F.lit("**"), F.lit("")))
         heading = F.concat(F.repeat(F.lit("#"), F.least(level, F.lit(4))), F.lit(" "), title)
         return F.when(level > 0, F.when(heading.rlike(CAPTION), F.concat(F.lit("**"), title, F.lit("**"))).otherwise(heading)).otherwise(flat)
