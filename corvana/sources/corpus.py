@@ -47,7 +47,9 @@ def csv(spark: SparkSession, path: str, required: list[str] = ()) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, fields: list[str]) -> None:
-    rows.select(*fields).write.csv(path, header=True)
+    """Some fields in a fixed order, with a byte-order mark before the first name of each file."""
+    shown = rows.select(*(F.col(c).alias(f"\ufeff{c}" if k == 0 else c) for k, c in enumerate(fields)))
+    shown.write.csv(path, header=True)
 
 
 def last_records(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:

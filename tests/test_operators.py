@@ -60,7 +60,7 @@ def test_wide_sheet_unpivots(spark):
 def test_identity_gate_and_view_limits(spark):
     with pytest.raises(ValueError):
         ingest.gate_identity(spark.createDataFrame([("a",)], "real_name string"))
-    views = {"v": spark.range(600).withColumn("name", F.lit("x"))}
+    views = {"v": spark.range(600).withColumn("teacher_note", F.lit("x"))}
     rows = analytics.safe_query(views, "v", ["id"], 10_000)
     assert rows.columns == ["id"] and rows.count() == 500
     with pytest.raises(ValueError):
