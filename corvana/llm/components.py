@@ -8,21 +8,22 @@ from pyspark.sql import functions as F
 from .common import drop, lookup, saved
 
 
-def moves(edges: DataFrame, turn: int, total: int) -> DataFrame:
+def moves(edges: DataFrame, turn: int, total: int, seed: int = 0) -> DataFrame:
     """(v, m, n): where each vertex of edges goes, and its degree.
 
-    A vertex takes the first of itself and its neighbours, then what that one took. First is the smallest id in turn 0 (one
-    turn does for stars of the smallest), later by a hash of the turn: then few vertices, by chance, come first among
-    their neighbours, so that chains and any other shape shrink by a constant factor a turn."""
-    rank = lambda x: F.lit(0).cast("long") if not turn else F.xxhash64(x, F.lit(turn))
+    A vertex takes the first of itself and its neighbours, then what that one took. First is the smallest id in turn 0 without
+    a seed (one turn does for stars of the smallest), else by a hash of seed and turn: few vertices, by chance, come first
+    among their neighbours, so that chains and any other shape shrink by a constant factor a turn."""
+    rank = lambda x: F.xxhash64(x, F.lit(seed + turn)) if seed or turn else F.lit(0).cast("long")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.min(F.struct(rank(F.col("b")).alias("r"), F.col("b").alias("m"))).alias("near"), F.count("*").alias("n"))
     taken = near.select(F.col("a").alias("v"), F.least(F.struct(rank(F.col("a")).alias("r"), F.col("a").alias("m")), "near").getField("m").alias("m"), "n")
     return lookup(taken, "m", taken.select(F.col("v").alias("m"), F.col("m").alias("to"), "n"), 2 * total).select("v", F.col("to").alias("m"), "n")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every end of edges (a, b): root is the smallest vertex of v's component.
+def components(edges: DataFrame, seed: int = 0) -> DataFrame:
+    """(v, root) for every end of edges (a, b): root is the smallest vertex of v's component. Stars whose centres come first by
+    the hash of seed take one turn.
 
     Each turn redraws the edges between what their ends took, until none is left; the number of turns grows with the
     logarithm of the vertices. Then the turns' moves are followed from the last to the first. Vertices with a large share of
@@ -30,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = saved(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     turns: list[tuple[DataFrame, int]] = []
     while total := edges.count():
-        taken = saved(moves(edges, len(turns), total), "taken")
+        taken = saved(moves(edges, len(turns), total, seed), "taken")
         turns.append((taken, total))
         ends = edges
         for end in ("a", "b"):

@@ -47,6 +47,8 @@ NODE, TASK, TASK_BYTES, PIVOTS = 128, 750, 64_000_000, 24
 LOOSE = 0.25
 #: Pivots of a larger node, on average, and the share of positions by which one settles a document.
 FEW, SETTLED = 8, 0.75
+#: Pivots are first by this seed's hash, and components of their links begin by it.
+PLACE = 17
 U = np.uint64
 SEEDS = mixed(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -141,8 +143,9 @@ def settled(large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """Rows (node, rep, sig, n) of larger nodes against the pivots of each: links (a, b), and (rep, sig, node) left to branch."""
     done = int(SIGNATURE * SETTLED)
     near = done + least - SIGNATURE
-    place = F.xxhash64("rep", F.lit(17)).cast("double") / 2.0**64 + 0.5  # even on 0 to 1, the same in every node
-    pivots = large.where(place * F.col("n") < FEW).groupBy("node").agg(F.collect_list("rep").alias("p"), F.collect_list("sig").alias("p_sigs"))  # FEW on average
+    place = F.xxhash64("rep", F.lit(PLACE)).cast("double") / 2.0**64 + 0.5  # even on 0 to 1, the same in every node
+    pivots = large.where(place * F.col("n") < FEW).groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("rep", F.lit(PLACE)).alias("h"), "rep", "sig"))).alias("p"))  # FEW on average
+    pivots = pivots.select("node", F.col("p.rep").alias("p"), F.col("p.sig").alias("p_sigs"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +153,7 @@ def settled(large: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
             for k, (rep, sig, ids, sigs) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
                 agree = (np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, SIGNATURE) == np.frombuffer(sig, np.uint32)).sum(1) if ids else np.zeros(0, np.int64)
                 linked = [ids[x] for x in np.flatnonzero(agree >= near) if ids[x] != rep]
-                # One link for the document; its other pivots are linked to the first where the batch has not done so.
+                # One link for the document, to the pivot that is first in every node; its others are linked to that one once a batch.
                 for x in linked:
                     one, other = root(up, linked[0]), root(up, x)
                     if x == linked[0] or one != other:
@@ -254,9 +257,10 @@ def confirmed(found: list[np.ndarray], asked: range | None, percent: int) -> np.
             continue
         mark = np.zeros(len(everything), bool)
         mark[members[starts[i] : starts[i] + sizes[i]]] = True
-        if len(rest) > n // 2 and len(pivots) < 12:
+        if len(members) < 2000 * len(rest):  # one pass over all sets costs less than one step for each
             common = np.add.reduceat(mark[members], starts)
-            pivots.append(1 - common / (sizes + sizes[i] - common))
+            if len(rest) > n // 2 and len(pivots) < 12:
+                pivots.append(1 - common / (sizes + sizes[i] - common))
             common = common[rest]
         else:
             common = np.array([np.count_nonzero(mark[members[starts[j] : starts[j] + sizes[j]]]) for j in rest])
@@ -307,7 +311,7 @@ def classed(docs: DataFrame, size: int, threshold: float) -> tuple[DataFrame, Da
     owned = every.where("n_shingles > 0 and doc_id is not null")
     reps = owned.groupBy("print").agg(F.min(F.struct("doc_id", "body")).alias("first"), F.first("sig").alias("sig"), F.count("*").alias("n"))
     reps = saved(reps.select("print", "first.*", "sig", "n", F.monotonically_increasing_id().alias("rep")), "reps")
-    loose = components(loose_edges(reps.select("rep", "sig"), threshold)).withColumnRenamed("v", "rep").withColumnRenamed("root", "loose")
+    loose = components(loose_edges(reps.select("rep", "sig"), threshold), PLACE).withColumnRenamed("v", "rep").withColumnRenamed("root", "loose")
     wanted = reps.select("rep", "doc_id", "body").join(loose, "rep")
     held = saved(docs.join(wanted, ["doc_id", "body"]).select("rep", "loose", "text").dropDuplicates(["rep"]), "texts")  # equal rows: one text
     sizes = held.groupBy("loose").agg(F.greatest(F.ceil(F.count("*") / TASK), F.ceil(F.sum(F.octet_length("text")) / TASK_BYTES)).cast("int").alias("parts"), F.count("*").alias("n"))
