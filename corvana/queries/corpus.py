@@ -10,7 +10,7 @@ from ..plans.registry import query
 
 LINES = "(select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents)"
 SEGS = f"(select *, cast(sum(case when length(line) < 30 then 1 else 0 end) over (partition by doc_id order by pos) as bigint) as seg from {LINES})"
-CHUNKS = f"(select doc_id, seg, regexp_replace(string_agg(line, chr(10) order by pos), '^\s+|\s+$', '', 'g') as text from {SEGS} group by 1, 2)"
+CHUNKS = f"(select doc_id, seg, regexp_replace(string_agg(line, chr(10) order by pos), '^\\s+|\\s+$', '', 'g') as text from {SEGS} group by 1, 2)"
 
 
 def parted(t):
