@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordCodes, saved, table, text_bytes, windows
 
@@ -29,6 +30,7 @@ MOST_SYMBOLS, MOST_DUP_LINES = 40, 5
 #: Rejected hosts up to this number are broadcast (under 2 MB).
 BROADCAST_HOSTS, SALTS = 20_000, 64
 SYMBOLS = b"#*$%&|<>"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 NOT_COUNTED = bytes(range(9, 14)) + b" " + bytes(range(0x80, 0xC0))  # white space, and all but the first byte of a character
 
 
@@ -45,24 +47,26 @@ def repeated_words(codes: np.ndarray, size: int = WINDOW) -> int:
     return int((np.cumsum(edges) > 0).sum())
 
 
+def measures(texts: pa.Array, codes: WordCodes) -> list[pa.Array]:
+    """The five MEASURES of each whole text."""
+    out = []
+    for text in text_bytes(texts):
+        words = text.split()
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        out.append((len(words), len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(codes.of(words))))
+        codes.settle()
+    return [pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * len(MEASURES))]
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each whole text."""
+    """(doc_id, source) and the MEASURES of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
-            out = []
-            for text in text_bytes(batch.column(2)):
-                words = text.split()
-                lines = [x for x in text.split(b"\n") if x.strip()]
-                out.append((len(words), len(text.translate(None, NOT_COUNTED)), len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(codes.of(words))))
-                codes.settle()
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in columns)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *measures(batch.column(2), codes)], names=["doc_id", "source", *MEASURES])
 
-    schema = "doc_id long, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    names = [x.split()[0] for x in schema.split(", ")]
-    return docs.select("doc_id", "source", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def failures(measured: DataFrame) -> DataFrame:
@@ -124,29 +128,22 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep, as they came. The verdict is remade from each row's own measures."""
-    measured = measure(docs)
-    verdicts = host_verdicts(failures(measured))
-    columns = docs.columns
-    own = F.struct(*[F.col(f"`{c}`") for c in columns])
-    keyed = docs.select(own.alias("_row"), "doc_id", "source", "text")
+    """Pipeline stage: the documents that the rules keep, as they came. One pass measures each text and writes the measures of all
+    rows, with the rows themselves where the base rules keep them; hosts are then judged on the measures alone."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "source", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
-            ok = []
-            for text in text_bytes(batch.column(3)):
-                words = text.split()
-                ok.append(len(words) >= LEAST_WORDS and 100 * repeated_words(codes.of(words)) <= MOST_REPEATED * len(words))
-                codes.settle()
-            mask = pa.array(ok, pa.bool_())
-            yield batch.select([0, 2]).filter(mask)
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([keyed.schema["_row"], keyed.schema["source"]])
-    good = keyed.mapInArrow(run, schema)
-    return with_verdict(good.withColumn("doc_id", F.col("_row.doc_id")), verdicts).where(~F.col("host_rejected")).select("_row.*")
+            found = measures(batch.column(2), codes)
+            ok = [n >= LEAST_WORDS and 100 * r <= MOST_REPEATED * n for n, r in zip(found[0].to_pylist(), found[4].to_pylist(), strict=True)]
+            rows = batch.column(0).take(pa.array([k if x else None for k, x in enumerate(ok)], pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, batch.column(1), *found], names=["_row", "source", *MEASURES])
+
+    schema = T.StructType([T.StructField("_row", keyed.schema["_row"].dataType), keyed.schema["source"], *(T.StructField(m, T.LongType()) for m in MEASURES)])
+    measured = saved(keyed.mapInArrow(run, schema), "measured")
+    good = measured.where(F.col("_row").isNotNull()).select("_row", "source", F.col("_row.doc_id").alias("doc_id"))
+    return with_verdict(good, host_verdicts(failures(measured))).where(~F.col("host_rejected")).select("_row.*")
 
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"

@@ -109,6 +109,11 @@ def test_rules(docs, rows, none):
     empty = [r for r in got if r["n_words"] == 0]
     assert len(empty) == 3 and all(r["base_failed"] and not r["kept"] for r in empty)
     assert rules.judge(none).count() == 0
+    assert rules.keep_good(None, none, "").collect() == []
+    kept = rules.keep_good(None, docs, "")
+    assert kept.columns == docs.columns
+    by_id = collections.Counter(r["doc_id"] for r in got if r["kept"])
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == by_id
 
 
 def test_topk(spark):
