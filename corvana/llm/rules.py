@@ -25,8 +25,9 @@ from .common import WordCodes, saved, table, text_bytes, windows
 LEAST_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
 #: Rule: the shrunk failure rate from which a host is rejected.
 HOST_LIMITS = {"few_words": 0.5, "repeats": 0.5, "symbols": 0.7, "dup_lines": 0.7}
-#: A document fails `symbols` over so many symbols per 100 word characters, and `dup_lines` over so many repeated lines.
-MOST_SYMBOLS, MOST_DUP_LINES = 40, 5
+#: A document fails `symbols` over so many symbols per 100 word characters, and `dup_lines` over so many repeated lines. At
+#: sf0.1 clean text has 3.6 symbols at most and junk 5 to 40.
+MOST_SYMBOLS, MOST_DUP_LINES = 10, 5
 #: Rejected hosts up to this number are broadcast (under 2 MB).
 BROADCAST_HOSTS, SALTS = 20_000, 64
 SYMBOLS = b"#*$%&|<>"

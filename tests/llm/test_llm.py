@@ -116,6 +116,19 @@ def test_rules(docs, rows, none):
     assert collections.Counter(r["doc_id"] for r in kept.collect()) == by_id
 
 
+@pytest.mark.parametrize("share", [15, 30])
+def test_host_of_symbol_junk(spark, share):
+    """A host whose documents all hold 15 or 30 symbols per 100 word characters goes; hosts of prose stay, one junk text or not."""
+    plain = [" ".join(f"{k:03}{i:03}".rjust(20, "w") for i in range(30)) for k in range(100)]
+    junk = [" ".join(w[share // 5 :] + "#%$|<&*#"[: share // 5] for w in t.split()) for t in plain]
+    texts = [(k, t, f"src{k % 4}") for k, t in enumerate(plain)] + [(100 + k, t, "junk") for k, t in enumerate(junk)] + [(200, junk[0], "src1")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    got = rules.judge(frame).collect()
+    assert {100 * r["n_symbols"] / r["word_chars"] for r in got if r["doc_id"] >= 100} == {share} and not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == set(range(100, 200))
+    assert {r["doc_id"] for r in rules.keep_good(None, frame, "").collect()} == {*range(100), 200}
+
+
 def test_topk(spark):
     v = [(k, [float(x) for x in np.random.default_rng(k // 2).normal(size=20)]) for k in range(300)]
     v += [(301, None), (302, [1.0, None] * 10), (303, [float("nan")] * 20), (304, [float("inf")] * 20), (305, [0.5, 0.5]), (None, [1.0] * 20)]
