@@ -29,9 +29,13 @@ def strip_images(s: Column) -> Column:
     return F.regexp_replace(s, IMAGE, "")
 
 
+def stripped(s: Column) -> Column:
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def section(s: Column, heading: str) -> Column:
-    """The body of a second-level section, up to the next one."""
-    return F.trim(F.regexp_extract(s, rf"(?ms)^##[ \t]+{heading}[ \t]*\r?\n(.*?)(?=^##[ \t]|\z)", 1))
+    """The body of a second-level section, up to the next one; lines may end in CRLF."""
+    return stripped(F.regexp_extract(s, rf"(?dms)^##\s+\Q{heading}\E\s*\r?\n(.*?)(?=^##\s+|\z)", 1))
 
 
 def replace_section(s: Column, heading: str, body: Column) -> Column:
@@ -40,14 +44,16 @@ def replace_section(s: Column, heading: str, body: Column) -> Column:
 
 
 def options(s: Column) -> Column:
-    return F.transform(F.regexp_extract_all(s, F.lit(r"(?m)^\s*([A-H])[.、．]\s*(.+?)\s*$"), 0), F.trim)
+    """(label, text) of each line that offers an option from A to H."""
+    line = r"(?m)^\s*([A-H])\s*[.．、:：)]\s*(.+?)\s*$"
+    labels, texts = (F.regexp_extract_all(s, F.lit(line), k) for k in (1, 2))
+    return F.transform(F.arrays_zip(labels.alias("label"), texts.alias("text")), lambda x: F.struct(x["label"].alias("label"), stripped(x["text"]).alias("text")))
 
 
 def formulas(s: Column) -> Column:
-    one = F.regexp_extract_all(s, F.lit(r"\$\$([\s\S]+?)\$\$"), 1)
-    two = F.regexp_extract_all(F.regexp_replace(s, r"\$\$[\s\S]+?\$\$", " "), F.lit(r"\$([^$\n]+)\$"), 1)
-    three = F.regexp_extract_all(s, F.lit(r"\\\(([\s\S]+?)\\\)"), 1)
-    return F.array_distinct(F.filter(F.transform(F.concat(one, two, three), F.trim), lambda x: x != ""))
+    """Formulas between dollars, then those in brackets, then those in parentheses, each once."""
+    found = F.concat(*(F.regexp_extract_all(s, F.lit(p), 1) for p in (r"\$([^$\n]+)\$", r"\\\[([^\]]+)\\\]", r"\\\(([^\)]+)\\\)")))
+    return F.array_distinct(F.filter(F.transform(found, stripped), lambda x: x != ""))
 
 
 def links(s: Column) -> Column:
@@ -66,7 +72,7 @@ def whole(s: Column) -> Column:
 
 
 def answer(s: Column) -> Column:
-    parts = F.filter(F.transform(F.split(F.replace(F.upper(s), F.lit("，"), F.lit(",")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.replace(F.upper(s), F.lit("，"), F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.array_join(F.array_sort(parts), ",")
 
 
@@ -81,17 +87,25 @@ def rate(total: Column, most: Column) -> Column:
 
 def gender(s: Column) -> Column:
     t = F.upper(F.trim(s))
-    return F.when(t.isin("M", "MALE", "男"), "M").when(t.isin("F", "FEMALE", "女"), "F").otherwise("U")
+    return F.when(t.isin("M", "MALE", "男", "男生"), "M").when(t.isin("F", "FEMALE", "女", "女生"), "F").otherwise("U")
 
 
 def seat(s: Column) -> Column:
-    t = F.regexp_replace(F.trim(s), r"\.0$", "")
+    t = F.regexp_replace(F.trim(s), r"^(\d+)\.0$", "$1")
     return F.when(t.rlike(r"^\d+$"), F.regexp_replace(t, r"^0+(?=\d)", "")).otherwise(t)
 
 
+def item_label(s: Column) -> Column:
+    """(item_no, answer) of a column label that may name its answer."""
+    answer = F.trim(F.replace(F.regexp_extract(s, "（答案(.+?)）", 1), F.lit("，"), F.lit(",")))
+    return F.struct(F.trim(F.regexp_replace(s, "（答案.+?）", "")).alias("item_no"), answer.alias("answer"))
+
+
 def item_key(s: Column) -> Column:
-    t = F.regexp_replace(F.regexp_replace(F.trim(s), r"[^0-9A-Za-z]+", "_"), "^_+|_+$", "")
-    return F.when(t.rlike(r"^\d$"), F.lpad(t, 2, "0")).otherwise(t)
+    """Q and the item's number in letters, digits and underscores; a part in parentheses is a part of its own."""
+    t = F.regexp_replace(F.translate(F.trim(s), "（）", "()"), r"\(([^)]+)\)", "_$1")
+    t = F.regexp_replace(F.regexp_replace(F.translate(t, ".-", "__"), r"[^0-9A-Za-z_]+", "_"), "^_+|_+$", "")
+    return F.concat(F.lit("Q"), F.when(t.rlike(r"^\d$"), F.lpad(t, 2, "0")).otherwise(t))
 
 
 def redact(s: Column, patterns: dict[str, str]) -> tuple[Column, Column]:
@@ -103,11 +117,13 @@ def redact(s: Column, patterns: dict[str, str]) -> tuple[Column, Column]:
     return out, F.array_compact(F.array(*names))
 
 
-def title(s: Column, longest: int = 120) -> Column:
-    t = F.regexp_replace(F.regexp_replace(s, r'[<>:"/\\|?*\x00-\x1f]+', "-"), r"\s+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "-{2,}", "-"), r"^[ .-]+|[ .-]+$", "")
-    t = F.when(F.upper(t).rlike(r"^(CON|PRN|AUX|NUL|COM\d|LPT\d)$"), F.concat(t, F.lit("_"))).otherwise(t)
-    return F.rtrim(F.substring(t, 1, longest))
+def title(s: Column, longest: int = 120, fallback: str = "video") -> Column:
+    """A name that every file system takes: no reserved signs, runs of dashes or reserved device names, at most so long."""
+    t = F.regexp_replace(F.regexp_replace(F.trim(s), r'[<>:"/\\|?*\x00-\x1f]+', "-"), "-{2,}", "-")
+    t = F.coalesce(F.nullif(F.regexp_replace(t, r"^[ .-]+|[ .-]+$", ""), F.lit("")), F.lit(fallback))
+    t = F.when(F.upper(t).rlike(r"^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])(\.|$)"), F.concat(F.lit("_"), t)).otherwise(t)
+    cut = F.regexp_replace(F.substring(t, 1, longest), r"[ .-]+$", "")
+    return F.when(F.length(t) <= longest, t).when(cut == "", fallback).otherwise(cut)
 
 
 def latex(s: Column) -> Column:

@@ -91,6 +91,17 @@ def percent(x: Column) -> Column:
     return F.when(x.isNull(), "-").otherwise(F.format_string("%.1f%%", x * 100))
 
 
+def signed_percent(x: Column) -> Column:
+    return F.when(x.isNull(), "-").otherwise(F.concat(F.when(x >= 0, "+").otherwise(""), F.format_string("%.1f%%", x * 100)))
+
+
+def gap_text(gap: Column) -> Column:
+    """The gap to the class in words (fixed values)."""
+    shown = signed_percent(gap)
+    near = F.concat(F.lit("接近班均（"), shown, F.lit("）"))
+    return F.when(gap.isNull(), "暂无班级对照").when(gap >= 0.08, F.concat(F.lit("高于班均 "), shown)).when(gap <= -0.08, F.concat(F.lit("低于班均 "), shown)).otherwise(near)
+
+
 def by_priority() -> list[Column]:
     return [F.col("mastery").isNull().asc(), F.col("mastery").asc(), F.coalesce("gap", F.lit(0.0)).asc(), F.col("weight").desc(), F.col("kp").asc()]
 

@@ -62,9 +62,22 @@ def issues(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFra
     return rows.select(*key, F.explode(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))).alias("issue"))
 
 
+#: Phrases that stand in for an explanation, and the answer that refers to it.
+PLACEHOLDERS, IN_EXPLANATION = "见解析原件|见答案", "见详解"
+
+
 def exercise_issues(rows: DataFrame) -> DataFrame:
-    chosen = F.regexp_extract("explanation", r"故选\s*[::]?\s*([A-H]+)", 1)
-    return issues(rows, ["path"], {"no_answer": F.trim("answer").isin("", "无"), "placeholder": F.col("explanation").rlike("待补充|TODO|略"), "short_explanation": F.length(F.trim("explanation")) < 20, "answer_mismatch": (chosen != "") & (chosen != F.trim("answer")), "odd_dollars": F.regexp_count(F.col("question"), F.lit(r"(?<!\\)\$")) % 2 == 1})
+    """(path, issue) of rows (path, question, answer, explanation); a part that is null or empty is absent, and not judged."""
+    answer, told = F.trim("answer"), F.trim("explanation")
+    chosen = F.regexp_extract("explanation", r"故选\s*([A-Z]+)", 1)
+    rules = {
+        "no_answer": answer == "无",
+        "placeholder": told.rlike(PLACEHOLDERS),
+        "short_explanation": F.length(told).between(1, 19),
+        "answer_mismatch": (chosen != "") & (answer != "") & (chosen != answer) & (answer != IN_EXPLANATION),
+        "odd_dollars": F.regexp_count(F.col("question"), F.lit(r"(?<!\\)\$")) % 2 == 1,
+    }
+    return issues(rows, ["path"], rules)
 
 
 def manifest_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:

@@ -65,16 +65,24 @@ def standard(docs: DataFrame) -> DataFrame:
 
 
 def exercise(docs: DataFrame) -> DataFrame:
-    """One chunk a file: question, answer and explanation, with what the frontmatter tells."""
-    part = lambda h: F.trim(F.regexp_extract("text", rf"(?s)## {h}\n\n(.*?)(?=\n## |\z)", 1))
-    front = t.frontmatter(F.col("text"))
+    """One chunk a file: question, answer and explanation, each empty where the next heading or the blank line below its own
+    lacks, with what the frontmatter tells. Images stay in the answer alone."""
+    body, front = t.strip_frontmatter(F.col("text")), t.frontmatter(F.col("text"))
+    part = lambda pattern: t.stripped(F.regexp_extract(body, rf"(?s){pattern}", 1))
+    question, answer = t.stripped(t.strip_images(part(r"## 题目\n\n(.*?)(?=\n## 答案)"))), part(r"## 答案\n\n(.*?)(?=\n## 详解)")
+    explanation = t.stripped(t.strip_images(part(r"## 详解\n\n(.*)")))
+    own = F.coalesce(front["id"], F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
+    kind, points = F.coalesce(front["question_type"], F.lit("")), t.frontmatter_list(F.col("text"), "knowledge_points")
     return docs.select(
         "path",
-        t.strip_images(part("题目")).alias("question"),
-        part("答案").alias("answer"),
-        t.strip_images(part("详解")).alias("explanation"),
-        front["question_type"].alias("question_type"),
-        t.frontmatter_list(F.col("text"), "knowledge_points").alias("knowledge_points"),
+        F.concat(F.lit("exercise-"), own).alias("id"),
+        F.concat_ws(" ", own, kind, F.array_join(points, ", ")).alias("title"),
+        F.concat(F.lit("题目："), question, F.lit("\n答案："), answer, F.lit("\n详解："), explanation).alias("text"),
+        question.alias("question"),
+        answer.alias("answer"),
+        explanation.alias("explanation"),
+        kind.alias("question_type"),
+        points.alias("knowledge_points"),
         F.coalesce(front["difficulty"].try_cast("double"), F.lit(0.5)).alias("difficulty"),
-        front["source_title"].alias("source_title"),
+        F.coalesce(front["source_title"], F.lit("")).alias("source_title"),
     )

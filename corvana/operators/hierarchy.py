@@ -43,8 +43,9 @@ def problems(nodes: DataFrame) -> DataFrame:
 
 
 def tags_ok(tags):
-    """At most 16 distinct tags of 2 to 32 characters, none like a path or an id."""
-    return (F.size(tags) <= 16) & (F.size(F.array_distinct(tags)) == F.size(tags)) & F.forall(tags, lambda x: (F.length(x).between(2, 32)) & ~x.rlike(r"/|\\|^kp_\d+$"))
+    """At most 16 tags, distinct and of 2 to 32 characters when trimmed, none like a path or an id."""
+    t = F.transform(tags, lambda x: F.trim(x))
+    return (F.size(t) <= 16) & (F.size(F.array_distinct(t)) == F.size(t)) & F.forall(t, lambda x: F.length(x).between(2, 32) & ~x.rlike(r"(?i)/|\\|^kp_[0-9]+$"))
 
 
 def retarget(text, old: str, new: str):

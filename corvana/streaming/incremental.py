@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def bucket_counts(events: DataFrame, late: str = "10 minutes", width: str = "2 minutes") -> DataFrame:
@@ -29,4 +30,5 @@ def statuses(events: DataFrame, transitions: dict[tuple[str, str], str], initial
         state.update((status,))
         yield pd.DataFrame({"id": [key[0]], "status": [status]})
 
-    return events.groupBy("id").applyInPandasWithState(advance, "id long, status string", "status string", "update", "NoTimeout")
+    schema = StructType([events.schema["id"], StructField("status", StringType())])
+    return events.groupBy("id").applyInPandasWithState(advance, schema, "status string", "update", "NoTimeout")
