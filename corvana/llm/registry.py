@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, neardup, packing, pages, quality, rules, suffixes, topk, toxicity
+from . import bpe, licenses, neardup, packing, pages, quality, rules, suffixes, topk, toxicity, tries, variants, vectors
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_suffixes": suffixes.op8,
         "op9_licenses": licenses.op9,
         "op10_pages": pages.op10,
+        "op11_vectors": vectors.op11,
+        "op12_tries": tries.op12,
+        "op13_variants": variants.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules.SQL, "op6_topk": topk.SQL}
+    return {"op5_quality_rules": rules.SQL, "op6_topk": topk.SQL, "op11_vectors": vectors.SQL}
