@@ -1,7 +1,10 @@
-"""Column functions over text: frontmatter, sections, links, cleaning. All are built-in expressions."""
+"""Column functions over text: frontmatter, sections, links, cleaning. All but `nfkc` are built-in expressions."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +17,13 @@ def strip_frontmatter(s: Column) -> Column:
 
 
 def frontmatter(s: Column) -> Column:
-    """Map of the flat keys of the frontmatter; of equal keys the last holds (spark.sql.mapKeyDedupPolicy=LAST_WIN)."""
+    """Map of the flat keys of the frontmatter; of equal keys the last holds, whatever the session says of such maps."""
     lines = F.filter(F.split(F.regexp_extract(s, r"(?s)^---\n(.*?)\n---", 1), "\n"), lambda x: x.rlike(r"^\w+:"))
-    entry = lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1), F.regexp_replace(F.trim(F.regexp_extract(x, r"^\w+:\s*(.*)", 1)), '^"+|"+$', ""))
-    return F.map_from_entries(F.transform(lines, entry))
+    key = lambda x: F.regexp_extract(x, r"^(\w+):", 1)
+    backwards = F.reverse(F.transform(lines, key))
+    last = F.filter(lines, lambda x, i: F.array_position(backwards, key(x)) == F.size(lines) - i)
+    entry = lambda x: F.struct(key(x), F.regexp_replace(F.trim(F.regexp_extract(x, r"^\w+:\s*(.*)", 1)), '^"+|"+$', ""))
+    return F.map_from_entries(F.transform(last, entry))
 
 
 def frontmatter_list(s: Column, key: str) -> Column:
@@ -25,6 +31,30 @@ def frontmatter_list(s: Column, key: str) -> Column:
     return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t\r]*$"), 1), lambda x: F.regexp_replace(F.trim(x), "^['\"]|['\"]$", ""))
 
 
+def nfkc(s: Column) -> Column:
+    """The text in compatibility form. No built-in expression knows that form, so texts go through Arrow, a batch at a time."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+    return run(s)
+
+
+def compact(s: Column) -> Column:
+    """The text in compatibility form without white space."""
+    return F.regexp_replace(nfkc(s), r"(?U)[\s\x1c-\x1f]+", "")
+
+
+def formula_form(s: Column) -> Column:
+    """A formula as it is compared: compatibility form without display marks, upright fonts, spacing commands, braces and white
+    space, in lower case."""
+    x = F.replace(F.replace(F.replace(nfkc(s), F.lit(r"\["), F.lit("")), F.lit(r"\]"), F.lit("")), F.lit("$$"), F.lit(""))
+    x = F.regexp_replace(x, r"\\(?:mathsf|mathrm)\{([^{}]*)\}", "$1")
+    x = F.replace(F.replace(x, F.lit(r"\quad"), F.lit("")), F.lit(r"\,"), F.lit(""))
+    return F.lower(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f{}]+", ""))
+
+
 def strip_images(s: Column) -> Column:
     return F.regexp_replace(s, IMAGE, "")
 
@@ -40,7 +70,23 @@ def section(s: Column, heading: str) -> Column:
 
 def replace_section(s: Column, heading: str, body: Column) -> Column:
     safe = F.regexp_replace(body, r"([\\$])", r"\\$1")
-    return F.regexp_replace(s, F.lit(rf"(?ms)(^##[ \t]+{heading}[ \t]*\r?\n).*?(?=^##[ \t]|\z)"), F.concat(F.lit("$1\n"), safe, F.lit("\n\n")))
+    return F.regexp_replace(s, F.lit(rf"(?ms)(^##[ \t]+\Q{heading}\E[ \t]*\r?\n).*?(?=^##[ \t]|\z)"), F.concat(F.lit("$1\n"), safe, F.lit("\n\n")))
+
+
+def with_frontmatter_list(s: Column, key: str, values: Column) -> Column:
+    """The text with a list of its frontmatter replaced by values, items indented as the first one was, or by two blanks; at the
+    frontmatter's end where it has no such key. Null where no frontmatter is opened and closed."""
+    front = F.concat(F.regexp_extract(s, r"(?s)\A---\n(.*?)\n---\n", 1), F.lit("\n"))
+    block = rf"(?md)^\Q{key}\E:[^\S\r\n]*(?:\[[^\r\n]*\])?\r?\n(?:^[ \t]*-[^\r\n]*(?:\r?\n|$))*"
+    found, at = F.regexp_extract(front, block, 0), F.regexp_instr(front, F.lit(block))
+    item = r"(?md)^([ \t]*)-[ \t]+"
+    indent = F.when(found.rlike(item), F.regexp_extract(found, item, 1)).otherwise("  ")
+    made = F.concat(F.lit(f"{key}:\n"), F.array_join(F.transform(values, lambda x: F.concat(indent, F.lit("- "), x, F.lit("\n"))), ""))
+    replaced = F.concat(F.substring(front, F.lit(1), at - 1), made, F.substring(front, at + F.length(found), F.length(front)))
+    added = F.concat(F.regexp_replace(front, r"\s+\z", ""), F.lit("\n"), made)
+    new = F.regexp_replace(F.when(found != "", replaced).otherwise(added), r"\n+\z", "")
+    rest = F.regexp_replace(s, r"(?s)\A---\n.*?\n---\n", "")
+    return F.when(s.rlike(r"(?s)\A---\n.*?\n---\n"), F.concat(F.lit("---\n"), new, F.lit("\n---\n"), rest))
 
 
 def options(s: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small
+from .matching import hits
 
 
 def dead(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -87,6 +87,43 @@ def manifest_diff(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame
     return e.join(a, key, "full").select(key, status.alias("status"))
 
 
+def renamed(expected: DataFrame, renames: DataFrame | None = None, prefixes: DataFrame | None = None, default_prefix: str = "") -> DataFrame:
+    """expected(path, ..) under the paths that a migration gives them: first whole paths (old, new), then the first prefix (position,
+    old, new) that fits, else the default prefix. Prefixes are looked up by the lengths that they have, not tried one by one. Of
+    rows that come to one path the one with the largest old path holds."""
+    rows = expected.withColumn("_old", F.col("path")).withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
+    if renames is not None:
+        rows = rows.join(renames.select(F.col("old").alias("path"), F.col("new").alias("_new")), "path", "left").withColumn("path", F.coalesce("_new", "path")).drop("_new")
+    if prefixes is not None:
+        lengths = [r[0] for r in prefixes.select(F.length("old")).distinct().collect()]  # no more than a path has characters
+        tried = rows.select("path").distinct().select("path", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")).alias("_n"))
+        hit = tried.where(F.length("path") >= F.col("_n")).select("path", F.expr("left(path, _n)").alias("old")).join(prefixes, "old")
+        first = hit.groupBy("path").agg(F.min_by(F.struct("old", "new"), "position").alias("_p"))
+        rest = F.concat(F.col("_p.new"), F.expr("substr(path, length(_p.old) + 1)"))
+        rows = rows.join(first, "path", "left").withColumn("path", F.when(F.col("_p").isNotNull(), rest).otherwise(F.concat(F.lit(default_prefix), "path"))).drop("_p")
+    elif default_prefix:
+        rows = rows.withColumn("path", F.concat(F.lit(default_prefix), "path"))
+    others = [c for c in expected.columns if c != "path"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*others), "_old").alias("_r")).select("path", "_r.*")
+
+
+def verified(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(path, status, expected, actual, bytes) of a manifest (path, bytes, sha256) against files (path, bytes, sha256): missing, extra,
+    size, hash or ok. Without an expected hash the size decides. bytes are those of a file that is ok."""
+    e, a = expected.select("path", F.col("bytes").alias("_eb"), F.nullif("sha256", F.lit("")).alias("_eh"), F.lit(1).alias("_e")), actual.select("path", F.col("bytes").alias("_ab"), F.col("sha256").alias("_ah"), F.lit(1).alias("_a"))
+    rows = e.join(a, "path", "full")
+    status = F.when(F.col("_a").isNull(), "missing").when(F.col("_e").isNull(), "extra").when(~F.col("_eb").eqNullSafe(F.col("_ab")), "size").when(F.col("_eh").isNotNull() & ~F.col("_eh").eqNullSafe(F.col("_ah")), "hash").otherwise("ok")
+    told = lambda size, sha: F.when(status == "size", F.col(size).cast("string")).when(status == "hash", F.col(sha))
+    return rows.select("path", status.alias("status"), told("_eb", "_eh").alias("expected"), told("_ab", "_ah").alias("actual"), F.when(status == "ok", F.col("_ab")).otherwise(0).cast("long").alias("bytes"))
+
+
+def verdict(checked: DataFrame, allow_extra: bool = False) -> DataFrame:
+    """One row over `verified`: ok, expected_files, verified_files, verified_bytes and how many files have each fault."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    faults = n("missing") + n("size") + n("hash") + (F.lit(0) if allow_extra else n("extra"))
+    return checked.agg((faults == 0).alias("ok"), (F.count("*") - n("extra")).alias("expected_files"), n("ok").alias("verified_files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("verified_bytes"), n("missing").alias("missing"), n("extra").alias("extra"), n("size").alias("size_mismatch"), n("hash").alias("hash_mismatch"))
+
+
 def normalized_segments(rows: DataFrame) -> DataFrame:
     """(id, idx, begin, end, text) from rows with aliased keys; an end before its begin takes the begin; noise goes."""
     have = set(rows.columns)
@@ -104,8 +141,8 @@ def buckets(rows: DataFrame, key: str, begin: str, text: str, seconds: int = 120
 
 
 def cues(rows: DataFrame, terms: DataFrame, key: str, text: str, most: int) -> DataFrame:
-    """(term, key, n, overflow): the first hits of each term, and how many more there are. terms is a small list."""
-    hit = rows.join(small(terms), F.contains(F.col(text), F.col("term"))).select("term", key)
+    """(term, key, n, overflow): the first hits of each term, and how many more there are."""
+    hit = hits(rows, key, text, terms).select("term", key)
     counts = hit.groupBy("term").agg(F.count("*").alias("n"))
     first = hit.withColumn("_r", F.row_number().over(Window.partitionBy("term").orderBy(key))).where(F.col("_r") <= most).drop("_r")
     return first.join(counts, "term").withColumn("overflow", F.greatest(F.col("n") - most, F.lit(0)))

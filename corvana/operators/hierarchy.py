@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .taxonomy import below
+
+
 def descendants(nodes: DataFrame, root: str) -> DataFrame:
-    """(id, level, path) below and with root, by level-wise joins until a level is empty. Each level is cut off from those before
-    it by a checkpoint, so plans do not grow; a node that is its own ancestor ends its branch."""
-    settled(nodes.sparkSession)
-    at = nodes.where(F.col("id") == root).select("id", F.lit(0).alias("level"), F.array("id").alias("path")).checkpoint()
-    out, level = at, 0
-    while True:
-        level += 1
-        below = nodes.join(at.select(F.col("id").alias("parent"), F.col("path").alias("_p")), "parent").where(~F.array_contains("_p", F.col("id")))
-        at = below.select("id", F.lit(level).alias("level"), F.concat("_p", F.array("id")).alias("path")).checkpoint()
-        if at.isEmpty():
-            return out
-        out = out.union(at)
-
-
-def settled(spark: SparkSession) -> None:
-    """See that a checkpoint folder is set: the cluster's, or a folder of our own only where none is."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvana-"))
+    """(id, level, path) below and with root; a node that is its own ancestor ends its branch."""
+    order = F.col("sort_order") if "sort_order" in nodes.columns else F.lit(0)
+    return below(nodes.select("id", "parent", order.alias("sort_order")), root).drop("keys")
 
 
 def children(nodes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .sizes import small
+from .matching import hits
 
 SCORE = re.compile(r"Q[0-9A-Za-z_]+_score")
 #: Columns that a roster must not have.
@@ -84,6 +84,6 @@ def forward_filled(cells: DataFrame, column: str, order: str, *by: str) -> DataF
 
 
 def leaks(files: DataFrame, terms: DataFrame) -> DataFrame:
-    """(path, term): the longest term found in each file. terms is a stated small list."""
-    hit = files.join(small(terms), F.contains(F.col("text"), F.col("term")))
+    """(path, term): the longest term found in each file."""
+    hit = hits(files, "path", "text", terms)
     return hit.groupBy("path").agg(F.max_by("term", F.struct(F.length("term"), "term")).alias("term"))

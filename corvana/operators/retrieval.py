@@ -9,9 +9,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import hits
 from .sizes import small
 
 #: Mode: chunks by dense and by sparse score, and tokens of context.
@@ -43,10 +45,59 @@ def scored(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, found)
 
 
+def index(vectors: DataFrame) -> DataFrame:
+    """(size, ids, matrix): vectors (id, v) of one length in blocks of a batch each, to be written once and searched often: ids and
+    components as 64-bit numbers. Null vectors, and those with a null or non-finite component, are not in it."""
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.where(F.col("id").isNotNull() & F.coalesce(sound, F.lit(False))).select(F.col("id").cast("long").alias("id"), F.size("v").alias("size"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, ids, flat = batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(2)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                matrix = flat.take(pa.array(own)).flatten().to_numpy().astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids[own].astype(np.int64).tobytes()]), pa.array([matrix.tobytes()])], names=["size", "ids", "matrix"])
+
+    return rows.mapInArrow(run, "size int, ids binary, matrix binary")
+
+
+def found_in(blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score, rank): the k best of an index for each query (qid, q), a stated set, block of queries by block. A task keeps k
+    rows a query while blocks of vectors stream past, by one matrix product each; no pair of vectors is a row."""
+    spark = blocks.sparkSession
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), F.transform("q", lambda x: x.cast("double")).alias("q"))
+    rows = rows.where(F.coalesce(F.forall("q", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
+    found = []
+    for part in in_blocks(rows, "qid"):
+        by_size: dict[int, tuple[list, list]] = {}
+        for qid, q in part.collect():
+            own = by_size.setdefault(len(q), ([], []))
+            own[0].append(qid)
+            own[1].append(q)
+        shared = spark.sparkContext.broadcast({s: (np.array(i, np.int64), np.array(m, float).reshape(len(i), s)) for s, (i, m) in by_size.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            kept = {s: (np.zeros((len(i), 0), np.int64), np.zeros((len(i), 0))) for s, (i, _) in shared.value.items()}
+            for batch in batches:
+                for size, ids, matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if size in kept:
+                        new = np.frombuffer(ids, np.int64)
+                        scores = np.round(shared.value[size][1] @ np.frombuffer(matrix).reshape(len(new), size).T, 6)
+                        every, told = np.hstack([kept[size][0], np.broadcast_to(new, scores.shape)]), np.hstack([kept[size][1], scores])
+                        order = np.lexsort((every, -told))[:, :k]
+                        kept[size] = np.take_along_axis(every, order, 1), np.take_along_axis(told, order, 1)
+            for size, (ids, scores) in kept.items():
+                qids = np.repeat(shared.value[size][0], ids.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(qids), pa.array(ids.ravel()), pa.array(scores.ravel())], names=["qid", "id", "score"])
+
+        found.append(blocks.select("size", "ids", "matrix").mapInArrow(run, "qid long, id long, score double"))
+    return best(functools.reduce(DataFrame.unionByName, found), k)
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k best vectors of each query. The limit by rank is taken within each task first, so at most k rows a query and task are
-    shuffled, whatever the vectors."""
-    return functools.reduce(DataFrame.unionByName, [best(scored(b, vectors), k) for b in in_blocks(queries, "qid")])
+    """The k best vectors of each query, through an index that is made on the way."""
+    return found_in(index(vectors), queries, k)
 
 
 def best(scores: DataFrame, k: int) -> DataFrame:
@@ -104,10 +155,10 @@ def contaminated(source: Column, roots: tuple[str, ...] = ("skills/", "studentda
 
 
 def coverage(keys: DataFrame, texts: DataFrame) -> DataFrame:
-    """keys(key) with found: whether any text contains it. Keys are a stated list, and go over the texts in blocks."""
-    hits = [texts.join(F.broadcast(b), F.contains(F.col("text"), F.col("key"))).select("key").distinct() for b in in_blocks(keys, "key")]
-    hit = functools.reduce(DataFrame.union, hits).withColumn("found", F.lit(True))
-    return keys.join(hit, "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    """keys(key) with found: whether any text contains it. All keys go over a text at once; the empty key is in any text there is."""
+    hit = hits(texts.select(F.lit(0).alias("_row"), "text"), "_row", "text", keys.select(F.col("key").alias("term"))).select(F.col("term").alias("key")).distinct()
+    some = texts.where("text is not null").limit(1).select(F.lit("").alias("key"))
+    return keys.join(hit.union(some).withColumn("found", F.lit(True)), "key", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def depths(mode: str) -> tuple[int, int, int]:

@@ -130,6 +130,37 @@ def migrated(items: DataFrame, phases: dict[str, str], other: str = "blocked") -
     return items.withColumn("phase", F.coalesce(*(F.when(F.col("phase") == k, v) for k, v in phases.items()), F.lit(other)))
 
 
+def legacy_ledger(items: DataFrame, files: DataFrame, unchanged: list[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ledger, drift, problems) of a retired ledger's items (campaign, question_id, queue_ordinal, target_path, current_sha256,
+    source_state, source_key, source_path, source_sha256, severities) against files (path, sha256, bytes).
+
+    An item is P0 if P0 is among its severities, else P1, and queued unless it is one of `unchanged`. A source that is ready but
+    whose file is gone or has another hash is drift: the item stays, without source. A target that is gone or has another hash,
+    and an ordinal that a campaign has twice, are problems; with any of them a ledger is not to be cut over."""
+    plain = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
+    rows = items.withColumns({"target_path": plain(F.col("target_path")), "_source": plain(F.coalesce(F.nullif("source_key", F.lit("")), F.nullif("source_path", F.lit(""))))})
+    target = files.select(F.col("path").alias("target_path"), F.struct("path", "sha256", "bytes").alias("target"))
+    source = files.select(F.col("path").alias("_source"), F.struct("path", "sha256", "bytes").alias("_found"))
+    rows = rows.join(target, "target_path", "left").join(source, "_source", "left")
+    asked = F.coalesce((F.col("source_state") == "source_ready") & F.col("_source").isNotNull(), F.lit(False))
+    held = asked & F.coalesce(F.col("_found.sha256") == F.col("source_sha256"), F.lit(False))
+    ready = F.coalesce(F.col("source_state") == "source_ready", F.lit(False)) & (~asked | held)
+    severity = F.when(F.coalesce(F.array_contains("severities", "P0"), F.lit(False)), "P0").otherwise("P1")
+    status = F.when(F.col("question_id").isin(list(unchanged)), "legacy_no_change_pending_audit").otherwise("queued")
+    ledger = rows.select("campaign", "question_id", F.col("queue_ordinal").cast("int").alias("queue_ordinal"), severity.alias("severity"), ready.alias("source_ready"), "target", F.when(held, F.col("_found")).alias("source"), status.alias("initial_status"))
+    drift = rows.where(asked & ~held).select("campaign", "question_id", F.lit("source_hash_or_path_drift").alias("defect"), F.col("_source").alias("path"), F.col("source_sha256").alias("sha256"))
+    lost = rows.select("campaign", "question_id", F.when(F.col("target").isNull(), "missing_target").when(~F.col("target.sha256").eqNullSafe(F.col("current_sha256")), "target_drift").alias("problem")).where("problem is not null")
+    twice = rows.groupBy("campaign", "queue_ordinal").agg(F.collect_set("question_id").alias("ids"), F.count("*").alias("n")).where("n > 1").select("campaign", F.explode("ids").alias("question_id"), F.lit("duplicate_ordinal").alias("problem"))
+    return ledger, drift, lost.union(twice)
+
+
+def campaigns(ledger: DataFrame, drift: DataFrame) -> DataFrame:
+    """(campaign, item_count, source_ready, source_blocked, unchanged, drift) of each campaign of a ledger."""
+    n = drift.groupBy("campaign").agg(F.count("*").alias("drift"))
+    counts = ledger.groupBy("campaign").agg(F.count("*").alias("item_count"), F.count_if("source_ready").alias("source_ready"), F.count_if(~F.col("source_ready")).alias("source_blocked"), F.count_if(F.col("initial_status") == "legacy_no_change_pending_audit").alias("unchanged"))
+    return counts.join(n, "campaign", "left").fillna(0, ["drift"])
+
+
 def review_problems(reviews: DataFrame, assets: DataFrame, references: DataFrame) -> DataFrame:
     """reviews(key, replacement, evidence, confidence, sha) with problems: no evidence or text, confidence outside 0 to 1, a
     hash other than the asset's (key, sha), or no reference (doc_id, key, ref) to replace."""

@@ -2,30 +2,105 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .matching import MOST_TERMS, automaton, hits
+from .sizes import small
+
 
-from .sizes import MOST, small
+#: What a term of each kind adds; a trigger adds its length too, up to `LONGEST`. A record's own name and category.
+WEIGHTS, LONGEST, NAMED, STAGED = {"trigger": 28, "hint": 14, "card": 10, "negative": -35}, 8, 4, 100
+#: Records of a registry that a task scores at once.
+MOST_RECORDS = 20_000
 
 
 def lexical(queries: DataFrame, terms: DataFrame) -> DataFrame:
-    """(qid, rec, score): weights of the terms (rec, term, weight) that a query (qid, text) contains. A registry of a checked size
-    goes over each lowered text in one pass; a larger one is joined."""
+    """(qid, rec, score): weights of the terms (rec, term, weight) that a query (qid, text) contains, case folded."""
     plain = terms.select("rec", F.lower(F.trim("term")).alias("term"), F.col("weight").cast("long").alias("weight"))
-    low = queries.select("qid", F.lower("text").alias("low"))
-    held = plain.limit(MOST + 1).collect()
-    if len(held) > MOST:
-        hit = low.join(plain, F.contains("low", "term"))
-    else:
-        registry = F.array(*(F.struct(F.lit(r["rec"]).alias("rec"), F.lit(r["term"]).alias("term"), F.lit(r["weight"]).alias("weight")) for r in held)) if held else F.array().cast("array<struct<rec:string,term:string,weight:bigint>>")
-        hit = low.select("qid", F.explode(F.filter(registry, lambda x: F.contains(F.col("low"), x["term"]))).alias("t")).select("qid", "t.*")
-    return hit.groupBy("qid", "rec").agg(F.sum("weight").cast("long").alias("score"))
+    hit = hits(queries.select("qid", F.lower("text").alias("low")), "qid", "low", plain)
+    return hit.join(small(plain), "term").groupBy("qid", "rec").agg(F.sum("weight").cast("long").alias("score"))
+
+
+def weighed(records: DataFrame, terms: DataFrame) -> DataFrame:
+    """(rec, term, weight) of the typed terms (rec, kind, term) of a registry, with the names and categories of its records. A term
+    that a record lists twice counts twice."""
+    kind = F.when(F.col("kind") == "trigger", WEIGHTS["trigger"] + F.least(F.length("term"), F.lit(LONGEST)))
+    for name, weight in WEIGHTS.items():
+        kind = kind.when(F.col("kind") == name, weight)
+    typed = terms.select("rec", "term", kind.cast("long").alias("weight")).where("weight is not null")
+    named = records.select("rec", F.explode(F.array("name", "category")).alias("term"), F.lit(NAMED).cast("long").alias("weight"))
+    every = typed.union(named).select("rec", F.lower(F.trim("term")).alias("term"), "weight")
+    return every.where("term is not null and term <> ''")
+
+
+def routed(queries: DataFrame, records: DataFrame, terms: DataFrame, fallback: str, k: int = 2) -> DataFrame:
+    """(qid, rec, rank, score, lexical, bonus, semantic): the k best records of each query.
+
+    queries(qid, text, stage, semantic): the record that a stage rule names, and a map of cosines, may both be null.
+    records(rec, name, category, priority, position), terms(rec, kind, term). A record begins with a tenth of its priority
+    (50 where it is null), so all records take part. The total is that with the terms it matches, `STAGED` for the stage's record
+    and the semantic part; ties go to the stage's record, then to the first position. Where no total is over 0 the answer is the
+    fallback alone, with 0. A task holds the registry once, as an automaton over its terms."""
+    listed = records.select("rec", "position", F.floor(F.coalesce("priority", F.lit(50)) / 10).cast("long")).orderBy("position", "rec").limit(MOST_RECORDS + 1).collect()
+    if len(listed) > MOST_RECORDS:
+        raise ValueError(f"over {MOST_RECORDS} records; route by `lexical`, which needs no whole registry")
+    place = {r[0]: n for n, r in enumerate(listed)}
+    found = weighed(records, terms).groupBy("term").agg(F.collect_list(F.struct("rec", "weight")).alias("adds")).limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} terms; route by `lexical`, which takes them in blocks")
+    adds = [([place[x[0]] for x in r["adds"] if x[0] in place], [x[1] for x in r["adds"] if x[0] in place]) for r in found]
+    shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in listed], [r[2] for r in listed], [r["term"] for r in found], adds))
+    schema = T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("rec", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("rank", "score", "lexical", "bonus", "semantic"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, base, words, adds = shared.value
+        at, made, base = {x: n for n, x in enumerate(names)}, automaton(words), np.array(base, np.int64)
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], [], []]
+            for row, (low, stage, cosines) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                own = base.copy()
+                for n in {n for _, n in made.iter(low)} if low else ():
+                    np.add.at(own, adds[n][0], adds[n][1])
+                bonus, near = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+                if stage in at:
+                    bonus[at[stage]] = STAGED
+                for rec, cosine in cosines or ():
+                    if rec in at and cosine is not None and cosine > 0:
+                        near[at[rec]] = int(cosine * 15)
+                total = own + bonus + near
+                best = np.lexsort((np.arange(len(total)), -bonus, -total))[:k]
+                if not len(best) or total[best[0]] <= 0:
+                    parts = [(fallback, 1, 0, 0, 0, 0)]
+                else:
+                    parts = [(names[x], n + 1, int(total[x]), int(own[x]), int(bonus[x]), int(near[x])) for n, x in enumerate(best)]
+                for p in parts:
+                    for column, value in zip(out, (row, *p), strict=True):
+                        column.append(value)
+            arrays = [batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.string()), *(pa.array(x, pa.int64()) for x in out[2:])]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return queries.select("qid", F.lower("text").alias("low"), "stage", "semantic").mapInArrow(run, schema)
+
+
+def with_confidence(routes: DataFrame) -> DataFrame:
+    """(qid, rec, score, confidence) of the first of routes (qid, rec, rank, score, staged)."""
+    top = routes.groupBy("qid").agg(F.max(F.when(F.col("rank") == 1, F.struct("rec", "score"))).alias("a"), F.coalesce(F.max(F.when(F.col("rank") == 2, F.col("score"))), F.lit(0)).alias("second"), F.max("staged").alias("staged"))
+    return top.select("qid", "a.rec", "a.score", confidence(F.col("a.score"), F.col("second"), F.col("staged")).alias("confidence"))
 
 
 def stage(queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(qid, stage): the first rule (ordinal, stage, term, unless) that fits each query."""
-    fits = F.contains(F.lower("text"), F.lower("term")) & ~(F.coalesce(F.col("unless"), F.lit("")).cast("string") != "") | (F.contains(F.lower("text"), F.lower("term")) & ~F.contains(F.lower("text"), F.lower("unless")))
-    return queries.join(small(rules), fits).groupBy("qid").agg(F.min_by("stage", "ordinal").alias("stage"))
+    low = queries.select("qid", F.lower("text").alias("low"))
+    stated = rules.select("ordinal", "stage", F.lower("term").alias("term"), F.nullif(F.lower("unless"), F.lit("")).alias("unless"))
+    found = hits(low, "qid", "low", stated.select("term").union(stated.select("unless")))
+    fits = found.join(small(stated), "term").join(found.select("qid", F.col("term").alias("unless")), ["qid", "unless"], "left_anti")
+    return fits.groupBy("qid").agg(F.min_by("stage", "ordinal").alias("stage"))
 
 
 def semantic(cosine: Column) -> Column:
@@ -47,7 +122,9 @@ def confidence(top: Column, runner_up: Column, staged: Column) -> Column:
 
 def follow_ups(primary: DataFrame, queries: DataFrame, rules: DataFrame) -> DataFrame:
     """(qid, queued): next records by rules (rec, term, next, ordinal), in order, each once."""
-    hit = queries.join(primary.select("qid", "rec"), "qid").join(small(rules), "rec").where(F.contains(F.lower("text"), F.lower("term")))
+    stated = rules.select("rec", F.lower("term").alias("term"), "next", "ordinal")
+    found = hits(queries.select("qid", F.lower("text").alias("low")), "qid", "low", stated)
+    hit = found.join(primary.select("qid", "rec"), "qid").join(small(stated), ["rec", "term"])
     return hit.groupBy("qid").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "next"))), lambda x: x["next"])).alias("queued"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 
 #: Weights of engines and states, and noise, in a page candidate's score.
 ENGINES = {"paddleocr_vl": 90, "auto_transcript": 55, "pp_formulanet": 45, "texteller": 42, "marker": 25, "pp_ocr": -45}
@@ -142,8 +144,7 @@ def line_kind(region: Column, s: Column, ink: Column) -> Column:
 
 def ranked_probes(probes: DataFrame) -> DataFrame:
     """Probes (url, ok, speed) that succeeded, fastest first."""
-    w = Window.orderBy(F.desc("speed"), "url")  # a handful of mirrors of one stream
-    return probes.where("ok").withColumn("rank", F.row_number().over(w))
+    return numbered(probes.where("ok"), F.desc("speed"), "url")
 
 
 def page_kind(pages: DataFrame) -> DataFrame:

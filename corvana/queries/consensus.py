@@ -71,12 +71,35 @@ def g22(t):
 
 @query("g24_packing", """with recursive r as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as i, cast(floor(value) as bigint) as s from events),
 p as (select user_id, i, event_id, s as used, 0 as part from r where i = 1 union all
-select r.user_id, r.i, r.event_id, case when p.used > 0 and p.used + r.s > 90 then r.s else p.used + r.s end, case when p.used > 0 and p.used + r.s > 90 then p.part + 1 else p.part end from p join r on r.user_id = p.user_id and r.i = p.i + 1)
+select r.user_id, r.i, r.event_id, case when p.used + r.s > 90 then r.s else p.used + r.s end, case when p.used + r.s > 90 then p.part + 1 else p.part end from p join r on r.user_id = p.user_id and r.i = p.i + 1)
 select user_id, event_id, part from p""")
 def g24(t):
     return c.packed(t.events.select("user_id", "event_id", F.floor("value").alias("s")), "user_id", "event_id", "s", 90)
 
 
+@query("g24_hot_keys", """with recursive r as (select event_type, event_id, row_number() over (partition by event_type order by event_id) as i, cast(floor(value) as bigint) as s from events),
+p as (select event_type, i, event_id, s as used, 1 as n, 0 as part from r where i = 1 union all
+select r.event_type, r.i, r.event_id, case when p.n = 4 or p.used + r.s > 90 then r.s else p.used + r.s end, case when p.n = 4 or p.used + r.s > 90 then 1 else p.n + 1 end, case when p.n = 4 or p.used + r.s > 90 then p.part + 1 else p.part end from p join r on r.event_type = p.event_type and r.i = p.i + 1)
+select event_type, event_id, part from p""")
+def g24_hot_keys(t):
+    """A few keys with all the rows, under a cap of size and one of number."""
+    return c.packed_by_jumps(t.events.select("event_type", "event_id", F.floor("value").alias("s")), "event_type", "event_id", "s", 90, 4)
+
+
+@query("g36_boxes", """with recursive b as (select l_orderkey as k, row_number() over (partition by l_orderkey order by y0, x0, y1, x1) as i, x0, y0, x1, y1 from (select l_orderkey, l_partkey % 30 as x0,
+l_linenumber * 22 + l_partkey % 7 as y0, l_partkey % 30 + l_suppkey % 60 as x1, l_linenumber * 22 + l_partkey % 7 + 8 + cast(floor(l_quantity) as bigint) % 18 as y1 from lineitem)),
+f as (select k, i, x0, y0, x1, y1, false as done, 0::bigint as dx0, 0::bigint as dy0, 0::bigint as dx1, 0::bigint as dy1 from b where i = 1 union all
+select b.k, b.i, case when m then least(f.x0, b.x0) else b.x0 end, case when m then least(f.y0, b.y0) else b.y0 end, case when m then greatest(f.x1, b.x1) else b.x1 end, case when m then greatest(f.y1, b.y1) else b.y1 end, not m, f.x0, f.y0, f.x1, f.y1
+from (select f.*, b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1, b.y0 - f.y1 <= 5 and (f.y1 - f.y0 < 18 or b.y1 - b.y0 < 18) as m from f join b on b.k = f.k and b.i = f.i + 1) f join b on b.k = f.k and b.i = f.i + 1),
+e as (select k, dx0 as x0, dy0 as y0, dx1 as x1, dy1 as y1 from f where done union all select k, x0, y0, x1, y1 from (select *, row_number() over (partition by k order by i desc) as r from f) where r = 1)
+select k as page, x0, y0, x1, y1 from e where x1 - x0 >= 24""")
+def g36_boxes(t):
+    """Each order as a page of boxes, one a line."""
+    x0, y0 = F.col("l_partkey") % 30, F.col("l_linenumber") * 22 + F.col("l_partkey") % 7
+    boxes = t.lineitem.select(F.col("l_orderkey").alias("page"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("l_suppkey") % 60).alias("x1"), (y0 + 8 + F.floor("l_quantity") % 18).alias("y1"), F.struct(F.lit(600).alias("width"), F.lit(500).alias("height")).alias("size"))
+    return c.merged_boxes(boxes, "page", "size")
+
+
 @query("g25_tokens", "select doc_id, cast(ceil(strlen(text) / 3.0) as bigint) as tokens from documents")
 def g25(t):
     return t.documents.select("doc_id", tx.text_tokens(F.col("text")).alias("tokens"))

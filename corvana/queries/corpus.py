@@ -151,6 +151,35 @@ def f30(t):
     return audit.manifest_diff(d.where("doc_id % 5 > 0"), actual, "doc_id")
 
 
+@query("f30_renames", """with e as (select replace(source || chr(92) || 'sub/' || cast(doc_id as varchar), chr(92), '/') as old, strlen(text) as b, case when doc_id % 6 = 0 then '' else sha256(text) end as s, doc_id from documents where doc_id % 5 > 0),
+n as (select *, case when doc_id % 50 = 1 then 'src1/moved/' || cast(doc_id % 100 as varchar) else old end as p from e),
+m as (select *, case when starts_with(p, 'src12') then 'twelve' || substr(p, 6) when starts_with(p, 'src1') then 'one' || substr(p, 5) when starts_with(p, 'src2/sub/1') then 'two' || substr(p, 11) else 'kept/' || p end as path from n),
+x as (select * from (select *, row_number() over (partition by path order by old desc) as r from m) where r = 1),
+a as (select path, case when doc_id % 9 = 0 then 0 else b end as b, case when doc_id % 4 = 0 then 'other' else sha256(text) end as s from x join documents using (doc_id) where doc_id % 7 > 0 union all select 'extra/' || cast(doc_id as varchar), 1, '' from documents where doc_id % 70 = 0)
+select coalesce(x.path, a.path) as path, case when a.path is null then 'missing' when x.path is null then 'extra' when x.b <> a.b then 'size' when x.s <> '' and x.s <> a.s then 'hash' else 'ok' end as status,
+case when a.path is not null and x.b = a.b and (x.s = '' or x.s = a.s) then a.b else 0 end as bytes from x full join a on x.path = a.path""")
+def f30_renames(t):
+    d = t.documents.withColumns({"bytes": F.octet_length("text"), "sha256": F.sha2("text", 256)})
+    expected = d.where("doc_id % 5 > 0").select(F.concat("source", F.lit("\\sub/"), F.col("doc_id").cast("string")).alias("path"), "bytes", F.when(F.col("doc_id") % 6 == 0, "").otherwise(F.col("sha256")).alias("sha256"), "doc_id")
+    moved = d.where("doc_id % 50 = 1").select(F.concat("source", F.lit("/sub/"), F.col("doc_id").cast("string")).alias("old"), F.concat(F.lit("src1/moved/"), (F.col("doc_id") % 100).cast("string")).alias("new"))
+    prefixes = t._spark.createDataFrame([(0, "src12", "twelve"), (1, "src1", "one"), (2, "src2/sub/1", "two"), (3, "src12/", "never")], "position int, old string, new string")
+    due = audit.renamed(expected, moved, prefixes, "kept/")
+    there = due.join(d.select("doc_id", F.col("sha256").alias("own")), "doc_id").where("doc_id % 7 > 0").select("path", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(F.col("bytes")).alias("bytes"), F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("own")).alias("sha256"))
+    more = d.where("doc_id % 70 = 0").select(F.concat(F.lit("extra/"), F.col("doc_id").cast("string")), F.lit(1), F.lit(""))
+    return audit.verified(due.drop("doc_id"), there.union(more)).select("path", "status", "bytes")
+
+
+@query("a12_list", """select doc_id, case doc_id % 5 when 4 then null else sha256('---' || chr(10) || case doc_id % 5 when 0 then 'tags:' || chr(10) || '    - ' || lang || chr(10) || '    - ' || source || chr(10) || 'b: 1' when 1 then 'a: 0' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10) || '  - ' || source || chr(10) || 'b: 1'
+when 2 then 'a: 0' || chr(10) || 'tags:' || chr(10) || '  - ' || lang || chr(10) || '  - ' || source else 'tags:' || chr(10) || '- ' || lang || chr(10) || '- ' || source end || chr(10) || '---' || chr(10) || text) end as sha from documents""")
+def a12_list(t):
+    """Lists of the frontmatter before each text: indented, in brackets, absent, not indented, and no frontmatter."""
+    k = F.col("doc_id") % 5
+    heads = ["tags:\n    - x\n    - y\nb: 1", "a: 0\ntags: [x, y]\nb: 1", "a: 0", "tags:\n- x"]
+    head = F.element_at(F.array(*map(F.lit, heads)), F.least(k, F.lit(3)).cast("int") + 1)
+    page = F.when(k == 4, F.concat(F.lit("tags: x\n"), "text")).otherwise(F.concat(F.lit("---\n"), head, F.lit("\n---\n"), "text"))
+    return t.documents.select("doc_id", F.sha2(tx.with_frontmatter_list(page, "tags", F.array("lang", "source")), 256).alias("sha"))
+
+
 @query("q10_classify", """select doc, pages, chars, round(scan_share, 6) as scan_share, case when scan_share >= 0.8 then 'image' when text_share >= 0.8 then 'text' else 'mixed' end as kind from
 (select source as doc, count(*) as pages, cast(sum(n_chars) as bigint) as chars, avg(case when n_chars < 20 and doc_id % 10 > 5 then 1.0 else 0 end) as scan_share, avg(case when n_chars >= 200 then 1.0 else 0 end) as text_share from documents group by 1)""")
 def q10(t):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import analytics as a
-from ..operators import hierarchy, ingest, queueing
+from ..operators import hierarchy, ingest, queueing, taxonomy
 from ..plans.registry import query
 
 
@@ -207,6 +207,58 @@ def i02(t):
     return hierarchy.problems(rows.withColumns(broken))
 
 
+#: A registry with a broken node here and there: what is broken goes by the node's number.
+NODES = """(select n, up, title, lvl, n % 1000 + 1 as sort_order from (
+select 1 + r_regionkey as n, null as up, r_name as title, 1 as lvl from region
+union all select 100 + n_nationkey, 1 + n_regionkey, n_name, 2 from nation union all select 1000 + c_custkey, 100 + c_nationkey, c_name, 3 from customer))"""
+REGISTRY = f"""whole as (select a.*, coalesce(g.title || '/', '') || coalesce(p.title || '/', '') || a.title as path from {NODES} a left join {NODES} p on p.n = a.up left join {NODES} g on g.n = p.up),
+t as (select case when n % 97 = 0 then 'x' || cast(n as varchar) when n % 89 = 0 and n > 1000 then printf('kp_%06d', n + 1) else printf('kp_%06d', n) end as id,
+printf('kp_%06d', case when n % 83 = 0 then 900000 + n when n > 1100 and n % 202 = 0 then n + 1 when n > 1100 and n % 202 = 1 then n - 1 else up end) as parent,
+case when n % 79 = 0 then 'a/b' when n % 73 = 0 then '  ' else title end as title, case when n % 71 = 0 then lvl + 1 else lvl end as level,
+case when n % 67 = 0 then 0 else sort_order end as sort_order, case when n % 61 = 0 then 'lost' else path end as path, n % 59 <> 0 as listed,
+case when n % 53 = 0 then 'gone' when n % 47 = 0 then 'deprecated' else 'active' end as status,
+case when n % 94 = 0 then [printf('kp_%06d', n), 'kp_000001'] when n % 43 = 0 then ['kp_999999'] else [] end as replacements from whole)"""
+
+
+@query("i02_registry", f"""with recursive {REGISTRY}, k as (select id, list(distinct level) as levels, list(distinct path) as paths, count(*) as c, min(parent) as up from t group by id),
+ended(id) as (select id from k where up is null or up not in (select id from k) union select k.id from k join ended on k.up = ended.id),
+u as (select t.*, k.id as known, k.levels, k.paths from t left join k on k.id = t.parent where t.parent is not null)
+select distinct id, issue from (select id, 'invalid_id' as issue from t where not regexp_matches(id, '^kp_[0-9]{{6}}$')
+union all select id, 'invalid_title' from t where trim(title) = '' or contains(title, '/') union all select id, 'invalid_level' from t where level not in (1, 2, 3)
+union all select id, 'invalid_sort_order' from t where sort_order < 1 union all select id, 'no_list' from t where not listed union all select id, 'invalid_status' from t where status = 'gone'
+union all select id, 'deprecated_without_replacement' from t where status = 'deprecated' and len(replacements) = 0
+union all select id, 'root_mismatch' from t where parent is null and not (level = 1 and path = title)
+union all select id, 'self_replacement' from t where list_contains(replacements, id) union all select id, 'duplicate_id' from k where c > 1
+union all select id, 'duplicate_active_path' from t where status = 'active' and path in (select path from t where status = 'active' group by path having count(*) > 1)
+union all select id, 'missing_parent' from u where known is null union all select id, 'wrong_level' from u where known is not null and not list_contains(levels, level - 1)
+union all select id, 'path_mismatch' from u where known is not null and not list_contains(list_transform(paths, lambda p: p || '/' || title), path)
+union all select id, 'unknown_replacement' from (select id, unnest(replacements) as x from t) where x not in (select id from k)
+union all select id, 'cycle' from k where id not in (select id from ended)
+union all select null, 'next_id' where (select max(cast(nullif(regexp_extract(id, '_([0-9]+)$', 1), '') as bigint)) from t) >= 1500)""")
+def i02_registry(t):
+    rows = t.region.select((F.lit(1) + F.col("r_regionkey")).alias("n"), F.lit(None).cast("int").alias("up"), F.col("r_name").alias("title"), F.lit(1).alias("lvl"))
+    rows = rows.union(t.nation.select(F.lit(100) + F.col("n_nationkey"), F.lit(1) + F.col("n_regionkey"), "n_name", F.lit(2))).union(t.customer.select(F.lit(1000) + F.col("c_custkey"), F.lit(100) + F.col("c_nationkey"), "c_name", F.lit(3)))
+    p, g = rows.select(F.col("n").alias("up"), F.col("up").alias("upper"), F.col("title").alias("_p")), rows.select(F.col("n").alias("upper"), F.col("title").alias("_g"))
+    whole = rows.join(p, "up", "left").join(g, "upper", "left").withColumn("path", F.concat_ws("/", "_g", "_p", "title"))
+    n, by = F.col("n"), lambda m, k=0: F.col("n") % m == k
+    name = lambda c: F.format_string("kp_%06d", c.cast("long"))
+    parent = F.when(by(83), n + 900000).when((n > 1100) & by(202), n + 1).when((n > 1100) & by(202, 1), n - 1).otherwise(F.col("up"))
+    nodes = whole.select(
+        F.when(by(97), F.concat(F.lit("x"), n.cast("string"))).when(by(89) & (n > 1000), name(n + 1)).otherwise(name(n)).alias("id"), F.when(parent.isNotNull(), name(parent)).alias("parent"),
+        F.when(by(79), "a/b").when(by(73), "  ").otherwise(F.col("title")).alias("title"), F.when(by(71), F.col("lvl") + 1).otherwise(F.col("lvl")).alias("level"), F.when(by(67), 0).otherwise(n % 1000 + 1).alias("sort_order"),
+        F.when(by(61), "lost").otherwise(F.col("path")).alias("path"), F.when(~by(59), F.array().cast("array<string>")).alias("aliases"), F.when(by(53), "gone").when(by(47), "deprecated").otherwise("active").alias("status"),
+        F.when(by(94), F.array(name(n), F.lit("kp_000001"))).when(by(43), F.array(F.lit("kp_999999"))).otherwise(F.array().cast("array<string>")).alias("replacements"),
+    )
+    return taxonomy.problems(nodes, 1500)
+
+
+@query("i04_preorder", f"""with recursive d as (select id, 0 as level, cast([] as struct(s bigint, i varchar)[]) as k from {TREE} where id = 'r1'
+union all select t.id, d.level + 1, list_append(d.k, {{'s': cast(t.sort_order as bigint), 'i': t.id}}) from {TREE} t join d on t.parent = d.id)
+select id, level, row_number() over (order by k) as position from d where level > 0""")
+def i04_preorder(t):
+    return taxonomy.preorder(tree(t), "r1")
+
+
 @query("i03_children", f"select parent, array_to_string(list(id order by sort_order, id), ',') as children from {TREE} group by parent")
 def i03(t):
     return hierarchy.children(tree(t)).select("parent", F.array_join("children", ",").alias("children"))
@@ -256,3 +308,11 @@ def j14(t):
     ids = x.select("item_id", F.coalesce(F.lead("item_id").over(Window.orderBy("item_id")), F.col("item_id")).alias("next"))  # a stated list of items
     pairs = x.join(ids, "item_id").join(x.select(F.col("item_id").alias("next"), F.col("x").alias("y")), "next")
     return pairs.select("item_id", F.round(queueing.error_rate(F.col("x"), F.col("y")), 6).alias("cer"))
+
+
+@query("j14_nfkc")
+def j14_nfkc(t):
+    """Each benchmark text as a reader with other letter widths and line breaks would give it; no SQL here knows the form."""
+    wide = F.translate(F.col("text"), "abcdefgh0123456789 ", "ａｂｃｄｅｆｇｈ０１２３４５６７８９　")
+    worse = F.when(F.col("item_id") % 3 == 0, F.regexp_replace(wide, "[eé]", "o")).otherwise(wide)
+    return queueing.compared(t.benchmark.select("item_id", "text", worse.alias("read")), "text", "read").select("item_id", "exact", "distance", "rate")

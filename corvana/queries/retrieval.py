@@ -122,6 +122,43 @@ def h08(t):
     return routing.ranked(lexical(t), "none").select("qid", F.round(routing.confidence(F.col("score"), F.col("runner_up"), F.lit(False)), 1).alias("confidence"))
 
 
+#: Records (rec, name, category, priority) and their typed terms; stages and cosines of a text go by its language and number.
+RECORDS = [("en", "english prose", "the", 61, 0), ("de", "deutsch", "und", 50, 1), ("fr", "les textes", "fr", None, 2), ("es", "texto", "ción", 55, 3), ("junk", "junk", "%%%", 5, 4)]
+TYPED = [("en", "trigger", " the "), ("en", "trigger", "and"), ("en", "hint", "ing "), ("en", "negative", "der "), ("de", "trigger", "Die "), ("de", "card", "ung"), ("de", "hint", "der"), ("fr", "trigger", "les"), ("fr", "card", "que"), ("fr", "card", "que"), ("es", "trigger", "ción"), ("es", "hint", "los"), ("es", "negative", "the"), ("junk", "trigger", "!!"), ("junk", "negative", "e"), ("junk", "negative", "a")]
+KINDS = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TYPED)
+LISTED = ", ".join(f"('{a}', '{b}', '{c}', {d or 'null'}, {e})" for a, b, c, d, e in RECORDS)
+COMPOSED = f"""with r(rec, name, category, priority, position) as (values {LISTED}), y(rec, kind, term) as (values {KINDS}),
+w as (select rec, lower(trim(term)) as term, case kind when 'trigger' then 28 + least(length(term), 8) when 'hint' then 14 when 'card' then 10 else -35 end as weight from y
+union all select rec, lower(trim(name)), 4 from r union all select rec, lower(trim(category)), 4 from r),
+l as (select doc_id as qid, rec, sum(weight) as added from documents join w on contains(lower(text), w.term) group by 1, 2),
+q as (select doc_id as qid, r.rec, position, coalesce(priority, 50) // 10 + coalesce(added, 0) as lexical, case when lang = r.rec and doc_id % 3 = 0 then 100 else 0 end as bonus,
+case when doc_id % 7 = position then cast(floor(greatest(0, (doc_id % 41 - 20) / 20.0) * 15) as bigint) else 0 end as semantic from documents cross join r left join l on l.qid = doc_id and l.rec = r.rec),
+n as (select *, lexical + bonus + semantic as score, row_number() over (partition by qid order by lexical + bonus + semantic desc, bonus desc, position) as rank from q),
+top as (select qid, max(score) as top from n group by qid)"""
+
+
+def composed(t):
+    """Every document routed as a query: a third of them have a stage, and one record in seven numbers a cosine."""
+    records = t._spark.createDataFrame(RECORDS, "rec string, name string, category string, priority int, position int")
+    terms = t._spark.createDataFrame(TYPED, "rec string, kind string, term string")
+    number = F.col("doc_id") % 7
+    near = F.when(number < len(RECORDS), F.map_from_arrays(F.array(F.element_at(F.array(*(F.lit(r[0]) for r in RECORDS)), F.least(number, F.lit(len(RECORDS) - 1)).cast("int") + 1)), F.array((F.col("doc_id") % 41 - 20) / 20.0)))
+    queries = t.documents.select(F.col("doc_id").alias("qid"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("stage"), near.alias("semantic"))
+    return routing.routed(queries, records, terms, "de")
+
+
+@query("h06_composed", f"{COMPOSED} select qid, rec, rank, cast(score as bigint) as score, cast(lexical as bigint) as lexical, bonus, semantic from n join top using (qid) where rank <= 2 and top > 0 union all select qid, 'de', 1, 0, 0, 0, 0 from top where top <= 0")
+def h06_composed(t):
+    return composed(t)
+
+
+@query("h08_staged", f"""{COMPOSED} select qid, rec, cast(score as bigint) as score, round(least(0.98, greatest(0.35, case when staged then 0.72 else 0.58 end + least((score - second) / 220.0, 0.18) + least(score / 500.0, 0.08))), 2) as confidence
+from (select qid, max(case when rank = 1 then rec end) as rec, max(case when rank = 1 then score end) as score, max(case when rank = 2 then score end) as second, qid % 3 = 0 as staged from n group by qid) where score > 0
+union all select qid, 'de', 0, 0.42 from top where top <= 0""")
+def h08_staged(t):
+    return routing.with_confidence(composed(t).withColumn("staged", F.col("qid") % 3 == 0))
+
+
 @query("h05_semantic", f"select qid, id, cast(floor(greatest(0, score) * 15) as bigint) as bonus from ({TOP} % 50 = 0)")
 def h05(t):
     return r.scored(asked(t, "vec_id % 50 = 0"), vectors(t)).select("qid", "id", routing.semantic(F.col("score")).alias("bonus"))
