@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import registry
-from .queries import audits, consensus, corpus, relational, retrieval, reviews  # noqa: F401
+from .queries import audits, consensus, corpus, exams, relational, retrieval, reviews  # noqa: F401
 
 
 def queries() -> dict:

@@ -9,15 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import text as t
 from .tables import numbered, running, saved
 
 
-def risk_flags(text: Column, confidence: Column) -> Column:
-    rules = {"empty": F.trim(text) == "", "replacement_char": F.contains(text, F.lit("�")), "low_confidence": confidence < 0.92, "cjk": text.rlike(r"[\x{3400}-\x{9fff}]"), "fraction_or_root": text.rlike(r"\\(frac|sqrt)"), "single_char": F.length(F.trim(text)) == 1, "unbalanced": ~t.balanced(text)}
-    return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items())))
-
-
 def consensus(candidates: DataFrame, required: list[str]) -> DataFrame:
     """(key, winner, status, disagrees) from usable candidates (key, engine, norm): a winner has all required engines."""
     groups = candidates.groupBy("key", "norm").agg(F.collect_set("engine").alias("engines"))
@@ -37,10 +31,6 @@ def pending(hashes: DataFrame, done: DataFrame) -> DataFrame:
     return hashes.select("sha").distinct().join(done, "sha", "left_anti")
 
 
-def conflicts(rows: DataFrame, key: str, signature: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.countDistinct(signature).alias("n")).where("n > 1")
-
-
 def best_candidate(rows: DataFrame, key: str, score: str, order: str) -> DataFrame:
     """The highest score of each key; of equals the first."""
     others = [c for c in rows.columns if c != key]
