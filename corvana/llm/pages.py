@@ -2,11 +2,15 @@
 
 A page is read once into blocks of text between block-level tags, with the elements each lies in. First pass: a block is bad
 in a boilerplate element (by tag, role, class or id) or with many links; good in an article, or long with enough stop words;
-bad if long without them; and else undecided. Names decide alone where all their words say boilerplate (`cookie-notice-box`);
-where a name has other words too (`legal analysis`), or in an article only words that may as well name a part of it
-(`tags`, `legal`), density, length and links decide. Second pass: an undecided block takes the label of its nearest
-decided neighbour, of its own container before others and, at equal distance, of the one that follows if it is a heading.
-An article's long blocks are good whatever their stop words: they may be code, tables or another language.
+bad if long without them; and else undecided. Names decide alone where all their words say boilerplate (`cookie-notice-box`),
+and whatever their other words where one is never said of an article (`reader-comments`, `ad-slot`), unless it only tells that
+such a part is there or not (`comments-open`, `no-ads`); where a name has other words too (`legal analysis`), or in an article
+only words that may as well name a part of it (`tags`, `legal`), density, length and links decide. A block that is one link is
+undecided in an article, where it may be a source, and elsewhere if it is short and in no list: it may be a byline. Second
+pass: an undecided block takes the label of its nearest decided neighbour, of its own container before others and, at equal
+distance, of the one that follows if it is a heading; a heading looks past rows of links. An article's long blocks are good
+whatever their stop words: they may be code, tables or another language. Where no block of a page is good, those are that no
+name and no link speaks against: a page of short paragraphs, or plain text.
 
 Both passes are linear in the page: tags are found by one scan, open elements are counted, and nearest neighbours come from
 a sweep in each direction.
@@ -47,7 +51,10 @@ BAD_NAMES = re.compile(
 )
 #: Bad names that also name a part of an article, and words of a name that say nothing.
 WEAK = frozenset("legal tag tags search discussion toc related alert alerts overlay disclaimer".split())
-NEUTRAL = frozenset("box block list wrapper wrap section area container content item items bar panel inner outer row col column left right top bottom main site page global primary secondary small large sticky fixed floating inline links link button buttons icons text title heading header body module component group the and of".split())
+NEUTRAL = frozenset("box block list wrapper wrap section area container content item items bar panel inner outer row col column left right top bottom main site page global primary secondary small large sticky fixed floating inline links link button buttons icons text title articles posts stories topics reading products heading header body module component group the and of".split())
+#: Names that are never an article's, whatever stands beside them, and words that make them say what a page has or has not.
+STRONG = re.compile(r"ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|cookies?|consent|gdpr|comments?|disqus|replies|shar(?:e|ing)|social|newsletter|subscri(?:be|ption)|popups?|modal")
+ABOUT = frozenset("no not without has have with open closed enabled disabled off on hide hidden allow allowed".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Frequent words of the four languages.
 STOP_WORDS = frozenset("""the of and to a in is that it for was on as be with by this are at from or an he his not have they you which had were but we her she there been their has will would all if can who
@@ -59,11 +66,14 @@ WORD = re.compile(r"[^\W\d_]+").findall
 
 
 class Block:
-    __slots__ = ("bad", "container", "heading", "in_article", "label", "linked", "parts", "text")
+    __slots__ = ("anchors", "article", "bad", "container", "dull", "heading", "in_article", "label", "last", "linked", "listed", "parts", "row", "text")
 
-    def __init__(self, bad: int, in_article: bool, container: int, heading: bool):
+    def __init__(self, bad: int, in_article: bool, container: int, heading: bool, article: bool = False, listed: bool = False):
         self.parts, self.linked, self.text = [], 0, ""
         self.bad, self.in_article, self.container, self.heading, self.label = bad, in_article, container, heading, None
+        self.article, self.listed = article, listed  # in an article element, in a list
+        self.anchors, self.last = 0, None  # how many links it has, and the last of them
+        self.row = self.dull = False  # bad for its links alone, or for its lack of stop words
 
 
 def named(name: str, in_article: bool) -> int:
@@ -71,6 +81,10 @@ def named(name: str, in_article: bool) -> int:
     found = [m.group().lower() for m in BAD_NAMES.finditer(name)]
     if not found:
         return 0
+    for token in name.lower().split():
+        words = re.split(r"[_-]+", token)
+        if any(map(STRONG.fullmatch, words)) and ABOUT.isdisjoint(words):
+            return 3
     others = [w for w in re.split(r"[\s_-]+", BAD_NAMES.sub(" ", name).lower()) if w and not w.isdigit() and w not in NEUTRAL]
     if others:
         return 1
@@ -134,7 +148,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text in page order."""
     out: list[Block] = []
     held = Open()
-    containers, at, size, quotes = 0, 0, len(page), True
+    containers, at, end_of_page, quotes, anchor = 0, 0, len(page), True, 0
     endless: set[str] = set()
     now: Block | None = None
 
@@ -143,14 +157,16 @@ def blocks(page: str) -> list[Block]:
         if not text or now is None and text.isspace():
             return
         if now is None:
-            now = Block(*held.now(), any(held.counts.get(h) for h in HEADINGS))
+            now = Block(*held.now(), any(held.counts.get(h) for h in HEADINGS), bool(held.counts.get("article")), bool(held.counts.get("li")))
             out.append(now)
         text = html.unescape(text)
         now.parts.append(text)
-        if held.counts.get("a"):
-            now.linked += len(text.strip())
+        if held.counts.get("a") and (size := len(text.strip())):
+            now.linked += size
+            now.anchors += now.last != anchor
+            now.last = anchor
 
-    while at < size:
+    while at < end_of_page:
         begin = page.find("<", at)
         if begin < 0:
             add(page[at:])
@@ -164,7 +180,7 @@ def blocks(page: str) -> list[Block]:
         if not m:
             end = "-->" if page.startswith("<!--", begin) else ">"
             found = page.find(end, begin + 2)
-            at = found + len(end) if found >= 0 else size
+            at = found + len(end) if found >= 0 else end_of_page
             continue
         rest = REST.match(page, m.end()) if quotes else None
         if rest:
@@ -172,7 +188,7 @@ def blocks(page: str) -> list[Block]:
         else:
             quotes = False
             found = page.find(">", m.end())
-            at = found + 1 if found >= 0 else size
+            at = found + 1 if found >= 0 else end_of_page
         tag, attributes = m[2].lower(), page[m.end() : at - 1]
         if m[1]:
             if tag in BLOCKS:
@@ -182,7 +198,7 @@ def blocks(page: str) -> list[Block]:
         if tag in RAW and tag not in endless:
             end = RAW[tag].search(page, at)
             if end or tag in ("script", "style", "textarea", "title"):
-                at = end.end() if end else size
+                at = end.end() if end else end_of_page
                 continue
             endless.add(tag)
         if tag in BLOCKS:
@@ -192,6 +208,7 @@ def blocks(page: str) -> list[Block]:
             add(" ")
         if tag in VOID:
             continue
+        anchor += tag == "a"
         bad, article, container = held.now()
         bad = max(bad, badness(tag, attributes, article))
         if tag in CONTAINERS:
@@ -207,26 +224,35 @@ def first_pass(b: Block) -> bool | None:
     words = WORD(b.text.lower())
     linked = b.linked / len(b.text)
     stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-    if b.bad == 3 or linked > LINKS_HIGH:
+    if b.bad == 3:
+        return False
+    if linked > LINKS_HIGH:
+        if not b.bad and b.anchors == 1 and (b.article or not b.listed and len(b.text) < LONG):
+            return None
+        b.row = not b.bad and not b.listed
         return False
     if len(b.text) >= LONG:
         if b.bad:
             return stops >= STOPS_HIGH and linked <= LINKS_HIGH / 2
-        return b.in_article or stops >= STOPS_HIGH
+        b.dull = not b.in_article and stops < STOPS_HIGH
+        return not b.dull
     return False if b.bad == 2 else None
 
 
 def sweep(found: list[Block], order: range) -> list[tuple[int | None, int | None, int | None]]:
-    """For each block the last decided one before it in the order: of its container, of its side of the article, of all."""
+    """For each block the last decided one before it in the order: of its container, of its side of the article, of all; for a
+    heading, of those that are no rows of links."""
     last: dict = {}
     near = [(None, None, None)] * len(found)
     for k in order:
         b = found[k]
         keys = (("c", b.container), ("a", b.in_article), ("all",))
-        near[k] = tuple(last.get(x) for x in keys)
+        near[k] = tuple(last.get((b.heading, *x)) for x in keys)
         if b.label is not None and b.bad != 3:
             for x in keys:
-                last[x] = k
+                last[False, *x] = k
+                if not b.row:
+                    last[True, *x] = k
     return near
 
 
@@ -234,11 +260,15 @@ def decide(found: list[Block]) -> None:
     """Both passes over the blocks of a page."""
     for b in found:
         b.label = first_pass(b)
+    if not any(b.label for b in found):
+        for b in found:
+            b.label = not b.bad and (b.label is None or b.dull)
+        return
     before, after = sweep(found, range(len(found))), sweep(found, range(len(found) - 1, -1, -1))
     labels = {}
     for k, b in enumerate(found):
         if b.label is None:
-            labels[k] = b.in_article
+            labels[k] = b.in_article  # no decided block but those in boilerplate elements
             for x, y in zip(before[k], after[k], strict=True):
                 if x is not None or y is not None:
                     nearer = y if x is None else x if y is None else x if k - x < y - k or k - x == y - k and not b.heading else y
