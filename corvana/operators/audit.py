@@ -48,11 +48,6 @@ def duplicates(ids: DataFrame, key: str) -> DataFrame:
     return ids.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def level_jumps(headings: DataFrame, key: str, pos: str, level: str) -> DataFrame:
-    before = F.lag(level).over(Window.partitionBy(key).orderBy(pos))
-    return headings.withColumn("before", before).where(F.col(level) - F.col("before") > 1)
-
-
 def repeated_noise(text: Column) -> Column:
     return text.rlike(r"(.{5,20})\1{3,}")
 
@@ -133,6 +128,39 @@ def normalized_segments(rows: DataFrame) -> DataFrame:
     return out.where((F.col("text") != "") & ~F.col("text").rlike(r"^[\W_]*$"))
 
 
+#: Longest text in which signs of a platform are noise, and how many of its words make it so.
+SHORT_SEGMENT, PLATFORM_WORDS = 60, 2
+
+
+def cleaned_segments(rows: DataFrame, replacements: dict[str, str] | None = None, noise_only: str | None = None, platform: str | None = None, words: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(segments, counters) of transcript rows (id, idx, and begin, end and text under any of their names).
+
+    White space becomes single blanks, then wrong words are replaced in order. A segment is dropped if nothing is left, all of it is
+    noise (`noise_only`), it is short and shows a sign of the platform (`platform`, or two of `words`), it has no letter and no
+    CJK character, or its times are no numbers. A missing time is 0, a missing end its begin; an end before the begin takes it.
+    counters has one row an id: raw, kept and dropped segments."""
+    have = set(rows.columns)
+    pick = lambda *names: F.coalesce(*(F.col(c).cast("string") for c in names if c in have), F.lit(None).cast("string"))
+    line = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    first, last, raw = pick("start", "s", "begin"), pick("end", "e", "finish"), line(pick("text", "sentence", "content"))
+    begin, end = first.try_cast("double"), last.try_cast("double")
+    broken = (first.isNotNull() & begin.isNull()) | (last.isNotNull() & end.isNull())
+    begin = F.coalesce(begin, F.lit(0.0))
+    end = F.coalesce(F.nullif(end, F.lit(0.0)), begin)
+    text = raw
+    for wrong, right in (replacements or {}).items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    hits = sum((F.contains(F.col("text"), F.lit(w)).cast("int") for w in words), F.lit(0))
+    own = rows.select("id", "idx", broken.alias("_broken"), begin.alias("begin"), F.greatest(begin, end).alias("end"), text.alias("text"), raw.alias("raw_text"))
+    short = (F.length("text") <= SHORT_SEGMENT) & ((F.col("text").rlike(platform) if platform else F.lit(False)) | (hits >= PLATFORM_WORDS))
+    noise = (F.col("text") == "") | short | ~F.col("text").rlike(r"[\x{4e00}-\x{9fff}A-Za-z]")
+    if noise_only:
+        noise = noise | F.col("text").rlike(rf"\A(?:{noise_only})\z")
+    judged = own.withColumn("_drop", F.col("_broken") | noise)
+    counters = judged.groupBy("id").agg(F.count("*").alias("raw"), F.count_if(~F.col("_drop")).alias("kept"), F.count_if("_drop").alias("dropped"))
+    return judged.where(~F.col("_drop")).select("id", "idx", "begin", "end", "text", "raw_text"), counters
+
+
 def buckets(rows: DataFrame, key: str, begin: str, text: str, seconds: int = 120, longest: int = 1600, most: int = 80) -> DataFrame:
     """Texts of tumbling buckets in order of time, at most `most` buckets a key, each cut to `longest` characters."""
     parts = F.array_sort(F.collect_list(F.struct(begin, text)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import running, saved
 from .taxonomy import below
 
 
@@ -40,15 +41,19 @@ def retarget(text, old: str, new: str):
 
 def parsed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, gaps) of indented bullets: lines (doc, pos, line), two blanks a level. A node's parent is the last bullet one level
-    up, if none less deep lies between; ids count the bullets of a document, sort_order those of a parent."""
+    up, if none less deep lies between; ids count the bullets of a document, sort_order those of a parent. The last bullet of each
+    level is carried along the lines by ranges, so an outline may be as long as the table."""
     depth = F.length(F.regexp_extract("line", r"^( *)-\s+\S", 1))
     rows = lines.where(F.col("line").rlike(r"^ *-\s+\S")).where(depth % 2 == 0)
-    rows = rows.select("doc", "pos", (depth / 2 + 1).cast("int").alias("level"), F.trim(F.regexp_extract("line", r"^ *-\s+(.+?)\s*$", 1)).alias("title"))
-    w = Window.partitionBy("doc").orderBy("pos")
-    rows = rows.withColumn("n", F.row_number().over(w))
-    seen = F.collect_list(F.struct("level", "n")).over(w.rowsBetween(Window.unboundedPreceding, -1))  # one document's outline
-    nearest = F.aggregate(F.reverse(seen), F.struct(F.lit(0).alias("n"), F.lit(False).alias("done")), lambda s, x: F.when(s["done"] | (x["level"] >= F.col("level")), s).otherwise(F.struct(F.when(x["level"] == F.col("level") - 1, x["n"]).otherwise(F.lit(0)).alias("n"), F.lit(True).alias("done"))))
-    rows = rows.withColumn("up", F.nullif(nearest["n"], F.lit(0)))
+    rows = rows.select("doc", "pos", (depth / 2 + 1).cast("int").alias("level"), F.trim(F.regexp_extract("line", r"^ *-\s+(.+?)\s*$", 1)).alias("title"), F.lit(1).alias("_one"))
+    rows = saved(running(rows, "doc", ["pos"], {"n": (F.sum, "_one")}).drop("_one"), "bullets")
+    deepest = rows.agg(F.max("level")).first()[0] or 1
+    marks = {f"_l{k}": F.when(F.col("level") == k, F.col("n")) for k in range(1, deepest)}
+    rows = running(rows.withColumns({f"_m{k}": c for k, c in marks.items()}), "doc", ["n"], {k: (F.max, f"_m{k}") for k in marks}) if marks else rows
+    last = F.array(*(F.coalesce(k, F.lit(0)) for k in marks)) if marks else F.array(F.lit(0).cast("long"))
+    upper, above = F.try_element_at(last, F.col("level") - 1), F.array_max(F.slice(last, 1, F.greatest(F.col("level") - 2, F.lit(0))))
+    up = F.when((F.col("level") > 1) & (upper > F.coalesce(above, F.lit(0))), F.nullif(upper, F.lit(0)))
+    rows = rows.select("doc", "pos", "level", "title", F.col("n").cast("int").alias("n"), up.cast("int").alias("up"))
     name = lambda c: F.when(c.isNotNull(), F.format_string("kp_%06d", c))
     order = F.row_number().over(Window.partitionBy("doc", "up").orderBy("pos"))
     nodes = rows.select("doc", name(F.col("n")).alias("id"), name(F.col("up")).alias("parent"), "level", "title", order.cast("int").alias("sort_order"))

@@ -192,7 +192,3 @@ class Store:
 
     def reset(self) -> None:
         self.spark.sql(f"drop namespace if exists {self.namespace} cascade")
-
-
-def window_first(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")

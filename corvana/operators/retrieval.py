@@ -131,14 +131,6 @@ def merged(dense: DataFrame, other: DataFrame, source: list[str]) -> DataFrame:
     return dense.unionByName(other).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def reciprocal_rank(lists: list[DataFrame], k: int = 60) -> DataFrame:
-    """Fusion by rank, for lists whose scores have no common scale (an addition)."""
-    every = lists[0]
-    for more in lists[1:]:
-        every = every.unionByName(more)
-    return every.groupBy("qid", "id").agg(F.sum(1 / (F.col("rank") + F.lit(k))).alias("score"))
-
-
 def within_budget(ranked: DataFrame, tokens: int, longest: int = 500) -> DataFrame:
     """Rows (qid, rank, text) while their texts, cut to `longest` characters, fit the tokens."""
     cut = ranked.withColumn("text", F.substring("text", 1, longest)).withColumn("tokens", F.ceil(F.octet_length("text") / 3))

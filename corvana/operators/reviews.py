@@ -171,6 +171,16 @@ def review_problems(reviews: DataFrame, assets: DataFrame, references: DataFrame
     return known.select(*reviews.columns, broken(rules).alias("problems"))
 
 
+def by_basename(reviews: DataFrame, assets: DataFrame) -> DataFrame:
+    """reviews(path, ..) with the key of the asset (key, path) at their path, else of the one asset that has the path's last part; null
+    where none or several do."""
+    last = lambda c: F.regexp_extract(F.replace(c, F.lit("\\"), F.lit("/")), r"([^/]+)$", 1)
+    exact = assets.groupBy("path").agg(F.min("key").alias("_exact"))
+    named = assets.groupBy(last(F.col("path")).alias("_base")).agg(F.when(F.countDistinct("key") == 1, F.min("key")).alias("_only"))
+    rows = reviews.withColumn("_base", last(F.col("path"))).join(exact, "path", "left").join(named, "_base", "left")
+    return rows.select(*reviews.columns, F.coalesce("_exact", "_only").alias("key"))
+
+
 def apply_reviews(docs: DataFrame, references: DataFrame, reviews: DataFrame) -> DataFrame:
     """docs(doc_id, text) with every reviewed reference replaced, and the sorted keys that stay unresolved."""
     told = references.join(reviews.select("key", "replacement"), "key", "left")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .matching import MOST_TERMS, automaton, hits
 from .sizes import small
+from .tables import numbered, saved
 
 
 #: What a term of each kind adds; a trigger adds its length too, up to `LONGEST`. A record's own name and category.
@@ -134,11 +135,20 @@ def terms(s: Column) -> Column:
     return F.transform(parts, lambda x: F.regexp_replace(F.trim(x), "^`+|`+$", ""))
 
 
+#: Hashes that one array holds.
+HASHES = 4096
+
+
 def content_hash(records: DataFrame, key: str) -> DataFrame:
-    """One row: a hash of all records in canonical form, in key order: of each record's hash, by the order of keys."""
+    """One row: a hash of all records in canonical form, in key order. Hashes of records are hashed in blocks of `HASHES`, blocks
+    again, until one is left, so no array grows with the registry; an empty registry is the hash of nothing."""
     own = F.sha2(F.to_json(F.struct(*sorted(records.columns))), 256)
-    listed = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), own.alias("h"))))  # one pair a record of a registry
-    return records.agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["h"]), ""), 256).alias("sha256"))
+    at = numbered(records.select(F.col(key).alias("_k"), own.alias("_h")), "_k", "_h", name="_n").select((F.col("_n") - 1).alias("_n"), "_h")
+    while True:
+        listed = F.array_sort(F.collect_list(F.struct("_n", "_h")))
+        at = saved(at.groupBy(F.floor(F.col("_n") / HASHES).alias("_b")).agg(F.sha2(F.array_join(F.transform(listed, lambda x: x["_h"]), ""), 256).alias("_h")).select(F.col("_b").alias("_n"), "_h"), "hashes")
+        if at.count() <= 1:
+            return at.agg(F.coalesce(F.max("_h"), F.sha2(F.lit(""), 256)).alias("sha256"))
 
 
 def stale(records: DataFrame, key: str, cached: str | None) -> bool:

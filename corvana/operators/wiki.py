@@ -218,13 +218,6 @@ def video_issues(videos: DataFrame, tolerance: float = 5.0, frames: int = 3) ->
     )
 
 
-def status_cube(rows: DataFrame, *by: str) -> DataFrame:
-    """Counts by each column alone, and of all: one pass over grouping sets."""
-    sets = ", ".join(f"({c})" for c in by) + ", ()"
-    rows.createOrReplaceTempView("_status_rows")
-    return rows.sparkSession.sql(f"select {', '.join(by)}, count(*) as n from _status_rows group by grouping sets ({sets})")
-
-
 def shared_hashes(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Hashes that both sets have, which must be none."""
     return a.select(column).where(F.col(column).isNotNull()).intersect(b.select(column))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, candidates, exams
+from ..operators import audit, candidates, exams, hierarchy, ingest, routing, scans, wiki
 from ..plans.registry import query
 
 #: What is put behind every text as a reader's formula, by the document's number.
@@ -112,3 +112,48 @@ def f15_texts(t):
 def j05_campaigns(t):
     found = exams.campaign_status(t.orders.select(F.col("o_custkey").alias("campaign"), F.col("o_orderstatus").alias("status")), ["F", "O"])
     return found.select("campaign", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts"), "complete")
+
+
+@query("f10_both_sides", "select c_custkey as k, 'left_only' as side from customer where c_custkey % 3 > 0 and c_custkey not in (select o_custkey from orders where o_orderkey % 5 = 0) union all select distinct o_custkey, 'right_only' from orders where o_orderkey % 5 = 0 and o_custkey % 3 = 0")
+def f10_both_sides(t):
+    """Customers and orders with some keys taken out on either side."""
+    return wiki.two_way(t.customer.where("c_custkey % 3 > 0").select(F.col("c_custkey").alias("k")), t.orders.where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k")), "k")
+
+
+@query("f09_groups", "select id, array_to_string(list_sort(list_filter(['click', 'purchase', 'signup', 'view'], lambda x: not list_contains(l, x))), ',') as missing from (select event_id // 6 as id, list(distinct event_type) as l from events group by 1) where missing <> ''")
+def f09_groups(t):
+    """Six events in a row as a group."""
+    rows = audit.incomplete(t.events.withColumn("id", F.floor(F.col("event_id") / 6)), "id", "event_type", ["click", "purchase", "signup", "view"])
+    return rows.select("id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("d12_unknown", "select event_id, user_id from events where user_id not in (select c_custkey from customer where c_custkey % 4 > 0)")
+def d12_unknown(t):
+    """Events against customers with every fourth taken out."""
+    return ingest.missing_parents(t.events.select("event_id", "user_id"), t.customer.where("c_custkey % 4 > 0").select("c_custkey"), "user_id", "c_custkey")
+
+
+@query("h02_texts", "select doc_id, len(l) as n, sha256(array_to_string(l, '|')) as sha from (select doc_id, list_transform(list_filter(string_split_regex(text, '[,，;；、]'), lambda x: trim(x) <> ''), lambda x: regexp_replace(trim(x), '^`+|`+$', '', 'g')) as l from documents)")
+def h02_texts(t):
+    found = routing.terms(F.col("text"))
+    return t.documents.select("doc_id", F.size(found).cast("long").alias("n"), F.sha2(F.array_join(found, "|"), 256).alias("sha"))
+
+
+@query("i12_texts", """select doc_id, sha256(case doc_id % 3 when 0 then rtrim(text, ' ') || chr(10) || chr(10) || '<!-- m:begin -->' || chr(10) || '- ' || source || chr(10) || '<!-- m:end -->' || chr(10)
+when 1 then '<!-- m:begin -->' || chr(10) || 'K' || chr(10) || '- ' || source || chr(10) || '<!-- m:end -->' || chr(10) || text else text || chr(10) || '- ' || source end) as sha from documents""")
+def i12_texts(t):
+    """A line put into whole texts: without a block, with one, and with the line there already."""
+    k, line = F.col("doc_id") % 3, F.concat(F.lit("- "), "source")
+    page = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("<!-- m:begin -->\nK\n<!-- m:end -->\n"), "text")).otherwise(F.concat("text", F.lit("\n"), line))
+    once = hierarchy.with_managed_line(page, "m", line)
+    return t.documents.select("doc_id", F.sha2(hierarchy.with_managed_line(once, "m", line), 256).alias("sha"))
+
+
+@query("g29_texts", r"""select doc_id, sha256(text || case doc_id % 3 when 0 then ' F_{\text{net}}=ma' when 1 then ' v_{0}=at' else ' x_{\perp}' end) as sha, case doc_id % 3 when 1 then '' else 'perp' end as found from documents""")
+def g29_texts(t):
+    """Formulas behind whole texts, of which one has a subscript that a rule knows."""
+    k = F.col("doc_id") % 3
+    told = F.concat("text", F.when(k == 0, r" F_{\!\perp\!}=ma").when(k == 1, " v_{0}=at").otherwise(r" x_{\perp}"))
+    marks = [r"\perp"]
+    found = F.array_join(F.transform(scans.garbled(told, marks), lambda x: F.replace(x, F.lit("\\"), F.lit(""))), ",")
+    return t.documents.select("doc_id", F.sha2(scans.repaired(told, marks, [(r"=\s*m\s*a\b", r"\text{net}")]), 256).alias("sha"), found.alias("found"))

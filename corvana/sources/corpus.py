@@ -81,8 +81,3 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     if row["total_chunks"] != found["chunks"].count() or row["total_vectors"] != row["total_chunks"]:
         raise ValueError(f"{path}: the manifest does not fit its tables")
     return found
-
-
-def first_writer(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

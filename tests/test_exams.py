@@ -202,3 +202,55 @@ def test_campaigns_and_streams(spark):
     assert exams.audio_streams(streams, 150, True).count() == 3
     with pytest.raises(ValueError, match="no stream of 150 or more: w"):
         exams.audio_streams(streams, 150)
+
+
+def test_outlines_of_any_depth(spark):
+    from corvana.operators import hierarchy
+
+    text = ["- a", "  - b", "    - c", "        - skips a level", "  - d", "    - e", "no bullet", "- f", "    - no parent", "  - g", "- h", "    - none either", "      - nor here"]
+    rows = [("x", n, line) for n, line in enumerate(text)] + [("y", 0, "  - first"), ("y", 1, "- second")]
+    nodes, gaps = hierarchy.parsed(spark.createDataFrame(rows, "doc string, pos int, line string"))
+    got = {(r["doc"], r["title"]): (r["id"], r["parent"], r["level"], r["sort_order"]) for r in nodes.collect()}
+    assert got["x", "c"] == ("kp_000003", "kp_000002", 3, 1) and got["x", "e"] == ("kp_000006", "kp_000005", 3, 1) and got["x", "d"] == ("kp_000005", "kp_000001", 2, 2)
+    assert got["x", "g"] == ("kp_000009", "kp_000007", 2, 1) and got["y", "second"] == ("kp_000002", None, 1, 2)
+    assert sorted((r["doc"], r["title"]) for r in gaps.collect()) == [("x", "no parent"), ("x", "none either"), ("x", "skips a level"), ("y", "first")]
+    assert got["x", "nor here"][1] == "kp_000011"  # what hangs below a gap has its own parent
+    assert hierarchy.parsed(spark.createDataFrame([], "doc string, pos int, line string"))[0].count() == 0
+
+
+def test_hash_of_a_registry(spark, monkeypatch):
+    from corvana.operators import routing
+
+    frame = spark.createDataFrame([(f"r{k:03d}", k) for k in range(50)], "name string, v int")
+    one = routing.content_hash(frame, "name").first()[0]
+    monkeypatch.setattr(routing, "HASHES", 4)
+    two = routing.content_hash(frame.repartition(5), "name").first()[0]
+    assert len(one) == len(two) == 64 and two == routing.content_hash(frame.orderBy(F.desc("v")), "name").first()[0]
+    assert two != routing.content_hash(frame.where("v < 49"), "name").first()[0]
+    assert routing.content_hash(frame.limit(0), "name").count() == 1
+
+
+def test_cleaned_segments(spark):
+    rows = [
+        ("v", 0, "1.5", "0.5", " say\n作公  now "),
+        ("v", 1, "2", None, "啊啊"),
+        ("v", 2, "3", "4", "follow and like"),
+        ("v", 3, "3", "4", "follow and like " + "but this is much longer than what a platform's own line would ever be"),
+        ("v", 4, "x", "4", "bad time"),
+        ("v", 5, None, "9", "12:30 [..]"),
+        ("v", 6, None, None, "kept"),
+        ("w", 0, "1", "2", ""),
+    ]
+    df = spark.createDataFrame(rows, "id string, idx int, s string, finish string, sentence string")
+    kept, counters = audit.cleaned_segments(df, {"作公": "做功"}, noise_only="啊+", platform="subscribe", words=["follow", "like"])
+    got = {(r["id"], r["idx"]): (r["begin"], r["end"], r["text"], r["raw_text"]) for r in kept.collect()}
+    assert got["v", 0] == (1.5, 1.5, "say 做功 now", "say 作公 now") and got["v", 6] == (0.0, 0.0, "kept", "kept") and set(got) == {("v", 0), ("v", 3), ("v", 6)}
+    assert {tuple(r) for r in counters.collect()} == {("v", 7, 3, 4), ("w", 1, 0, 1)}
+
+
+def test_assets_by_their_last_part(spark):
+    from corvana.operators import reviews
+
+    assets = spark.createDataFrame([("k1", "a/x.wmf"), ("k2", "b/x.wmf"), ("k3", "b/y.wmf")], "key string, path string")
+    told = spark.createDataFrame([("a/x.wmf",), ("c/x.wmf",), ("old\\y.wmf",), ("z.wmf",), (None,)], "path string")
+    assert {tuple(r) for r in reviews.by_basename(told, assets).collect()} == {("a/x.wmf", "k1"), ("c/x.wmf", None), ("old\\y.wmf", "k3"), ("z.wmf", None), (None, None)}
