@@ -10,8 +10,8 @@ go no further. In a cell, the block's distance picks the candidates, the cosine
 decides, and a link counts for the first block whose share it keeps to. So each link counts once though blocks overlap, and
 no pair of vectors is ever a row: a task returns, for each vector, how many vectors it is linked to and one of its class.
 
-Equal vectors of one label are one from the start, with their number. A cell of more than `CHUNK` vectors is dealt into parts
-which meet two by two, so memory stays bounded; what is compared in a dense cell still grows with its square, as every link
+Equal vectors of one label are one from the start, with their number. A cell of more than `CHUNK` vectors (or `CHUNK_BYTES`) is
+dealt into parts which meet two by two, so memory stays bounded; what is compared in a dense cell still grows with its square, as every link
 of different vectors has to be counted.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component, and rows without label or vec_id, link
@@ -36,6 +36,8 @@ from .components import components
 BLOCK, FIT, TURNED, LENGTHS = 8, 4096, 1024, 8
 #: Vectors of a cell that one task holds once; rows compared at a time; width of a cell in ranges.
 CHUNK, SLICE, WIDTH = 8192, 256, 2
+#: Bytes of the vectors that a task holds twice: long vectors make smaller parts.
+CHUNK_BYTES = 64_000_000
 #: What rounding to 32 bits may add to a squared distance of unit vectors.
 BLUR = 2e-6
 
@@ -96,15 +98,17 @@ def fitted(rows: DataFrame, threshold: float) -> dict[int, Blocks]:
 
 
 def placed(rows: DataFrame, known: dict[int, Blocks], threshold: float) -> DataFrame:
-    """rows with `v` (the unit vector, 64 bits a component) and `x` (the turned one, 32 bits)."""
+    """rows with `v` (the vector as it is, 32 bits a component where these hold it, else 64) and `x` (turned at length one, 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vs, xs = [], []
             for e in batch.column("e").to_pylist():
-                v = unit(np.array([e], float))
-                vs.append(v.tobytes())
-                xs.append(blocks_of(known, len(e), threshold).turned(v).tobytes())
+                v = np.array(e, float)
+                with np.errstate(over="ignore"):
+                    short = v.astype(np.float32)
+                vs.append((short if (short == v).all() else v).tobytes())
+                xs.append(blocks_of(known, len(e), threshold).turned(unit(v[None, :])).tobytes())
             kept = batch.drop_columns(["e"])
             yield kept.append_column("v", pa.array(vs, pa.binary())).append_column("x", pa.array(xs, pa.binary()))
 
@@ -148,7 +152,8 @@ class Cell:
         reps, ns, chunks, vs, xs = zip(*held, strict=True)
         self.reps, self.ns, self.chunks = np.array(reps), np.array(ns), np.array(chunks)
         self.by, self.block, self.cell, self.two, self.threshold = by, block, cell, two, threshold
-        self.v = np.frombuffer(b"".join(vs)).reshape(len(reps), -1)
+        size = len(xs[0]) // 4
+        self.v = unit(np.array([np.frombuffer(v, np.float32 if len(v) == 4 * size else np.float64) for v in vs], float))
         self.x = np.frombuffer(b"".join(xs), np.float32).reshape(len(reps), -1).astype(float)
         self.home = by.homes(self.x.astype(np.float32), block, axes)[0]
 
@@ -242,16 +247,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     keyed = rows.withColumn("key", key)
     same = keyed.where("key is not null").groupBy("key").agg(F.first("e").alias("e"), F.min("vec_id").alias("least"), F.count("*").alias("n"))
     same = saved(same.select("key", "least", "n", F.col("key.label").alias("label"), F.size("e").alias("size"), "e", F.monotonically_increasing_id().alias("rep")), "vectors")
-    count = same.count()
+    count, longest = same.agg(F.count("*"), F.max("size")).first()
+    chunk = max(1, min(CHUNK, CHUNK_BYTES // (20 * (longest or 1))))
     axes = max(1, min(BLOCK, round(np.log10(count + 1)) - 3))  # cells get finer as vectors get more
     known = fitted(same, threshold)
     reps = saved(placed(same, known, threshold), "turned")
     at = saved(cells(reps, known, threshold, axes), "cells")
     crowded = at.groupBy(F.struct("label", "size", "block", "cell").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
-    crowded = saved(crowded.select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("parts"), "n"), "crowded")
+    crowded = saved(crowded.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"), "n"), "crowded")
     total = at.count()
     dealt = groups(at, crowded, total).join(reps.select("rep", "n", "v", "x"), "rep")
-    tasks = max(reps.sparkSession.sparkContext.defaultParallelism, -(-total // CHUNK))
+    tasks = max(reps.sparkSession.sparkContext.defaultParallelism, -(-total // chunk))
     met = saved(meet(dealt.repartition(tasks, "label", "size", "block", "cell", "one", "other"), known, threshold, axes), "met")
     loose = components(met.select(F.col("head").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("v", "rep")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))

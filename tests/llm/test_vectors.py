@@ -8,13 +8,13 @@ from corvana.llm import vectors
 SCHEMA = "vec_id long, embedding array<float>, label int, rep long, key string, cell long, n long, v string"
 
 
-def brute(rows, threshold):
+def brute(rows, threshold, kind=np.float32):
     sound = [r[0] is not None and r[2] is not None and r[1] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1]) for r in rows]
     near = {i: set() for i in range(len(rows))}
     for i, a in enumerate(rows):
         for j, b in enumerate(rows):
             if i < j and sound[i] and sound[j] and a[2] == b[2] and len(a[1]) == len(b[1]):
-                x, y = np.array(a[1], np.float32).astype(float), np.array(b[1], np.float32).astype(float)
+                x, y = np.array(a[1], kind).astype(float), np.array(b[1], kind).astype(float)
                 if x @ y / np.sqrt((x @ x) * (y @ y)) >= threshold:
                     near[i].add(j)
                     near[j].add(i)
@@ -50,9 +50,12 @@ def rows():
 @pytest.mark.parametrize("chunk", [8192, 16])
 def test_against_all_pairs(spark, rows, monkeypatch, chunk):
     monkeypatch.setattr(vectors, "CHUNK", chunk)  # small parts meet two by two
+    if chunk == 16:
+        rows = [(r[0], r[1] and [x and x / 3 for x in r[1]], *r[2:]) for r in rows]  # not held by 32 bits
     monkeypatch.setattr(vectors, "SLICE", 10)
-    got = vectors.near_vectors(spark.createDataFrame(rows, SCHEMA).repartition(3))
-    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 0.93)
+    wide = SCHEMA.replace("array<float>", "array<double>") if chunk == 16 else SCHEMA
+    got = vectors.near_vectors(spark.createDataFrame(rows, wide).repartition(3))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 0.93, np.float64 if chunk == 16 else np.float32)
 
 
 def test_finer_cells(spark):
