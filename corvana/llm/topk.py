@@ -28,6 +28,8 @@ from .common import saved, table
 SCALE, DIMENSIONS = 1024, 16
 #: Candidates and queries of a block.
 LEAST_BLOCK, MOST_BLOCK, QUERY_BLOCK = 256, 32_768, 2048
+#: Bytes of a block of either, which bound its vectors where these are long.
+BLOCK_BYTES = 32_000_000
 #: Blocks of candidates that one task streams past a block of queries.
 CHUNK = 8
 #: Vectors of up to so many components are turned to the queries' axes; longer ones have their own axes put in order.
@@ -133,9 +135,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     # Equal rows would tie as queries; one of them asks. Candidates are numbered, so that equal ones are dealt evenly.
     asked = queries.select("vec_id", "v").dropDuplicates(["vec_id", "v"])
     rows = saved(candidates.select("vec_id", "v", F.monotonically_increasing_id().alias("row")), "candidates")
-    n, nq = rows.count(), asked.count()
-    block = min(MOST_BLOCK, max(LEAST_BLOCK, n // 64))
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-nq // QUERY_BLOCK))
+    (n, longest), nq = rows.agg(F.count("*"), F.max(F.size("v"))).first(), asked.count()
+    fits = max(1, BLOCK_BYTES // (8 * max(longest or 1, 1)))
+    block = min(MOST_BLOCK, max(LEAST_BLOCK, n // 64), fits)
+    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-nq // min(QUERY_BLOCK, fits)))
     chunks = -(-blocks // CHUNK)
     left = packed(rows, F.pmod(F.xxhash64("row"), F.lit(blocks))).select("size", (F.col("block") % chunks).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), (F.col("block") + 1).alias("block"), "ids", "matrix")
     right = packed(asked, F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks))).select("size", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.col("block").alias("q"), F.lit(0).alias("block"), "ids", "matrix")

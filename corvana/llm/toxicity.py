@@ -57,11 +57,12 @@ def fold(name: str = "doc_id"):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
-    """(fold, label, text): at most `most` labelled documents outside the held-out fold."""
+    """(fold, label, text): at most `most` labelled documents outside the held-out fold, the first text of each doc_id."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).cast("int").alias("label"))
     chosen = known.where(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `most` rows of two numbers
-    return saved(rows.select(fold().cast("int").alias("fold"), "label", F.coalesce("text", F.lit("")).alias("text")), "sample")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `most` rows of two numbers
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # in each task first, so no id's rows come together
+    return saved(rows.select(fold().cast("int").alias("fold"), "label", "text"), "sample")
 
 
 def gram_counts(sample: DataFrame) -> DataFrame:

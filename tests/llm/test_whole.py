@@ -43,3 +43,14 @@ def test_toxicity_near_is_exact_for_long_texts():
     for _ in range(50):
         a, b = (np.flatnonzero(rng.random(300) < p).tolist() for p in (0.02, 0.05))
         assert toxicity.least_distance(a, b) == min((abs(x - y) for x in a for y in b), default=99)
+
+
+def test_toxicity_learns_one_row_an_id(spark):
+    """An id with many rows counts once, whatever their number, so that the sample keeps its bound."""
+    rows = [(7, f"text {k}") for k in range(500)] + [(k, f"other {k}") for k in range(100, 160)] + [(8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in [7, 8, *range(100, 160)]] + [(7, 0)], "doc_id long, toxic int")
+    got = toxicity.labelled_sample(docs, labels, "toxic", 40).collect()
+    assert len(got) == 40
+    every = toxicity.labelled_sample(docs, labels, "toxic", 1000).collect()
+    assert len(every) <= 62 and len({r["text"] for r in every}) == len(every)
