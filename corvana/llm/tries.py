@@ -65,6 +65,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     plan = saved(plan.join(donors, "donor", "left").select("conv_id", "part", "first", "before", "h", "donor", F.least("h", F.coalesce("given", F.lit(0))).alias("taken")), "plan")
     # A conversation's rows are dealt by part too, so that none is a hot key.
     placed = saved(at.join(plan, ["conv_id", "part"]).select("conv_id", "h", "taken", (F.col("at") - F.col("first") + F.col("before")).alias("pos"), "code", "words"), "placed")
+    drop(at)
     kept = placed.where(F.col("pos") >= F.col("h")).select("conv_id", (F.col("pos") - F.col("h") + F.col("taken") + 1).alias("depth"), "code", "words")
     heads = placed.where((F.col("conv_id") % FAMILY == 0) & (F.col("pos") < HEADS - 1)).select(F.col("conv_id").alias("donor"), "pos", "code", "words")
     convs = plan.select("conv_id", "h", "donor").distinct()
@@ -208,7 +209,7 @@ def trie(conversations: DataFrame) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
     rows, convs = rebuilt(conversations)
     rows = rows.withColumn("a1", F.xxhash64("code", "depth")).withColumn("a2", F.xxhash64("depth", "code", F.lit(1)))
-    rows = saved(running(rows, "conv_id", F.col("depth") - 1, {"p1": (F.bit_xor, "a1"), "p2": (F.bit_xor, "a2")}), "rebuilt")
+    whole = rows = saved(running(rows, "conv_id", F.col("depth") - 1, {"p1": (F.bit_xor, "a1"), "p2": (F.bit_xor, "a2")}), "rebuilt")
     last = convs.join(rows.groupBy("conv_id").agg(F.max(F.struct("depth", "p1", "p2")).alias("end")), "conv_id", "left")
     zero = F.struct(F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("p1"), F.lit(0).cast("long").alias("p2"))
     last = saved(last.select("conv_id", F.coalesce("end", zero).alias("end")), "ends")
@@ -217,6 +218,7 @@ def trie(conversations: DataFrame) -> DataFrame:
     reps = classes.select("rep", F.col("end.depth").alias("length"), F.col("n").alias("k"))
     rows = rows.withColumnRenamed("conv_id", "rep").join(reps, "rep").withColumn("u1", F.col("p1").bitwiseXOR(F.col("a1"))).withColumn("u2", F.col("p2").bitwiseXOR(F.col("a2")))
     rows = saved(rows.select("rep", "depth", "code", "words", "p1", "p2", "u1", "u2", "length", "k"), "lines")
+    drop(whole)
     total = rows.count()
     node = F.struct("depth", "p1", "p2").alias("node")
     heavy = rows.groupBy(node).agg(F.sum(F.col("length") - F.col("depth") + 1).alias("weight"), F.count("*").alias("n")).where(F.col("weight") > SHARD)
