@@ -7,16 +7,19 @@ from test_llm import linked
 from corvana.llm import components, neardup
 
 
-def test_components_of_a_long_chain(spark, monkeypatch):
-    """A chain of rising ids, a star, a cycle and a random forest; turns grow with the logarithm."""
+@pytest.mark.parametrize("local", [0, 100, 250_000])
+def test_components_of_a_long_chain(spark, monkeypatch, local):
+    """A chain of rising ids, a star, a cycle and a random forest; turns grow with the logarithm, and one task finishes what is
+    small: nothing, the last hundred edges, or all."""
     turns = []
+    monkeypatch.setattr(components, "LOCAL", local)
     kept = components.moves
     monkeypatch.setattr(components, "moves", lambda *a: turns.append(a[1]) or kept(*a))
     chain = [(k, k + 1) for k in range(1000)]
     star = [(5000, k) for k in range(5001, 5400)]
     cycle = [(6000 + k, 6000 + (k + 1) % 50) for k in range(50)]
     got = dict(components.components(spark.createDataFrame([*chain, *star, *cycle, (7, 7)], "a long, b long")).collect())
-    assert len(turns) < 15
+    assert len(turns) < 15 and (len(turns) > 1) == (local < 1000)
     assert got == {k: 0 for k in range(1001)} | {k: 5000 for k in range(5000, 5400)} | {k: 6000 for k in range(6000, 6050)}
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))]
@@ -29,6 +32,19 @@ def test_components_of_a_long_chain(spark, monkeypatch):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_roots_of_one_task():
+    """Sorted, reversed and shuffled chains, a star around the largest, repeated edges: smallest vertex each."""
+    n = 20_000
+    order = np.random.default_rng(5).permutation(n).astype(np.int64)
+    for chain in (np.arange(n), np.arange(n)[::-1], order):
+        ids, roots = components.rooted(chain[:-1], chain[1:])
+        assert len(ids) == n and (roots == 0).all()
+    ids, roots = components.rooted(np.full(n, n), np.arange(n))
+    assert len(ids) == n + 1 and (roots == 0).all()
+    ids, roots = components.rooted(np.array([5, 5, 9, -2]), np.array([7, 7, 8, 3]))
+    assert dict(zip(ids.tolist(), roots.tolist())) == {5: 5, 7: 5, 8: 8, 9: 8, -2: -2, 3: -2}
+
+
 @pytest.mark.parametrize(("few", "depths"), [(0, (3,)), (0, (6,)), (0, (3, 6, 9)), (8, (3, 6, 9))])
 def test_recall_by_depth(spark, monkeypatch, few, depths):
     """Planted pairs at the threshold meet: at depth 3 alone, where all must reach depth 9, and by pivots."""
