@@ -6,9 +6,10 @@ much variance each. The squared distance that is allowed is divided over the blo
 over the threshold keeps to the share of one block at least. Each block is joined by itself, a range join on its first axes:
 a vector lies in a cell, and also in the next one along each axis where it is within the block's range of the border, so that
 a pair in range meets in the cell that is the larger of both homes on each axis, and counts only there. Cells with one vector
-go no further. In a cell, the block's distance picks the candidates, the cosine of the whole vectors in double precision
-decides, and a link counts for the first block whose share it keeps to. So each link counts once though blocks overlap, and
-no pair of vectors is ever a row: a task returns, for each vector, how many vectors it is linked to and one of its class.
+go no further. Axes whose cells part the sample too little are passed over: a block without any is one cell. In a cell, the
+block's distance picks the candidates, by products of tiles, the cosine of the whole vectors in double precision decides, and a
+link counts for the first block whose share it keeps to. So each link counts once though blocks overlap, and no pair of vectors
+is ever a row: a task returns, for each vector, how many vectors it is linked to and one of its class.
 
 Equal vectors of one label are one from the start, with their number. A cell of more than `CHUNK` vectors (or `CHUNK_BYTES`) is
 dealt into parts which meet two by two, so memory stays bounded; what is compared in a dense cell still grows with its square, as every link
@@ -33,13 +34,19 @@ from .common import drop, lookup, mixed, saved, table
 from .components import components
 
 #: Axes of a block, vectors that the axes are fitted on, components of a vector that is turned, and lengths that are fitted.
-BLOCK, FIT, TURNED, LENGTHS = 8, 4096, 1024, 8
-#: Vectors of a cell that one task holds once; rows compared at a time; width of a cell in ranges.
-CHUNK, SLICE, WIDTH = 8192, 256, 2
+BLOCK, FIT, TURNED, LENGTHS = 16, 4096, 1024, 8
+#: Vectors of a cell that one task holds once; rows, and vectors, compared at a time; width of a cell in ranges.
+CHUNK, SLICE, TILE, WIDTH = 32_768, 256, 8192, 2
+#: Candidates judged at a time.
+JUDGED = 65_536
+#: Most of the pairs that cells along an axis may leave: axes that part fewer cost more copies than they save.
+MOST_LEFT = 0.75
 #: Bytes of the vectors that a task holds twice: long vectors make smaller parts.
 CHUNK_BYTES = 64_000_000
 #: What rounding to 32 bits may add to a squared distance of unit vectors.
 BLUR = 2e-6
+#: What a block's distance by a product in 32 bits may be off; candidates are judged again in 64.
+SLACK = 1e-5
 
 
 def unit(flat: np.ndarray) -> np.ndarray:
@@ -66,6 +73,19 @@ class Blocks:
         self.parts = list(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
         mass = np.array([spread[order][a:b].sum() for a, b in self.parts]) + spread.sum() / (100 * n) + 1e-12
         self.budgets = (2 - 2 * threshold) * mass / mass.sum() + BLUR
+        self.useful = [b - a for a, b in self.parts]
+        if sample is not None:
+            x = self.turned(sample)
+            self.useful = [self.parting(x, block) for block in range(len(self.parts))]
+
+    def parting(self, x: np.ndarray, block: int) -> int:
+        """How many of the block's first axes have cells that part the sample."""
+        home, near = self.homes(x, block, BLOCK)
+        for k in range(home.shape[1]):
+            at, n = np.unique(np.concatenate([home[:, k], home[near[:, k], k] + 1]), return_counts=True)
+            if ((n / len(x)) ** 2).sum() > MOST_LEFT:
+                return k
+        return home.shape[1]
 
     def turned(self, v: np.ndarray) -> np.ndarray:
         return (v[:, self.axes] if self.axes.ndim == 1 else v @ self.axes.T).astype(np.float32)
@@ -75,7 +95,7 @@ class Blocks:
         a, b = self.parts[block]
         reach = np.sqrt(self.budgets[block])
         side = WIDTH * reach
-        at = x[:, a : min(b, a + axes)].astype(float)
+        at = x[:, a : min(b, a + min(axes, self.useful[block]))].astype(float)
         home = np.floor(at / side)
         return home.astype(np.int64), at - home * side >= side - reach * (1 + 1e-6)
 
@@ -164,29 +184,43 @@ class Cell:
             a, b = i[at : at + 16_384], j[at : at + 16_384]
             ok = np.flatnonzero(np.einsum("ij,ij->i", self.v[a], self.v[b]) >= self.threshold)
             for k in range(self.block):
-                lo, hi = self.by.parts[k]
-                ok = ok[((self.x[a[ok], lo:hi] - self.x[b[ok], lo:hi]) ** 2).sum(1) > self.by.budgets[k]]
+                ok = ok[self.apart(a[ok], b[ok], k) > self.by.budgets[k]]
             ok = ok[cell_code(np.maximum(self.home[a[ok]], self.home[b[ok]])) == self.cell]
             part = np.zeros(len(a), bool)
             part[ok] = True
             stay[at : at + 16_384] = part
         return stay
 
+    def apart(self, a: np.ndarray, b: np.ndarray, block: int) -> np.ndarray:
+        lo, hi = self.by.parts[block]
+        return ((self.x[a, lo:hi] - self.x[b, lo:hi]) ** 2).sum(1)
+
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs, each once, within the block's range, from squared distances by products of tiles in 32 bits."""
+        lo, hi = self.by.parts[self.block]
+        x = self.x[:, lo:hi].astype(np.float32)
+        square, one = (x**2).sum(1, keepdims=True), np.ones((len(x), 1), np.float32)
+        left, right = np.hstack([-2 * x, square, one]), np.hstack([x, one, square])
+        order = np.argsort(self.chunks, kind="stable")
+        first = int((self.chunks == self.chunks[order[0]]).sum()) if self.two else len(x)
+        left, right = left[order], right[order]
+        for at in range(0, first, SLICE):
+            end = min(first, at + SLICE)
+            for to in range(first if self.two else at, len(x), TILE):
+                near = left[at:end] @ right[to : to + TILE].T <= self.by.budgets[self.block] + SLACK
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+                i, j = i + at, j + to
+                i, j = order[i[j > i]], order[j[j > i]]
+                for k in range(0, len(i), JUDGED):
+                    a, b = i[k : k + JUDGED], j[k : k + JUDGED]
+                    sure = self.apart(a, b, self.block) <= self.by.budgets[self.block]
+                    yield a[sure], b[sure]
+
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(rep, vectors linked to it, a rep of its class) of those with links."""
         n = len(self.reps)
-        lo, hi = self.by.parts[self.block]
         degree, up = np.zeros(n, np.int64), np.arange(n)
-        for at in range(0, n, SLICE):
-            here = np.arange(at, min(n, at + SLICE))
-            apart = np.zeros((len(here), n))
-            for k in range(lo, hi):
-                apart += (self.x[here, k][:, None] - self.x[:, k][None, :]) ** 2
-            i, j = np.nonzero((apart <= self.by.budgets[self.block]) & (np.arange(n)[None, :] > here[:, None]))
-            i = here[i]
-            if self.two:
-                other = self.chunks[i] != self.chunks[j]
-                i, j = i[other], j[other]
+        for i, j in self.candidates():
             stay = self.linked(i, j)
             i, j = i[stay], j[stay]
             np.add.at(degree, i, self.ns[j])
@@ -257,7 +291,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     crowded = saved(crowded.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"), "n"), "crowded")
     total = at.count()
     dealt = groups(at, crowded, total).join(reps.select("rep", "n", "v", "x"), "rep")
-    tasks = max(reps.sparkSession.sparkContext.defaultParallelism, -(-total // chunk))
+    tasks = max(4 * reps.sparkSession.sparkContext.defaultParallelism, -(-total // chunk))
     met = saved(meet(dealt.repartition(tasks, "label", "size", "block", "cell", "one", "other"), known, threshold, axes), "met")
     loose = components(met.select(F.col("head").alias("a"), F.col("rep").alias("b"))).withColumnRenamed("v", "rep")
     links = met.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -1,5 +1,7 @@
 """Near-duplicate embeddings against all pairs, with cells of every size, several lengths, and rows that take no part."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -86,3 +88,18 @@ def test_finer_cells(spark):
 
 def test_empty(spark):
     assert vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_work_grows_by_little():
+    """Spread vectors of a label: a vector is copied once a block, as no axis parts them, and 20,000 meet in seconds."""
+    rng = np.random.default_rng(3)
+    v = vectors.unit(rng.normal(size=(20_000, 64)))
+    v[1] = vectors.unit(v[:1] + 0.01)[0]
+    by = vectors.Blocks(64, v[:4096], 0.93)
+    x = by.turned(v)
+    assert sum(int(np.prod(1 + by.homes(x, k, 8)[1], axis=1).sum()) for k in range(len(by.parts))) <= 8 * len(v)
+    held = [(i, 1, 0, v[i].tobytes(), x[i].tobytes()) for i in range(len(v))]
+    start = time.process_time()
+    found = [vectors.Cell(by, k, int(vectors.cell_code(by.homes(x[:1], k, 8)[0])[0]), 8, False, 0.93, held).links()[0].tolist() for k in range(len(by.parts))]
+    assert sorted(sum(found, [])) == [0, 1]
+    assert time.process_time() - start < 30
