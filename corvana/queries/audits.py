@@ -433,9 +433,10 @@ def s08(t):
     return imports.header(every).select("sheet", "row", F.col("names")["seat_no"].alias("seat_col"), F.col("names")["real_name"].alias("name_col"))
 
 
-@query("a13_formulas", r"""with p as (select doc_id, '$$a+b$$ ' || regexp_replace(text, '[$\\]', ' ', 'g') || ' $c$ $$a+b$$' as page from documents),
-f as (select doc_id, list_filter(list_transform(regexp_extract_all(page, '\$([^$\n]+)\$', 1), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as l from p)
+@query("a13_formulas", r"""with p as (select doc_id, '$$a+b$$ \[ d \] ' || text || ' \(e\) $c$ $$a+b$$' as page from documents),
+f as (select doc_id, list_filter(list_transform(list_concat(list_concat(regexp_extract_all(page, '\$([^$\n]+)\$', 1), regexp_extract_all(page, '\\\[([^\]]+)\\\]', 1)), regexp_extract_all(page, '\\\(([^\)]+)\\\)', 1)), lambda x: regexp_replace(x, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')), lambda x: x <> '') as l from p)
 select doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') as formulas from f""")
 def a13(t):
-    page = F.concat(F.lit("$$a+b$$ "), F.regexp_replace("text", r"[$\\]", " "), F.lit(" $c$ $$a+b$$"))
+    """Formulas of the whole texts as they are, with one of each kind of delimiter around them."""
+    page = F.concat(F.lit(r"$$a+b$$ \[ d \] "), "text", F.lit(r" \(e\) $c$ $$a+b$$"))
     return t.documents.select("doc_id", F.array_join(tx.formulas(page), "|").alias("formulas"))

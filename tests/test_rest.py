@@ -2,13 +2,15 @@
 
 import datetime
 import hashlib
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvana import session
+from corvana import catalog, session
 from corvana.functions import text as t
-from corvana.operators import analytics, audit, chunking, hierarchy, ingest, queueing, reviews, routing
+from corvana.operators import analytics, audit, chunking, hierarchy, ingest, queueing, retrieval, reviews, routing
 from corvana.sources import corpus
 from corvana.streaming import incremental
 
@@ -203,3 +205,44 @@ def test_streamed_copies_and_buckets(spark, tmp_path):
         assert run.awaitTermination(120)
     assert sorted(r["sha"] for r in spark.table("copies").collect()) == ["x", "y"]
     assert sorted((r["start"].minute, r["n"], r["total"]) for r in spark.table("buckets").collect()) == [(0, 2, 3.0), (2, 1, 4.0)]
+
+
+def test_best_holds_k_rows_a_query():
+    """Blocks of any number of vectors stream past; a first block of all of them gives the same as small ones."""
+    rng = np.random.default_rng(2)
+    q, v, ids = rng.integers(-3, 4, (7, 4)).astype(float), rng.integers(-3, 4, (3000, 4)).astype(float), rng.permutation(3000)
+    parts = [retrieval.Best(np.arange(7), q, 5) for _ in range(2)]
+    parts[0].add(ids, v)
+    for at in range(0, 3000, 2):
+        parts[1].add(ids[at : at + 2], v[at : at + 2])
+        assert len(parts[1].ids) <= 35
+    want = [(k, i, s) for k in range(7) for s, i in [(-a, b) for a, b in sorted(zip((-(v @ q[k])).tolist(), ids.tolist(), strict=True))[:5]]]
+    for own in parts:
+        assert list(zip(own.at.tolist(), own.ids.tolist(), own.scores.tolist(), strict=True)) == want
+
+
+def test_scored_in_tiles(spark, monkeypatch):
+    """Every pair, null where there is no product; no row goes through a join of pairs."""
+    monkeypatch.setattr(retrieval, "PAIRS", 4)
+    a = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "qid long, q array<double>")
+    b = spark.createDataFrame([("x", [3.0, 0.5]), ("y", [2.0]), ("z", [1.0, None])], "id string, v array<double>")
+    got = retrieval.scored(a, b)
+    assert {(r.qid, r.id): r.score for r in got.collect()} == {(1, "x"): 4.0, (3, "y"): 2.0} | {k: None for k in [(1, "y"), (1, "z"), (2, "x"), (2, "y"), (2, "z"), (3, "x"), (3, "z")]}
+    assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_rosters_meet_evenly(spark):
+    """Scores of one file and one key are dealt over tasks before their many partners are made."""
+    roster, scores = spark.range(50).select(F.lit(1).alias("k"), "id"), spark.range(500).select(F.lit(1).alias("k"), F.col("id").alias("s")).coalesce(1)
+    matched = ingest.aligned(roster, scores, ["k"])[0]
+    assert matched.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism and matched.count() == 25_000
+
+
+def test_formulas_of_whole_texts(spark, tmp_path):
+    """Every delimiter of a text is read, as by three searches over the whole page."""
+    text = r"$x$ \[ b\] y \(z\) $a+b$"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    page = r"$$a+b$$ \[ d \] " + text + r" \(e\) $c$ $$a+b$$"
+    want = [m.strip() for p in (r"\$([^$\n]+)\$", r"\\\[([^\]]+)\\\]", r"\\\(([^\)]+)\\\)") for m in re.findall(p, page) if m.strip()]
+    assert {"x", "b", "z", "d", "e"} & set(want) >= {"b", "z", "d", "e"}
+    assert catalog.queries()["a13_formulas"](spark, str(tmp_path)).first()["formulas"] == "|".join(dict.fromkeys(want))
