@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .matching import hits
+from .sizes import small
 
 SCORE = re.compile(r"Q[0-9A-Za-z_]+_score")
+#: Rows of a roster that may be broadcast (about 30 MB), and rows of a task of those that meet it.
+BROADCAST, SPREAD = 500_000, 20_000
 #: Columns that a roster must not have.
 FORBIDDEN_IDENTITY = frozenset("real_name name 姓名 school_number school_no 学号 exam_number exam_no 考号 student_status_number student_registry_number 学籍号 guardian_contact student_code".split())
 
@@ -75,7 +78,13 @@ def rejects(rows: DataFrame, rules: dict) -> DataFrame:
 def aligned(roster: DataFrame, scores: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched, scores without a roster row, keys that the roster has twice)."""
     twice = roster.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    return scores.join(roster, key), scores.join(roster, key, "left_anti"), twice
+    return spread(scores).join(small(roster, BROADCAST), key), scores.join(roster, key, "left_anti"), twice
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly over tasks that grow with them: a row may have many partners, so a file of few rows is no measure of work."""
+    least = rows.sparkSession.sparkContext.defaultParallelism * 4
+    return rows.repartition(max(least, -(-rows.count() // SPREAD)))
 
 
 def forward_filled(cells: DataFrame, column: str, order: str, *by: str) -> DataFrame:
