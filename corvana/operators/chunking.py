@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .tables import dealt
 
 LEAST = 20
 
@@ -33,7 +34,7 @@ def chunk_id(kind: Column, name: Column, index: Column) -> Column:
 
 
 def _headed(docs: DataFrame, top: int) -> DataFrame:
-    rows = lines(docs, "path", t.strip_frontmatter(F.regexp_replace("text", "\r\n", "\n")))
+    rows = lines(dealt(docs, "path"), "path", t.strip_frontmatter(F.regexp_replace("text", "\r\n", "\n")))
     level = F.length(F.regexp_extract("line", r"^(#+) ", 1))
     rows = rows.withColumn("level", level).withColumn("heading", F.trim(F.regexp_extract("line", r"^#+ (.*)", 1)))
     return segments(rows, "path", (F.col("level") >= 2) & (F.col("level") <= top))

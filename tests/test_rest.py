@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import pathlib
 import re
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvana import catalog, session
 from corvana.functions import text as t
-from corvana.operators import analytics, audit, chunking, hierarchy, ingest, queueing, retrieval, reviews, routing
+from corvana.operators import analytics, audit, candidates, chunking, hierarchy, ingest, queueing, retrieval, reviews, routing, tables, versions, wiki
 from corvana.sources import corpus
 from corvana.streaming import incremental
 
@@ -246,3 +247,46 @@ def test_formulas_of_whole_texts(spark, tmp_path):
     want = [m.strip() for p in (r"\$([^$\n]+)\$", r"\\\[([^\]]+)\\\]", r"\\\(([^\)]+)\\\)") for m in re.findall(p, page) if m.strip()]
     assert {"x", "b", "z", "d", "e"} & set(want) >= {"b", "z", "d", "e"}
     assert catalog.queries()["a13_formulas"](spark, str(tmp_path)).first()["formulas"] == "|".join(dict.fromkeys(want))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_grow_with_texts(spark, monkeypatch):
+    """What follows a text's key runs where its row was dealt, over tasks of a bounded number of rows."""
+    docs = spark.range(9000).select(F.col("id").cast("string").alias("path"), F.lit("# a\n\n## b\nsome words of a text\n").alias("text"))
+    assert tables.dealt(docs, "path", 100).rdd.getNumPartitions() == 90
+    made = plan(chunking.textbook(docs))
+    assert made.count("Exchange") == made.count("REPARTITION_BY_NUM") == 1
+    made = plan(retrieval.sparse(retrieval.postings(docs.limit(2).withColumnRenamed("path", "qid"), "qid", "text").withColumnRenamed("id", "qid"), retrieval.postings(docs, "path", "text")))
+    assert "hashpartitioning(qid" not in made.split("REPARTITION_BY_NUM")[0]
+
+
+def test_ledger_without_copies(spark):
+    """Distinct counts each take a row once; a task without a number is still one."""
+    rows = spark.createDataFrame([(1, 1, 1, 7), (1, 2, 2, 7), (None, 1, 1, 1), (None, 1, 2, 2), (3, None, 1, 1)], "task_id long, attempt_id long, attempt_no long, worker_id long")
+    found = reviews.ledger_problems(rows)
+    assert {r["task_id"]: r["problems"] for r in found.collect()} == {1: ["worker_reused"], None: ["repeated"], 3: ["repeated"]}
+    assert "Expand" not in plan(found)
+
+
+def test_rules_read_a_text_once(spark):
+    """Formula flags and file checks derive what they share once a row."""
+    rows = spark.createDataFrame([("k", "e", "$ \\left x \\right $", 0.99, None)], "key string, engine string, text string, confidence double, risk_flags array<string>")
+    judged = candidates.assessed(rows)
+    assert judged.first()["risk_flags"] == ["single_character_formula"] and judged.columns == [*rows.columns, "norm", "status"]
+    long = rows.withColumn("text", F.concat(F.repeat(F.lit(" $"), 300), F.lit("x"), F.repeat(F.lit("$ "), 300)))
+    assert "single_character_formula" not in candidates.assessed(long).first()["risk_flags"]  # dollars with blanks between stay
+    assert plan(judged.select("status", "risk_flags")).count("_text") > 2
+    files = spark.createDataFrame([("p", "p.md", "---\nid: x\n---\nbody")], "path string, name string, text string")
+    assert plan(wiki.compatibility(files)).count("map_from_entries") <= 1
+
+
+def test_a_commit_moves_no_row_to_write(spark, tmp_path):
+    """A bucket is written by every task that has rows of it, and read back whole."""
+    store = versions.Store(spark, str(tmp_path), 4)
+    rows = spark.range(1000).repartition(3).select(F.col("id").cast("string").alias("k"), "id")
+    store.commit({"t": (rows, "k")})
+    assert sorted(r.id for r in store.read("t").collect()) == list(range(1000))
+    assert all(len(list(pathlib.Path(p).glob("*.parquet"))) == 3 for p in store.state()["t"]["buckets"].values())
