@@ -144,8 +144,8 @@ def repair_tasks(issues: DataFrame) -> DataFrame:
 
 def compatibility(files: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
     """(path, issue) of exercise files (path, name, text), and of their chunks (id, text, knowledge_points) if given."""
-    text, body = F.col("text"), t.strip_frontmatter(F.col("text"))
-    head = t.frontmatter(text)
+    text, body, head = F.col("text"), F.col("_body"), F.col("_head")
+    files = files.withColumns({"_body": t.strip_frontmatter(text), "_head": t.frontmatter(text)})  # once a file, not once a rule
     part = lambda p: F.regexp_extract(body, p, 1)
     question, answer, explanation = r"(?s)## 题目\n\n(.*?)(?=\n## 答案)", r"(?s)## 答案\n\n(.*?)(?=\n## 详解)", r"(?s)## 详解\n\n(.*)"
     blank = lambda c: F.trim(F.regexp_replace(t.strip_images(c), r"\s+", " ")) == ""
