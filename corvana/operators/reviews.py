@@ -34,8 +34,10 @@ def contract(rows: DataFrame, payload: str, keys: list[str], ranges: dict | None
 def ledger_problems(attempts: DataFrame, most: int = 2) -> DataFrame:
     """(task_id, problems) of tasks whose attempts (task_id, attempt_id, attempt_no, worker_id) are too many, repeat an
     identity or a worker, or are not numbered from 1 without gaps."""
-    counts = {c: F.countDistinct(c) for c in ("attempt_id", "attempt_no", "worker_id")}
-    found = attempts.groupBy("task_id").agg(F.count("*").alias("n"), F.min("attempt_no").alias("least"), F.max("attempt_no").alias("last"), *(v.alias(f"n_{k}") for k, v in counts.items()))
+    found = attempts.groupBy("task_id").agg(F.count("*").alias("n"), F.min("attempt_no").alias("least"), F.max("attempt_no").alias("last"))
+    for c in ("attempt_id", "attempt_no", "worker_id"):  # each by itself: together, every row would travel once for each of them
+        each = attempts.groupBy(F.col("task_id").alias("_task")).agg(F.countDistinct(c).alias(f"n_{c}"))
+        found = found.join(each, F.col("task_id").eqNullSafe(F.col("_task"))).drop("_task")
     rules = {
         "too_many": F.col("n") > most,
         "repeated": (F.col("n_attempt_id") < F.col("n")) | (F.col("n_attempt_no") < F.col("n")),
