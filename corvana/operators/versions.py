@@ -85,9 +85,10 @@ class Store:
         return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.buckets)).cast("int")
 
     def write(self, name: str, rows: DataFrame, key: str) -> dict[str, str]:
-        """rows by bucket in a new folder that no manifest names yet; the bucket's folder by its number."""
+        """rows by bucket in a new folder that no manifest names yet; the bucket's folder by its number. Each task writes its own part
+        of a bucket, so no row travels for that, and no task holds a whole bucket."""
         folder = f"{self.folder}/data/{name}/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self.bucket(key)).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+        rows.withColumn("_bucket", self.bucket(key)).write.partitionBy("_bucket").option("compression", "zstd").parquet(folder)
         made = Files(self.spark, folder).names()
         return {n.partition("=")[2]: f"{folder}/{n}" for n in made if n.startswith("_bucket=")}
 
@@ -138,7 +139,7 @@ def replace_documents(store: Store, found: DataFrame, children: DataFrame, share
     for name, rows in news.items():
         key = names[name][1]
         where[name] = touched if key == "source_path" else store.touched(rows, key)
-        gone = paths if key == "source_path" else rows.select(key).distinct()
+        gone = paths if key == "source_path" else rows.select(key)
         old = store.read(name, since, where[name]).join(gone, key, "left_anti")
         tables[name] = (old.unionByName(rows), key)
     store.commit(tables, where, since, "documents")
