@@ -65,20 +65,17 @@ def votes(m: np.ndarray) -> np.ndarray:
 
 
 def voted(docs: DataFrame) -> DataFrame:
-    """(rid, doc_id, pattern): votes as digits of base three."""
+    """(rid, doc_id, pattern, k, dense): votes as digits of base three, and what the scorer reads, so that texts are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = WordCodes()
         for batch in batches:
-            rows = []
-            for text in text_bytes(batch.column(2)):
-                words = text.split()
-                rows.append(measures(text, words, codes.of(words)))
-                codes.settle()
+            k, dense, rows = zip(*[hashed(t, codes) for t in text_bytes(batch.column(2))], strict=True) if batch.num_rows else ((), (), ())
             v = votes(np.array(rows).reshape(-1, MEASURES)) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(v @ 3 ** np.arange(len(LABELLERS)), pa.int64())], names=["rid", "doc_id", "pattern"])
+            own = [pa.array(v @ 3 ** np.arange(len(LABELLERS)), pa.int64()), pa.array([x.astype(np.int32) for x in k], pa.list_(pa.int32())), pa.array(list(dense), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own], names=["rid", "doc_id", "pattern", "k", "dense"])
 
-    return with_row_key(docs, "rid").select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, pattern long")
+    return with_row_key(docs, "rid").select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, pattern long, k array<int>, dense array<double>")
 
 
 def bounded(chance: np.ndarray) -> None:
@@ -147,30 +144,21 @@ def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
         return pattern.map(known.value).astype(float)
 
     chosen = found.select("rid", "pattern").dropDuplicates(["rid"]).orderBy("rid").limit(sample).withColumn("target", posterior("pattern")).select("rid", "target")
-    keyed = with_row_key(docs, "rid")
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = WordCodes()
-        for batch in batches:
-            k, dense, _ = zip(*[hashed(t, codes) for t in text_bytes(batch.column(1))], strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x.astype(np.int32) for x in k], pa.list_(pa.int32())), pa.array(list(dense), pa.list_(pa.float64()))], names=["rid", "target", "k", "dense"])
-
-    rows = keyed.join(F.broadcast(chosen), "rid").select("rid", "text", "target").mapInArrow(features, "rid long, target double, k array<int>, dense array<double>").dropDuplicates(["rid"]).toPandas().sort_values("rid")  # at most `sample` rows
+    rows = found.select("rid", "k", "dense").join(F.broadcast(chosen), "rid").dropDuplicates(["rid"]).toPandas().sort_values("rid")  # at most `sample` rows
     model = shared(train([(np.asarray(k, np.int64), list(d), t) for k, d, t in zip(rows["k"], rows["dense"], rows["target"], strict=True)]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, (w, u) = WordCodes(), model.value
-        for batch in batches:
-            out, patterns = [], []
-            for text in text_bytes(batch.column(1)):
-                k, x, m = hashed(text, codes)
-                out.append(float(1 / (1 + np.exp(-np.clip(w[k].sum() / np.sqrt(max(len(k), 1)) + u @ np.array(x), -30, 30)))))
-                patterns.append(m)
-            v = votes(np.array(patterns).reshape(-1, MEASURES)) + 1
-            believed = [known.value.get(int(p), 0.5) for p in v @ 3 ** np.arange(len(LABELLERS))]
+        w, u = model.value
+        for batch in (b for b in batches if b.num_rows):
+            at, flat, dense = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(), batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1)
+            out = []
+            for n, x in enumerate(dense):
+                k = flat[at[n] : at[n + 1]]
+                out.append(float(1 / (1 + np.exp(-np.clip(w[k].sum() / np.sqrt(max(len(k), 1)) + u @ x, -30, 30)))))
+            believed = [known.value.get(p, 0.5) for p in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(believed, pa.float64()), pa.array(out, pa.float64())], names=["doc_id", "posterior", "score"])
 
-    return docs.mapInArrow(scored, "doc_id long, posterior double, score double").withColumn("kept", F.col("score") >= 0.5)
+    return found.select("doc_id", "pattern", "k", "dense").mapInArrow(scored, "doc_id long, posterior double, score double").withColumn("kept", F.col("score") >= 0.5)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

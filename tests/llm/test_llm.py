@@ -275,3 +275,16 @@ def test_pages(spark, none):
     assert pages.main_text(page) == "\n\n".join(["Head & line", " ".join(body.split()), "Short one."])
     frame = spark.createDataFrame([(1, "u", page), (2, "u", None), (3, None, ""), (1, "u", page), (4, "u", "<p>unclosed <b")], "page_id long, url string, html string")
     assert sorted(len(r["text"]) for r in pages.extract(frame).collect())[:2] == [0, 0]
+
+
+def test_quality_reads_texts_once(spark):
+    """What the scorer reads is kept with the votes: no plan after them reads a text."""
+    rows = [(k, f"word{k} and some more words of a text {k % 7}") for k in range(40)]
+    made = quality.classify(spark.createDataFrame(rows, "doc_id long, text string"), 20)._jdf.queryExecution().toString()
+    assert "votes-" in made and "text" not in made
+
+
+def test_rare_words_travel_once(spark, docs):
+    """Rare words meet their ids by one shuffle, with no other before it to make them distinct."""
+    made = bpe.encode_column(docs, bpe.vocabulary_path())._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in made
