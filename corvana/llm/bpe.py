@@ -178,16 +178,25 @@ def encode(docs: DataFrame, path: str, finish: Callable[[list[np.ndarray]], list
     blocked = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = heads.value
+        known, found, held = heads.value, {}, 0
         for batch in batches:
-            found: dict[int, set] = {}
             for b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text:
-                    found.setdefault(b, set()).update(set(words_of(text)).difference(known))
-            b = np.repeat(np.array(list(found), np.int32), [len(x) for x in found.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array([code(w) for x in found.values() for w in x], pa.int64())], names=["block", "code"])
-
-    pairs = blocked.select("block", "text").mapInArrow(rare, "block int, code long").distinct()
+                    own = set(map(code, set(words_of(text)).difference(known)))
+                    held += len(own)
+                    found.setdefault(b, set()).update(own)
+            if held > COUNTED_WORDS:
+                yield listed(found)
+                found, held = {}, 0
+        if found:
+            yield listed(found)
+
+    def listed(found: dict[int, set]) -> pa.RecordBatch:
+        b = np.repeat(np.array(list(found), np.int32), [len(x) for x in found.values()])
+        return pa.RecordBatch.from_arrays([pa.array(b), pa.array([w for x in found.values() for w in x], pa.int64())], names=["block", "code"])
+
+    # Rare words hardly come twice in a block but in one task: what still does is met once by `meet`, and needs no shuffle of its own.
+    pairs = blocked.select("block", "text").mapInArrow(rare, "block int, code long")
     tail = words.where(F.col("n") < least).select("code", "ids")
     blockwise = pairs.join(tail, "code").select("block", "code", "ids")
 
