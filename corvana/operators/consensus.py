@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 from .tables import numbered, running, saved
 
 
+#: Rows of a block, in order, whose jumps one task follows.
+BLOCK = 65_536
+
+
 def consensus(candidates: DataFrame, required: list[str]) -> DataFrame:
     """(key, winner, status, disagrees) from usable candidates (key, engine, norm): a winner has all required engines."""
     groups = candidates.groupBy("key", "norm").agg(F.collect_set("engine").alias("engines"))
@@ -66,13 +70,60 @@ def packed(rows: DataFrame, key: str, order: str, size: str, cap: int, most: int
     return plain.repartition(key).sortWithinPartitions(key, order, "_size").mapInArrow(run, schema)
 
 
+def followed(jump: DataFrame, entries: DataFrame, every: bool) -> DataFrame:
+    """(_n, _to, _part) of jumps (_n, _to) inside each block, from its entries (_n, _part): where each leaves the block, null if it
+    does not, and the jumps it took; with `every` all rows on the way, each with its entry's _part and the jumps up to it."""
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = jump.select("_n", "_to", null("long").alias("_part")).union(entries.select("_n", null("long"), "_part"))
+    rows = rows.withColumn("_block", F.floor(F.col("_n") / BLOCK).cast("long"))
+    blocks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-jump.count() // BLOCK))
+
+    def told(to: dict[int, int], begun: list[tuple[int, int]], block: int) -> pa.RecordBatch:
+        end, out = (block + 1) * BLOCK, []
+        done: dict[int, tuple[int | None, int]] = {}
+        for n, part in sorted(begun, reverse=True):
+            at, took, way = n, 0, []
+            while at is not None and at < end and (every or at not in done):
+                way.append(at)
+                if every:
+                    out.append((at, None, part + took))
+                at, took = to.get(at), took + 1
+            if every:
+                continue
+            leaves, more = done[at] if at in done else (at, 0 if at is not None else -1)
+            for k, x in enumerate(way):
+                done[x] = leaves, len(way) - k + more
+            out.append((n, *done[n]))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["_n", "_to", "_part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, to, begun = None, {}, []
+        for batch in batches:
+            for block, n, target, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != now:
+                    if begun:
+                        yield told(to, begun, now)
+                    now, to, begun = block, {}, []
+                if part is None:
+                    to[n] = target
+                else:
+                    begun.append((n, part))
+        if begun:
+            yield told(to, begun, now)
+
+    dealt = rows.select("_block", "_n", "_to", "_part").repartition(blocks, "_block").sortWithinPartitions("_block")
+    return dealt.mapInArrow(run, "_n long, _to long, _part long")
+
+
 def packed_by_jumps(rows: DataFrame, key: str, order: str, size: str, cap: int, most: int | None = None) -> DataFrame:
     """What `packed` gives, for sizes of 0 or more and keys that are not null, with no key held by one task.
 
     Sums are scanned over ranges of the whole order. The group that begins at a row ends before the first row that no longer fits:
     rows by their sum and the limits of all rows are scanned together, and a limit takes the last row before it. That is a jump
-    from each row to the next group's. Jumps of 1, 2, 4 .. groups are made by joins; from the first row of each key, the longest
-    jump first, all rows that begin a group are reached, with the group's number, which a last scan gives to the rows between."""
+    from each row to the next group's. Rows are dealt to blocks of `BLOCK` in order; a block's task follows the jumps from the few
+    rows at which a block is entered (a key's first, and where jumps from before it end) to the first row behind it. Only these
+    are doubled, by joins: from the first row of each key, the longest jump first, all entries that begin a group are reached, with
+    the group's number. Then each block follows its own jumps once more, and a last scan gives the numbers to the rows between."""
     plain = rows.select(key, F.col(order).cast("long").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_s"))
     at = saved(running(numbered(plain, key, order, "_s", name="_n"), key, ["_n"], {"_sum": (F.sum, "_s")}), "sums")
     points = at.select(key, F.col("_sum").alias("_v"), F.lit(0).alias("_asks"), F.col("_n").alias("_last"), "_n")
@@ -82,13 +133,20 @@ def packed_by_jumps(rows: DataFrame, key: str, order: str, size: str, cap: int,
     after = F.greatest(F.coalesce("_fits", F.lit(0)), F.col("_n")) + 1
     after = F.least(after, F.col("_n") + most) if most else after
     jump = saved(met.join(ends, key).select("_n", after.alias("_to"), "_end").where("_to <= _end").select("_n", "_to"), "jumps")
-    jumps = []
-    while not jump.isEmpty():
-        jumps.append(jump)
-        jump = saved(jump.join(jump.select(F.col("_n").alias("_to"), F.col("_to").alias("_far")), "_to").select("_n", F.col("_far").alias("_to")), "jumps")
-    starts = ends.select(F.col("_first").alias("_n"), F.lit(0).alias("_part"))
-    for k in range(len(jumps) - 1, -1, -1):
-        starts = saved(starts.union(starts.join(jumps[k], "_n").select(F.col("_to").alias("_n"), (F.col("_part") + 2**k).cast("int"))), "starts")
+    firsts = ends.select(F.col("_first").alias("_n"))
+    crossing = jump.where(F.floor(F.col("_n") / BLOCK) != F.floor(F.col("_to") / BLOCK)).select(F.col("_to").alias("_n"))
+    entries = saved(firsts.union(crossing).distinct(), "entries")
+    hop = saved(followed(jump, entries.withColumn("_part", F.lit(0).cast("long")), False), "hops").where("_to is not null")
+    hops = []
+    while not hop.isEmpty():
+        hops.append(hop)
+        onward = hop.select(F.col("_n").alias("_to"), F.col("_to").alias("_far"), F.col("_part").alias("_more"))
+        hop = saved(hop.join(onward, "_to").select("_n", F.col("_far").alias("_to"), (F.col("_part") + F.col("_more")).alias("_part")), "hops")
+    reached = firsts.withColumn("_part", F.lit(0).cast("long"))
+    for hop in reversed(hops):
+        onward = hop.select("_n", "_to", F.col("_part").alias("_more"))
+        reached = saved(reached.union(reached.join(onward, "_n").select(F.col("_to").alias("_n"), F.col("_part") + F.col("_more"))), "reached")
+    starts = followed(jump, reached, True).select("_n", F.col("_part").cast("int").alias("_part"))
     marked = at.join(starts, "_n", "left")
     return running(marked, key, ["_n"], {"part": (F.max, "_part")}).select(key, order, "part")
 

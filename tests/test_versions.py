@@ -165,3 +165,12 @@ def test_boxes_merge_into_the_grown_one(spark):
     # The second joins the first for it is low; the third is 4 from the grown box, but neither is low any more.
     assert {tuple(r) for r in consensus.merged_boxes(df, "page", "size").collect()} == {("p", 0, 0, 90, 40), ("p", 0, 44, 50, 90), ("p", 0, 95, 60, 130), ("q", 0, 0, 40, 20)}
     assert consensus.merged_boxes(df.limit(0), "page", "size").count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_packing_over_blocks(spark, monkeypatch, block):
+    """Groups that begin in one block of rows and end in another, and keys over many blocks, are those of one stream."""
+    monkeypatch.setattr(consensus, "BLOCK", block)
+    df = spark.createDataFrame([("a", k, (k * 37) % 61 if k % 5 else 0) for k in range(100)] + [("b", k, 0) for k in range(20)] + [("c", 1, 100)], "k string, o long, s long")
+    got, want = (sorted(map(tuple, f(df, "k", "o", "s", 90, 4).collect())) for f in (consensus.packed_by_jumps, consensus.packed))
+    assert got == want
