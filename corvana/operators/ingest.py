@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from .matching import hits
-from .sizes import small
 
 SCORE = re.compile(r"Q[0-9A-Za-z_]+_score")
-#: Rows of a roster that may be broadcast (about 30 MB), and rows of a task of those that meet it.
-BROADCAST, SPREAD = 500_000, 20_000
+#: Rows of a roster that may be broadcast (about 30 MB), rows of a task of those that meet it, and rows of a block of either.
+BROADCAST, SPREAD, BLOCK, RUN = 500_000, 20_000, 1024, 128
 #: Columns that a roster must not have.
 FORBIDDEN_IDENTITY = frozenset("real_name name 姓名 school_number school_no 学号 exam_number exam_no 考号 student_status_number student_registry_number 学籍号 guardian_contact student_code".split())
 
@@ -78,13 +77,27 @@ def rejects(rows: DataFrame, rules: dict) -> DataFrame:
 def aligned(roster: DataFrame, scores: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(matched, scores without a roster row, keys that the roster has twice)."""
     twice = roster.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-    return spread(scores).join(small(roster, BROADCAST), key), scores.join(roster, key, "left_anti"), twice
+    return met_in_blocks(scores, roster, key), scores.join(roster, key, "left_anti"), twice
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt evenly over tasks that grow with them: a row may have many partners, so a file of few rows is no measure of work."""
+def met_in_blocks(rows: DataFrame, others: DataFrame, key: list[str]) -> DataFrame:
+    """The inner join of rows with others, for keys that many of both share: blocks of a key's rows meet, and the pairs of blocks are
+    dealt evenly by key, over tasks that grow with rows; pairs of rows are made in the task that returns them, each row with a whole
+    block of others. So a columnar file holds a row once a block and the block once a page, not the values of every pair."""
+    many, most = rows.count(), others.count()
     least = rows.sparkSession.sparkContext.defaultParallelism * 4
-    return rows.repartition(max(least, -(-rows.count() // SPREAD)))
+    own, theirs = in_blocks(rows, key, "_row", many, min(BLOCK, -(-many // least) or 1)), in_blocks(others, key, "_other", most, RUN)
+    met = own.join(F.broadcast(theirs) if most <= BROADCAST else theirs, key).repartitionByRange(max(least, -(-many // SPREAD)), *key, "_row_at", "_other_at")
+    pairs = met.select(F.explode("_row").alias("_row"), "_other").select("_row", F.explode("_other").alias("_other"))
+    return pairs.select(*(F.col(f"_row.{c}") for c in [*key, *(c for c in rows.columns if c not in key)]), *(F.col(f"_other.{c}") for c in others.columns if c not in key))
+
+
+def in_blocks(rows: DataFrame, key: list[str], name: str, many: int, size: int) -> DataFrame:
+    """(key, name_at, name): rows of a key in arrays of at most `size`. `many` rows are dealt by key and the rest of the row, so a key of
+    many rows has several tasks, and a task few keys, which are cut into few short arrays."""
+    at = F.floor(F.monotonically_increasing_id() / size).alias(f"{name}_at")
+    dealt = rows.repartitionByRange(-(-many // SPREAD) or 1, *key, F.xxhash64(*rows.columns)).sortWithinPartitions(*key)
+    return dealt.select(*key, at, F.struct(*rows.columns).alias(name)).groupBy(*key, f"{name}_at").agg(F.collect_list(name).alias(name))
 
 
 def forward_filled(cells: DataFrame, column: str, order: str, *by: str) -> DataFrame:

@@ -239,6 +239,31 @@ def test_rosters_meet_evenly(spark):
     assert matched.groupBy(F.spark_partition_id()).count().count() >= spark.sparkContext.defaultParallelism and matched.count() == 25_000
 
 
+def test_pairs_of_rosters_are_stored_once(spark, tmp_path):
+    """A score stands before a block of its partners, and the block comes again for the next score: a file need not hold all pairs."""
+    roster, scores = spark.range(12_500).select(F.lit(1).alias("k"), "id").orderBy(F.xxhash64("id")), spark.range(320).select(F.lit(1).alias("k"), F.col("id").alias("s"))
+    ingest.aligned(roster, scores, ["k"])[0].write.parquet(str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).select("s", "id").distinct().count() == 4_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.7 * 4_000_000
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_rosters_of_any_keys(spark, monkeypatch, most):
+    """Blocks give the rows of a join: keys of two columns, nulls, copies, keys of one side, whether a roster is broadcast or not."""
+    monkeypatch.setattr(ingest, "BROADCAST", most)
+    monkeypatch.setattr(ingest, "BLOCK", 2)
+    monkeypatch.setattr(ingest, "RUN", 3)
+    monkeypatch.setattr(ingest, "SPREAD", 40)
+    key = [F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("a"), F.when(F.col("id") > 60, "x").otherwise("y").alias("b")]
+    roster = spark.range(90).select((F.col("id") / 2).cast("int").alias("n"), *key)
+    scores = spark.range(30, 200).select(*key, F.when(F.col("id") % 5 > 0, F.col("id")).alias("s"), F.lit(1.5).alias("t"))
+    scores = scores.union(scores.limit(9)).union(spark.sql("select 9L, 'x', 1L, 2.5"))
+    got, want = ingest.aligned(roster, scores, ["a", "b"])[0], scores.join(roster, ["a", "b"])
+    assert got.columns == want.columns and got.schema == want.schema
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 1000
+    assert ingest.aligned(roster.limit(0), scores, ["a", "b"])[0].count() == ingest.aligned(roster, scores.limit(0), ["a", "b"])[0].count() == 0
+
+
 def test_formulas_of_whole_texts(spark, tmp_path):
     """Every delimiter of a text is read, as by three searches over the whole page."""
     text = r"$x$ \[ b\] y \(z\) $a+b$"
