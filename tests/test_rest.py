@@ -232,6 +232,34 @@ def test_scored_in_tiles(spark, monkeypatch):
     assert "Join" not in got._jdf.queryExecution().toString()
 
 
+def test_pairs_come_by_score(spark, tmp_path, monkeypatch):
+    """All pairs of b11, and those of a task by score, so that a file holds equal scores side by side: over several batches and tiles,
+    with vectors that are null, not finite or of another length."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), [float(x) for x in rng.integers(-4, 5, 3)], 0) for k in rng.permutation(900)]
+    rows += [(900, None, 0), (950, [1.0, 2.0], 0), (1000, [1.0, None, 1.0], 0), (1050, [float("nan"), 1.0, 0.0], 0), (1051, [float("inf"), 1.0, 1.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    told = catalog.queries()["b11_pairwise"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    by_task = {}
+    for r in told:
+        if r.score is not None:
+            by_task.setdefault(r.task, []).append(r.score)
+    assert len(by_task) > 1 and all(np.array_equal(x, np.sort(x), equal_nan=True) for x in by_task.values())
+
+    def want(q, v):
+        if q is None or v is None or len(q) != len(v) or None in q or None in v:
+            return None
+        with np.errstate(invalid="ignore"):
+            return float(np.round(np.sum(np.multiply(q, v)), 6))
+
+    both = {(a, b): want(q, v) for a, q, _ in rows if a % 50 == 0 for b, v, _ in rows}
+    assert len(told) == len(both) and {(r.qid, r.id): str(r.score) for r in told} == {k: str(x) for k, x in both.items()}
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 100)
+    monkeypatch.setattr(retrieval, "PAIRS", 7)
+    few = catalog.queries()["b11_pairwise"](spark, str(tmp_path))
+    assert {(r.qid, r.id): str(r.score) for r in few.collect()} == {k: str(x) for k, x in both.items()} and few.count() == len(both)
+
+
 def test_rosters_meet_evenly(spark):
     """Scores of one file and one key are dealt over tasks before their many partners are made."""
     roster, scores = spark.range(50).select(F.lit(1).alias("k"), "id"), spark.range(500).select(F.lit(1).alias("k"), F.col("id").alias("s")).coalesce(1)
